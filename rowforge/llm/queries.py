@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.llm import mixing, sharding, url_filter
+from rowforge.llm import mixing, rules, sharding, simhash, substring, url_filter
 from rowforge.session import read_table
 
 #: (host, path, verdict)
@@ -41,6 +41,25 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated 35-word windows."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring.remove_repeats(docs, window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document, and the forest's verdict."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest, limit = rules.fit(docs, read_table(spark, sf_dir, "labels"))
+    return rules.judge(docs, forest, limit)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH rules(h, p, v) AS (VALUES ('com','/en/','block'), ('example.com','/en/7','allow'), ('net','/de/','allow'),
     ('example.net','/de/8','block'), ('org','/es/','block')),
@@ -56,7 +75,14 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op3_mixing": op3_mixing, "op5_url_filters": op5_url_filters}
+    return {
+        "op2_sharding": op2_sharding,
+        "op3_mixing": op3_mixing,
+        "op5_url_filters": op5_url_filters,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict:

@@ -85,17 +85,13 @@ def statistics(hasher: WordHasher, texts: list[str | None]) -> dict[str, np.ndar
 
 
 def ratios(stats: dict[str, np.ndarray]) -> np.ndarray:
-    """The forest's features, one row for each document."""
-    words, lines = np.maximum(stats["n_words"], 1), np.maximum(stats["n_lines"], 1)
-    chars = np.maximum(stats["word_chars"], 1)
+    """The forest's features, one row for each document; capped, so that all heavy cases lie together."""
+    words, chars = np.maximum(stats["n_words"], 1), np.maximum(stats["word_chars"], 1)
     columns = [
-        np.minimum(stats["word_chars"] / words, 40.0),
-        np.minimum(stats["n_symbols"] / words, 4.0),
-        stats["n_dup_lines"] / lines,
-        stats["n_repeat_words"] / words,
-        stats["n_capitals"] / chars,
-        # of random words, fewer are new the longer a text is; repetition lowers it much more
-        np.log1p(stats["n_distinct"]) / np.log1p(words),
+        np.clip(stats["word_chars"] / words, 2.0, 12.0),
+        np.minimum(stats["n_symbols"] / words, 0.4),
+        np.minimum(stats["n_capitals"] / chars, 0.4),
+        np.maximum(np.log1p(stats["n_distinct"]) / np.log1p(words), 0.6),
     ]
     return np.column_stack(columns).astype(np.float64)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.llm import mixing, rules, sharding, simhash, substring, url_filter
+from rowforge.llm import bpe, classifier, mixing, rules, sharding, simhash, substring, url_filter
 from rowforge.session import read_table
 
 #: (host, path, verdict)
@@ -18,6 +19,22 @@ URL_RULES = [
 ]
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def vocabulary() -> bpe.Vocabulary:
+    """The public vocabulary that the query and the pipeline encode with."""
+    return bpe.Vocabulary.read(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and the text decoded from them, as digests."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = vocabulary()
+    coded = bpe.encode(docs, words).withColumn("ids_sha256", F.sha2("ids", 256))
+    return bpe.decode(coded, words).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of near equal bytes."""
     docs = read_table(spark, sf_dir, "documents")
@@ -34,6 +51,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs, share=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken", "shard_of_copy")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every whole document, learned outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = classifier.score(docs, network)
+    predicted = (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", classifier.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -76,8 +102,10 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 
 def queries() -> dict:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_url_filters": op5_url_filters,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,

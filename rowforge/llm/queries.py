@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.llm import bpe, classifier, mixing, rules, sharding, simhash, substring, url_filter
+from rowforge.llm import ann, bpe, classifier, mixing, rules, sharding, simhash, substring, url_filter
 from rowforge.session import read_table
 
 #: (host, path, verdict)
@@ -81,6 +81,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, forest, limit)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -109,6 +115,7 @@ def queries() -> dict:
         "op5_url_filters": op5_url_filters,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_ann": op8_ann,
         "op10_simhash": op10_simhash,
     }
 

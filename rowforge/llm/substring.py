@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rowforge.llm.common import WordHasher, settle
 
-WINDOW, ANCHOR = 35, 6
+WINDOW, ANCHOR = 35, 14
 #: Bytes of text that are hashed at once; a single longer document is hashed whole.
 CHUNK = 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the space and the five ASCII controls 9 to 13; bytes.split() cuts at the same six.
@@ -14,15 +14,17 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 _MASK = (1 << 64) - 1
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is missing (tests on one machine) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: the one that the cluster names, else a temporary one (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowforge-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowforge-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

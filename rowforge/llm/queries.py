@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.llm import ann, bpe, classifier, mixing, rules, sharding, simhash, substring, url_filter
+from rowforge.llm import ann, bpe, classifier, html, mixing, rules, sharding, simhash, substring, url_filter
 from rowforge.session import read_table
 
 #: (host, path, verdict)
@@ -87,6 +87,13 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.main_text(pages, html.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -116,6 +123,7 @@ def queries() -> dict:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_ann": op8_ann,
+        "op9_html_extraction": op9_html_extraction,
         "op10_simhash": op10_simhash,
     }
 

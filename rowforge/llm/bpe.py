@@ -29,6 +29,8 @@ CACHED_SEGMENTS = 700_000
 SHORT_WORD = 64
 #: Bytes of words, and token rows over all steps, of one recursive query; ids that are decoded at once.
 BATCH_BYTES, BATCH_ROWS, DECODE_IDS = 1 << 18, 1 << 22, 1 << 20
+#: Documents that a worker returns at once.
+ROWS = 1000
 
 
 @dataclass
@@ -235,9 +237,11 @@ def _mapped(rows: DataFrame, column: str, work, vocabulary: Vocabulary, shown: s
     own = [c for c in rows.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = work(_codec(key, shared), batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.values()], names=[*own, *made])
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                made = work(_codec(key, shared), batch.column(batch.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.values()], names=[*own, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{c}`") for c in own]).schema.fields]
     ordered = rows.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{column}`").alias("_value"))
@@ -249,17 +253,27 @@ def _encode(codec: Codec, texts: list[str | None]) -> dict[str, pa.Array]:
     return {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
 
 
+def _both(codec: Codec, texts: list[str | None]) -> dict[str, pa.Array]:
+    ids = codec.encode([t or "" for t in texts])
+    tokens = pa.array([len(x) // 4 for x in ids], pa.int64())
+    return {"n_tokens": tokens, "ids": pa.array(ids, pa.binary()), "decoded": pa.array(codec.decode(ids), pa.binary())}
+
+
 def _decode(codec: Codec, ids: list[bytes | None]) -> dict[str, pa.Array]:
     return {"decoded": pa.array(codec.decode([x or b"" for x in ids]), pa.binary())}
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded: bool = False) -> DataFrame:
     """The rows with n_tokens and ids (little-endian unsigned 32-bit integers) in place of the text.
 
-    Null and empty texts have no ids. Special tokens in a text are ordinary text. Input columns named
-    n_tokens or ids are replaced. Repeated rows are encoded alike; an empty table gives an empty result.
+    With `decoded` the bytes that decode() makes of the ids come along, from the same worker. Null and empty
+    texts have no ids. Special tokens in a text are ordinary text. Input columns with the names of result
+    columns are replaced. Repeated rows are encoded alike; an empty table gives an empty result.
     """
-    rows = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "ids") and c != text])
+    made = {"n_tokens", "ids", *(["decoded"] if decoded else [])}
+    rows = docs.drop(*[c for c in docs.columns if c.lower() in made and c != text])
+    if decoded:
+        return _mapped(rows, text, _both, vocabulary, "n_tokens long, ids binary, decoded binary")
     return _mapped(rows, text, _encode, vocabulary, "n_tokens long, ids binary")
 
 

@@ -30,9 +30,8 @@ def vocabulary() -> bpe.Vocabulary:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, and the text decoded from them, as digests."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = vocabulary()
-    coded = bpe.encode(docs, words).withColumn("ids_sha256", F.sha2("ids", 256))
-    return bpe.decode(coded, words).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, vocabulary(), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,15 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from rowforge.plans import generation, labels, streams, tables  # noqa: F401  registers their queries
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(_ORACLES)

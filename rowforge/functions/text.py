@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The patterns that define a clean text.
 TAG = r"<[A-Za-z/!?][^<>]*>"
@@ -59,12 +60,12 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), strip(text).try_cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
     def fold(text: str) -> str:
         return "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F)

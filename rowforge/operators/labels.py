@@ -62,7 +62,7 @@ def cap_per_label(df: DataFrame, row: str, label: str, cap: int, separator: str
     each = edges(df, row, label, separator, distinct=False).groupBy("row", "label").agg(F.count("*").alias("weight"))
     each = each.select(F.col("row").alias("item"), F.col("row").alias("ord"), "label", "weight", F.lit(cap).alias("quota"))
     taken = quota_items(each, cap)
-    return df.join(taken, name(row) == taken["item"], "left_semi")
+    return df.join(taken.withColumnRenamed("item", "_taken"), name(row) == F.col("_taken"), "left_semi")
 
 
 def dedupe_exact(df: DataFrame, row: str, text: list[str], references: bool = True) -> DataFrame:
@@ -70,7 +70,7 @@ def dedupe_exact(df: DataFrame, row: str, text: list[str], references: bool = Tr
     body = combined_text(text, references)
     digest = F.struct(F.md5(body).alias("m"), F.xxhash64(body).alias("x"))
     first = df.select(name(row).alias("_row"), digest.alias("_d")).groupBy("_d").agg(F.min("_row").alias("_row"))
-    return df.join(first, name(row) == first["_row"], "left_semi")
+    return df.join(first, name(row) == F.col("_row"), "left_semi")
 
 
 def balance_report(df: DataFrame, row: str, label: str, separator: str = ",") -> DataFrame:

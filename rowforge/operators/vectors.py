@@ -78,8 +78,8 @@ def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_v
 
 def leakage_gate(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, threshold: float = 0.9) -> DataFrame:
     """The rows whose best cosine to the reference is below `threshold`."""
-    near = best_match(df, key, vector, reference, ref_vector).where(F.col("similarity") >= threshold).select(F.col("id").alias("_id"))
-    return df.join(near, name(key).cast("long") == near["_id"], "left_anti")
+    near = best_match(df, key, vector, reference, ref_vector).where(F.col("similarity") >= threshold).select(F.col("id").alias("_near_id"))
+    return df.join(near, name(key).cast("long") == F.col("_near_id"), "left_anti")
 
 
 def dedupe_semantic(df: DataFrame, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
@@ -88,7 +88,7 @@ def dedupe_semantic(df: DataFrame, key: str, vector: str, threshold: float = 0.9
         return df.limit(0)
     edges = similar_pairs(df, key, vector, threshold).select("a", "b")
     kept = first_independent(df.select(name(key).cast("long").alias("id")), edges)
-    return df.join(kept, name(key).cast("long") == kept["id"], "left_semi")
+    return df.join(kept.withColumnRenamed("id", "_kept_id"), name(key).cast("long") == F.col("_kept_id"), "left_semi")
 
 
 def banded_pairs(df: DataFrame, key: str, vector: str, dims: int, threshold: float, bands: int = 24, bits: int = 6, seed: int = 1) -> DataFrame:

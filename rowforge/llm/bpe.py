@@ -4,7 +4,8 @@ A text is cut at white space into segments, which the pre-tokenizer's pattern ne
 for the first time is split by the pattern into words. In DuckDB, rows (word, position, token) start with
 one byte each. A recursive query joins neighbouring rows with the merge table, finds each word's leftmost
 pair of minimum rank, contracts it, and goes on until no word has a pair left. Ids of segments are kept by
-each worker up to a fixed number. Decoding is an aggregation of the pieces of each ordered list of ids.
+each worker, in arrays sorted by hash, up to a fixed number. Decoding is an aggregation of the pieces of
+each ordered list of ids.
 """
 
 from __future__ import annotations
@@ -21,16 +22,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.llm.common import WordHasher, worker_memory
+
 #: White space as Unicode's property has it, spelled out because regular expression engines differ.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Segments that a worker keeps; beyond it starts anew.
-CACHED_SEGMENTS = 700_000
+ASCII_SPACES = " \t\n\x0b\x0c\r"
+#: Segments that a worker keeps, at some 40 bytes each; beyond it starts anew.
+CACHED_SEGMENTS = 1_500_000
+#: Bytes of text that are cut and looked up at once; a single longer document is handled whole.
+CHUNK = 1 << 20
 #: Words of more bytes take all places of a pair in one step, where that is the same.
 SHORT_WORD = 64
 #: Bytes of words, and token rows over all steps, of one recursive query; ids that are decoded at once.
-BATCH_BYTES, BATCH_ROWS, DECODE_IDS = 1 << 18, 1 << 22, 1 << 20
+BATCH_BYTES, BATCH_ROWS, DECODE_IDS = 1 << 17, 1 << 22, 1 << 19
 #: Documents that a worker returns at once.
-ROWS = 1000
+ROWS = 500
 
 
 @dataclass
@@ -114,12 +120,48 @@ FROM asked, spelled ORDER BY row
 """
 
 
+class Known:
+    """Ids of segments by hash: sorted hashes, a check of each, and where its ids lie in one flat array."""
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(0, dtype=np.uint64)
+        self.check = np.zeros(0, dtype=np.uint64)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.many = np.zeros(0, dtype=np.int32)
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each of some ascending hashes, or -1."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where((self.hash[at] == hashes) & (self.check[at] == checks), at, -1)
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, lists: list[np.ndarray]) -> None:
+        """New segments, in ascending order of hash."""
+        many = np.array([len(x) for x in lists], dtype=np.int32)
+        total = int(many.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used // 2, 2 * total), dtype=np.uint32)])
+        if total:
+            self.ids[self.used : self.used + total] = np.concatenate(lists)
+        first = self.used + np.cumsum(many) - many
+        self.used += total
+        at = np.searchsorted(self.hash, hashes)
+        for name, values in (("hash", hashes), ("check", checks), ("first", first), ("many", many)):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+
 class Codec:
     """A worker's encoder and decoder for one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.cache: dict[str, bytes] = {}
+        self.known, self.hasher = Known(), WordHasher(seed=50)
+        self.odd = re.compile(f"[{''.join(c for c in SPACES if c not in ASCII_SPACES)}]")
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[ord(c) for c in ASCII_SPACES]] = True
         self.segments = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         pattern = vocabulary.pattern.replace("[^\\s", f"[^{SPACES}").replace("\\S", f"[^{SPACES}]").replace("\\s", f"[{SPACES}]")
         self.words = regex.compile(pattern)
@@ -178,28 +220,79 @@ class Codec:
                     group, size = [], 0
         return out
 
-    def _learn(self, segments: list[str]) -> None:
+    def _ids(self, segments: list[str]) -> list[np.ndarray]:
+        """Ids of whole segments, by way of their distinct words."""
         split = [[w.encode() for w in self.words.findall(s)] for s in segments]
         known = self._encode_words(list(dict.fromkeys(w for words in split for w in words)))
-        for segment, words in zip(segments, split, strict=True):
-            self.cache[segment] = b"".join([known[w] for w in words])
+        return [np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4") for words in split]
+
+    def _cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(the texts together, where segments start, segments of each text), for texts with ASCII spaces only."""
+        data = b"".join(texts)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        blank = self.space[raw]
+        begins = np.zeros(len(raw) + 1, dtype=bool)  # of texts
+        begins[np.cumsum(sizes) - sizes] = True
+        begins[-1] = True
+        before, plain = np.zeros(len(raw), dtype=bool), np.zeros(len(raw), dtype=bool)
+        before[1:] = blank[:-1]
+        plain[1:] = raw[:-1] == 32
+        last = np.ones(len(raw), dtype=bool)  # a space with a word of the same text right behind it
+        last[:-1] = blank[1:]
+        last = blank & ~last & ~begins[1:]
+        start = begins[:-1] | (blank & ~before) | last | (~blank & before & ~plain)
+        at = np.flatnonzero(start)
+        return data, at, np.diff(np.searchsorted(at, np.concatenate(([0], np.cumsum(sizes)))))
+
+    def _chunk(self, texts: list[bytes]) -> list[bytes]:
+        data, at, counts = self._cut(texts)
+        if not len(at):
+            return [b""] * len(texts)
+        end = np.append(at[1:], len(data))
+        hashes = self.hasher.stretches(data, at, end)
+        fresh, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        low, high = at[where], end[where]
+        checks = (high - low).astype(np.uint64)
+        for i in range(3):  # length, three bytes from the front, three from the back
+            checks = checks << np.uint64(8) | raw[np.minimum(low + i, high - 1)]
+            checks = checks << np.uint64(8) | raw[np.maximum(high - 1 - i, low)]
+        place = self.known.find(fresh, checks)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            if len(self.known.hash) + len(missing) > CACHED_SEGMENTS:
+                self.known = Known()
+                missing = np.arange(len(fresh))
+            new = [data[low[i] : high[i]].decode() for i in missing]
+            self.known.add(fresh[missing], checks[missing], self._ids(new))
+            place = self.known.find(fresh, checks)
+        own = place[back]
+        many = self.known.many[own].astype(np.int64)
+        ends = np.cumsum(many)
+        ids = self.known.ids[np.repeat(self.known.first[own] - ends + many, many) + np.arange(ends[-1])].astype("<u4")
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        flat = ids.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        group, size = [], 0
+        out: list[bytes] = [b""] * len(texts)
+        rows, group, size = [], [], 0
         for i, text in enumerate(texts):
-            group.append(self.segments.findall(text))
-            size += len(text)
-            if size >= 1 << 22 or i == len(texts) - 1:
-                new = set().union(*group).difference(self.cache)
-                if len(self.cache) + len(new) > CACHED_SEGMENTS:
-                    self.cache.clear()
-                    new = set().union(*group)
-                self._learn(sorted(new))
-                get = self.cache.__getitem__
-                out += [b"".join(map(get, segments)) for segments in group]
-                group, size = [], 0
+            if self.odd.search(text):  # other white space: rare enough for a plain way
+                out[i] = b"".join(x.tobytes() for x in self._ids(self.segments.findall(text)))
+                continue
+            rows.append(i)
+            group.append(text.encode())
+            size += len(group[-1])
+            if size >= CHUNK:
+                for row, ids in zip(rows, self._chunk(group), strict=True):
+                    out[row] = ids
+                rows, group, size = [], [], 0
+        if rows:
+            for row, ids in zip(rows, self._chunk(group), strict=True):
+                out[row] = ids
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -219,15 +312,12 @@ class Codec:
         return out
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(key: str, shared) -> Codec:
     """The worker's codec; it outlives a task where Spark reuses the worker."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+    kept = worker_memory(f"bpe {key}")
+    if "codec" not in kept:
+        kept["codec"] = Codec(shared.value)
+    return kept["codec"]
 
 
 def _mapped(rows: DataFrame, column: str, work, vocabulary: Vocabulary, shown: str) -> DataFrame:

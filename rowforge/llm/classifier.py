@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import unit_hash
+from rowforge.llm.common import unit_hash, worker_memory
 
 CHUNK, WIDTH, CHANNELS, FILTERS, HIDDEN = 256, 5, 8, 16, 16
 LAGS = range(2, 17)
@@ -23,6 +23,8 @@ TRAINING_ROWS = 3000
 PAD = 256
 #: Bytes that are run through the filters at once.
 SLICE = 1 << 15
+#: Bytes of texts that are laid out together; a longer document is laid out alone.
+GROUP = 1 << 18
 THRESHOLD = 0.3
 
 
@@ -103,12 +105,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), (active, hidden, counts, top, both)
 
     def predict(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of the texts; they are run in groups of about 1 MB, whole."""
+        """Scores of the texts; they are run in groups of about GROUP bytes, whole."""
         scores, group, size = np.zeros(len(texts)), [], 0
         for i, text in enumerate(texts):
             group.append(i)
             size += len(text) + CHUNK
-            if size >= 1 << 20 or i == len(texts) - 1:
+            if size >= GROUP or i == len(texts) - 1:
                 symbols, doc = layout([texts[k] for k in group])
                 maxima, _ = self.pooled(self.inputs(symbols))
                 scores[group] = self.combine(maxima, doc, len(group))[0]
@@ -193,6 +195,7 @@ def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        worker_memory("classifier")
         return pd.Series(network.predict([t.encode() if t else b"" for t in texts]), index=texts.index)
 
     return docs.withColumn("score", of(F.col(f"`{text}`")))

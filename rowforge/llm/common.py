@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: dict = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """What a Python worker keeps from task to task, for one operator at a time.
+
+    Spark reuses workers; whatever another operator left is given back to the system first.
+    """
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; absent elsewhere
+        if trim is not None:
+            trim(0)
+    return _KEPT
+
+
 def unit_hash(*columns: Column | str, seed: int) -> Column:
     """A repeatable uniform draw in [0, 1) from the columns' values."""
     bits = F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 52) - 1))
@@ -76,13 +98,18 @@ class WordHasher:
         blank = self.space[raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
+        return start, end, self.stretches(data, start, end)
+
+    def stretches(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from start up to end, for arrays of positions."""
+        raw = np.frombuffer(data, dtype=np.uint8)
         if not len(start):
-            return start, end, np.zeros(0, dtype=np.uint64)
+            return np.zeros(0, dtype=np.uint64)
         self._reach(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.table[raw] * self.up[: len(raw)], out=sums[1:])
         hashes = (sums[end] - sums[start]) * self.down[start]
-        return start, end, mix64(hashes + (end - start).astype(np.uint64))
+        return mix64(hashes + (end - start).astype(np.uint64))
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
         """Prefix sums over word hashes, for runs()."""

@@ -16,12 +16,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import settle
+from rowforge.llm.common import settle, worker_memory
 
 BANDS, RADIUS, PIVOTS, BUCKET = 4, 3, 16, 2048
 _REFERENCES = [int(x) for x in np.random.default_rng(64).integers(-(1 << 63), 1 << 63, PIVOTS)]
@@ -56,7 +57,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp") -> D
     """Add the fingerprint of a text column as a long."""
 
     @F.pandas_udf("long")
-    def of(texts):
+    def of(texts: pd.Series) -> pd.Series:
+        worker_memory("simhash")
         return texts.map(fingerprint, na_action=None)
 
     return docs.withColumn(into, of(F.col(f"`{text}`")))

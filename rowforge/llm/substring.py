@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import WordHasher, settle
+from rowforge.llm.common import WordHasher, settle, worker_memory
 
 WINDOW, ANCHOR = 35, 14
 #: Bytes of text that are hashed at once; a single longer document is hashed whole.
@@ -90,6 +90,7 @@ def _segments(hashes: np.ndarray, doc: np.ndarray, window: int) -> Iterator[tupl
 
 def _blocks(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("substring")
         hasher = WordHasher()
         names = ["doc_id", "crc", "anchor", "block", "first", "windows"]
         for batch in batches:
@@ -129,6 +130,7 @@ def _windows(window: int):
     """Hash of each window of a document's doubtful blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("substring")
         hasher = WordHasher()
         for batch in batches:
             edge, first, windows = _spans(batch.column("spans"))

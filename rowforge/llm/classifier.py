@@ -18,8 +18,11 @@ from rowforge.llm.common import unit_hash, worker_memory
 
 CHUNK, WIDTH, CHANNELS, FILTERS, HIDDEN = 256, 5, 8, 16, 16
 LAGS = range(2, 17)
+GAP = max(WIDTH, LAGS.stop + 4)
 #: Labelled rows that train the network, in expectation (at most twice as many).
 TRAINING_ROWS = 3000
+#: Steps of training at least, where there are few rows.
+STEPS = 300
 PAD = 256
 #: Bytes that are run through the filters at once.
 SLICE = 1 << 15
@@ -29,12 +32,16 @@ THRESHOLD = 0.3
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, document of each chunk): every text padded to whole chunks, by at least a filter's width."""
-    sizes = [-(-(len(t) + WIDTH - 1) // CHUNK) or 1 for t in texts]
+    """(symbols, document of each chunk): every text padded to whole chunks.
+
+    Padding before and behind a text is wider than filters and lags reach, so that a text's score does not
+    depend on the texts beside it.
+    """
+    sizes = [-(-(len(t) + 2 * GAP) // CHUNK) for t in texts]
     starts = np.concatenate(([0], np.cumsum(sizes))) * CHUNK
     symbols = np.full(int(starts[-1]), PAD, dtype=np.int16)
     for text, at in zip(texts, starts, strict=False):
-        symbols[at : at + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        symbols[at + GAP : at + GAP + len(text)] = np.frombuffer(text, dtype=np.uint8)
     return symbols, np.repeat(np.arange(len(texts)), sizes)
 
 
@@ -145,7 +152,8 @@ class Network:
         }
 
     def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 48, rate: float = 0.01, seed: int = 4) -> Network:
-        """Adam over shuffled batches, the rate falling to a twentieth."""
+        """Adam over shuffled batches, STEPS at least, the rate falling to a twentieth."""
+        epochs = max(epochs, -(-STEPS // -(-len(texts) // batch)))
         rng = np.random.default_rng(seed)
         first = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         second = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}

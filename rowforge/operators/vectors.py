@@ -15,7 +15,10 @@ def unit(vector: Column | str) -> Column:
     """The vector in double precision at length 1; a zero vector stays zero."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
+    # The length is bound once by way of a one-element array; inside the inner lambda it would be summed anew.
+    bound = F.array(F.struct(wide.alias("v"), length.alias("n")))
+    scaled = F.transform(bound, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -23,12 +26,21 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+BLOCK = 4096
+
+
+def _parts(df: DataFrame, blocks: int | None) -> int:
+    """Blocks of about BLOCK rows."""
+    return blocks or max(1, -(-df.count() // BLOCK))
+
+
 def _blocks(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
     return df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
     """(a, b, similarity) for all a < b at or above `threshold`: each pair of blocks is one matrix product."""
+    blocks = _parts(df, blocks)
     rows = _blocks(df, key, vector, blocks)
     pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
     table = df.sparkSession.createDataFrame(pairs, "left int, right int")
@@ -56,11 +68,12 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks
     return left.groupBy("i", "j").cogroup(right.groupBy("k", "l")).applyInPandas(product, schema)
 
 
-def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, blocks: int = 8) -> DataFrame:
+def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, blocks: int | None = None) -> DataFrame:
     """(id, similarity): the largest cosine of each row to any reference vector, by blocks; 0 without references."""
+    parts, blocks = _parts(reference, blocks), _parts(df, blocks)
     rows = _blocks(df, key, vector, blocks)
-    numbered = reference.select(unit(name(ref_vector)).alias("v")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    numbered = reference.select(unit(name(ref_vector)).alias("v")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+    spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     against = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -72,8 +85,8 @@ def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_v
             best = np.concatenate([(x[i : i + 1024] @ y.T).max(axis=1) for i in range(0, len(x), 1024)])
         return pd.DataFrame({"id": left["id"].to_numpy(), "similarity": np.maximum(best, 0.0)})
 
-    parts = spread.groupBy("block", "part").cogroup(against.groupBy("block", "part")).applyInPandas(product, "id long, similarity double")
-    return parts.groupBy("id").agg(F.max("similarity").alias("similarity"))
+    found = spread.groupBy("block", "part").cogroup(against.groupBy("block", "part")).applyInPandas(product, "id long, similarity double")
+    return found.groupBy("id").agg(F.max("similarity").alias("similarity"))
 
 
 def leakage_gate(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, threshold: float = 0.9) -> DataFrame:

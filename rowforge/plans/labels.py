@@ -59,7 +59,17 @@ def _(spark, d):
     return labels.markup_filter(pages, ["html"]).df
 
 
-EMAIL_SQL = r"regexp_replace(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+', '[email]', 'g')"
+_URL_SQL = r"(?:https?://|www\.)\S*[^\s.,;:!?)]"
+
+
+@register("pii1_emails", r"SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')) AS email FROM documents")
+def _(spark, d):
+    return documents(spark, d).select("doc_id", tx.pii_counts(tx.cell("text"))["email"].alias("email"))
+
+
+@register("pii2_scrub_url", f"SELECT page_id, regexp_replace('see ' || url || ').', '{_URL_SQL}', '[url]', 'g') AS text FROM pages")
+def _(spark, d):
+    return read_table(spark, d, "pages").select("page_id", tx.scrub(F.concat(F.lit("see "), "url", F.lit(")."))).alias("text"))
 
 
 @register("pii1_scan")
@@ -327,7 +337,10 @@ def _(spark, d):
     return vectors.leakage_gate(all_vectors.where("label > 1"), "vec_id", "embedding", all_vectors.where("label <= 1"), "embedding", 0.35).select("vec_id")
 
 
-@register("itr3_dedupe_semantic")
+@register("itr3_dedupe_semantic", """WITH RECURSIVE e AS MATERIALIZED (SELECT y.vec_id AS b, list(x.vec_id) AS near FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
+WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3 GROUP BY 1), o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n, near FROM embeddings LEFT JOIN e ON b = vec_id),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT o.n, CASE WHEN o.near IS NULL OR NOT list_has_any(kept, o.near) THEN list_append(kept, o.vec_id) ELSE kept END FROM walk JOIN o ON o.n = walk.n + 1)
+SELECT unnest(kept) AS vec_id FROM (FROM walk ORDER BY n DESC LIMIT 1)""")
 def _(spark, d):
     return vectors.dedupe_semantic(_vectors(spark, d), "vec_id", "embedding", 0.3).select("vec_id")
 
@@ -378,7 +391,8 @@ def _(spark, d):
     return vocab.estimate(walked.select("uri", F.lit(25).cast("long").alias("needed")), 10)
 
 
-@register("val8_slugs")
+@register("val8_slugs", """WITH s AS (SELECT p_partkey AS ord, p_type AS label, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord) AS n FROM s) SELECT ord, 'https://example.org/v/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS uri, label FROM n""")
 def _(spark, d):
     lines = read_table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_type").alias("line"))
     return vocab.slugs(lines, "https://example.org/v")

@@ -6,6 +6,7 @@ import json
 from datetime import UTC, datetime
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, tolerant: bool = False, schema: T.StructType | None = None) -> tuple[DataFrame, int]:
     """(flattened records, lines skipped): a bad line is refused with its number, or skipped if `tolerant`."""
     lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    parsed = schema or spark.read.json(lines.select("value").rdd.map(lambda r: r["value"])).schema
+    parsed = schema or spark.read.option("columnNameOfCorruptRecord", _BAD).json(path).schema
     fields = [f for f in parsed.fields if f.name != _BAD]
     shape = T.StructType([*fields, T.StructField(_BAD, T.StringType())])
     read = lines.select("_line", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
@@ -87,8 +88,19 @@ def union_records(tables: list[DataFrame]) -> DataFrame:
     return both.fillna("")
 
 
+def _array_lines(batches):
+    """The records of one part file as the lines of a JSON array."""
+    opened = False
+    for batch in batches:
+        if len(batch):
+            lead = pd.Series(["," if opened else "["] + [","] * (len(batch) - 1), index=batch.index)
+            opened = True
+            yield pd.DataFrame({"value": lead + batch["value"]})
+    yield pd.DataFrame({"value": ["]" if opened else "[]"]})
+
+
 def write_table(df: DataFrame, path: str, kind: str = "csv", separator: str = ";", spreadsheet_safe: bool = False, gzip: bool = False) -> None:
-    """CSV, JSON lines or a JSON array in one line per file; UTF-8, \\n line ends."""
+    """CSV, JSON lines, or a JSON array in each part file; UTF-8, \\n line ends."""
     if spreadsheet_safe:
         df = defuse(df)
     if kind == "csv":
@@ -99,7 +111,7 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", separator: str = ";
         (df.write.option("compression", "gzip") if gzip else df.write).json(path)
     elif kind == "json":
         record = F.to_json(F.struct(*[name(c) for c in df.columns]), {"ignoreNullFields": "false"})
-        df.select(record.alias("value")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).write.text(path)
+        df.select(record.alias("value")).mapInPandas(_array_lines, "value string").write.text(path)
     else:
         raise ValueError(f"Unknown format {kind!r}.")
 

@@ -26,6 +26,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def encode_texts(df: DataFrame, text: Column, encode, into: str = "vector") -> DataFrame:
+    """Add vectors by an injected function list of texts -> matrix, called on Arrow batches by the executors."""
+
+    @F.pandas_udf("array<float>")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(encode(batch.fillna("").tolist()), dtype=np.float32)), index=batch.index)
+
+    return df.withColumn(into, of(text))
+
+
 BLOCK = 4096
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowforge.functions.fields import TextField
-from rowforge.operators import balance, enrich, generate
+from rowforge.operators import balance, enrich, generate, registry
 from rowforge.sources import tables as src
 from rowforge.streaming import intake
 
@@ -106,6 +106,43 @@ def test_store(spark, tmp_path):
     assert store.delete("one") and store.list() == []
 
 
+def test_registry(spark, tmp_path):
+    rows = [(0, "Optics <b>and</b> light", "a,b"), (1, "Optics and light", "a"), (2, "cells", ""), (3, "mail x@y.org", "b"), (4, "cells too", "b")]
+    df = spark.createDataFrame(rows, "rid int, text string, label string")
+
+    def encode(texts):
+        return [[1.0, 0.0] if "cells" in t else [0.0, float(i % 2) + 1, 1.0][:2] for i, t in enumerate(texts)]
+
+    ctx = registry.Context("rid", ["text"], "label", encode=encode)
+    left = {n: sorted(r["rid"] for r in registry.run(n, df, p, ctx).df.collect()) for n, p in (
+        ("dedupe_exact", {}), ("dedupe_semantic", {"threshold": 0.9}), ("length", {"min": 6}), ("drop_no_label", {}), ("label_filter", {"substring": "b"}),
+        ("cap_per_label", {"cap": 1}), ("pii", {"mode": "drop"}), ("rules", {"rules": [{"column": "rid", "op": "gt", "value": 2}]}), ("dedupe_keys", {"keys": ["label"]}),
+    )}
+    assert left == {
+        "dedupe_exact": [0, 2, 3, 4], "dedupe_semantic": [0, 2], "length": [0, 1, 3, 4], "drop_no_label": [0, 1, 3, 4], "label_filter": [0, 3, 4],
+        "cap_per_label": [0], "pii": [0, 1, 2, 4], "rules": [3, 4], "dedupe_keys": [0, 1, 2, 3],
+    }
+    assert registry.run("markup", df, {}, ctx).stats.first().asDict() == {"before": 5, "changed": 1}
+    assert registry.run("rename_columns", df, {"mapping": {"text": "t"}}).df.columns == ["rid", "t", "label"]
+    for bad in (("nope", {}, ctx), ("length", {}, None), ("pii", {"mode": "x"}, ctx), ("length", {}, registry.Context("rid", ["zz"]))):
+        with pytest.raises(ValueError):
+            registry.run(bad[0], df, bad[1], bad[2])
+    store = src.Store(spark, str(tmp_path / "s"))
+    store.save(df, "one")
+    assert registry.apply(store, "one", "length", {"min": 6}, ctx)["removed"] == 1 and store.load("one").count() == 5
+    registry.apply(store, "one", "length", {"min": 6}, ctx, target="two")
+    assert store.load("two").count() == 4 and [h.get("filter") for h in store.history("two")] == [None, "length"]
+    with pytest.raises(ValueError):
+        registry.apply(store, "one", "length", {}, ctx, target="two")
+
+
+def test_json_array_parts(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "a int, b string").repartition(2)
+    src.write_table(df, str(tmp_path / "j"), "json")
+    records = [r for p in sorted((tmp_path / "j").glob("part-*")) for r in json.loads(p.read_text())]
+    assert sorted(r["a"] for r in records) == [0, 1, 2, 3, 4]
+
+
 def test_stream_restart(spark, tmp_path):
     schema = "label string, ord long, title string, description string, keywords string"
     kind = spark.createDataFrame([], schema).schema

@@ -138,6 +138,39 @@ def quota_gate(gated: DataFrame, needed: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(over, "over_quota").otherwise(F.col("verdict"))).drop("needed", "_n")
 
 
+def accept(
+    candidates: DataFrame, vector: str, needed: DataFrame, corridor: tuple[int, int], reference: DataFrame | None = None,
+    history: DataFrame | None = None, leakage: float = 0.9, duplicate: float = 0.95,
+) -> DataFrame:
+    """All gates in order: length, exact duplicate, leakage, semantic duplicate, quota; `ord` is unique.
+
+    `reference` and `history` carry vectors in a column of the same name. The quota is applied to what the
+    semantic gate leaves; an item beyond it may still have kept a later one from being new.
+    """
+    from rowforge.operators import vectors
+
+    gated = cheap_gates(candidates, corridor, history)
+    passed = gated.where("verdict = 'passed'").select("ord").join(candidates.select("ord", vector), "ord")
+    marks = gated.select("ord", "verdict").where("verdict <> 'passed'")
+
+    def near(against: DataFrame, limit: float) -> DataFrame:
+        return vectors.best_match(passed, "ord", vector, against, vector).where(F.col("similarity") >= limit).select(F.col("id").alias("ord"))
+
+    if reference is not None:
+        leaks = near(reference, leakage)
+        marks = marks.unionByName(leaks.withColumn("verdict", F.lit("discarded_leakage")))
+        passed = passed.join(leaks, "ord", "left_anti")
+    if history is not None and vector in history.columns:
+        again = near(history, duplicate)
+        marks = marks.unionByName(again.withColumn("verdict", F.lit("discarded_semantic_duplicate")))
+        passed = passed.join(again, "ord", "left_anti")
+    kept = vectors.dedupe_semantic(passed, "ord", vector, duplicate).select("ord")
+    repeated = passed.select("ord").join(kept, "ord", "left_anti")
+    marks = marks.unionByName(repeated.withColumn("verdict", F.lit("discarded_semantic_duplicate")))
+    out = gated.drop("verdict").join(marks, "ord", "left").withColumn("verdict", F.coalesce("verdict", F.lit("passed")))
+    return quota_gate(out, needed)
+
+
 def still_needed(planned: DataFrame, samples: DataFrame) -> DataFrame:
     """(label, needed) after what a run has kept; seen contents count in cheap_gates() through the history."""
     kept = samples.where(F.col("status").isin("passed", "approved")).groupBy("label").agg(F.count("*").alias("kept"))

@@ -64,6 +64,18 @@ def test_generation_gates(spark):
         generate.resolve_corridor({"min": 9, "max": 9})
 
 
+def test_all_gates(spark):
+    rows = [(0, "a", [1.0, 0.0]), (1, "b", [0.99, 0.05]), (2, "c", [0.0, 1.0]), (3, "d", [0.7, 0.7]), (4, "e", [-1.0, 0.0]), (5, "f", [0.3, -1.0]), (6, "a", [0.0, -1.0])]
+    given = spark.createDataFrame([("L", o, t, "long enough", "", v) for o, t, v in rows], "label string, ord long, title string, description string, keywords string, v array<float>")
+    leak = spark.createDataFrame([([0.0, 2.0],)], "v array<float>")
+    past = spark.createDataFrame([("x", "y", [0.71, 0.7])], "title string, description string, v array<float>")
+    needed = spark.createDataFrame([("L", 2)], "label string, needed long")
+    out = generate.accept(given, "v", needed, (5, 50), leak, past)
+    assert {r["ord"]: r["verdict"] for r in out.collect()} == {
+        0: "passed", 1: "discarded_semantic_duplicate", 2: "discarded_leakage", 3: "discarded_semantic_duplicate", 4: "passed", 5: "over_quota", 6: "discarded_duplicate",
+    }
+
+
 def test_term_bank(spark):
     df = spark.createDataFrame([(0, "Optik; Licht", "the Licht bricht", "p"), (1, "Licht", "Linsen und Licht", "p"), (2, "Zelle", "cells", "b")], "rid int, k string, t string, l string")
     bank = [(r["label"], r["term"]) for r in generate.term_bank(df, "rid", "l", ["k"], ["t"]).orderBy("label", "rank").collect()]

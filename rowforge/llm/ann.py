@@ -6,11 +6,14 @@ centroid and kept as codes. A query visits the lists whose centroids have the la
 number is set on the sample, so that these hold PROBED of its true neighbours. Codes are scored by an
 asymmetric distance table (query part times codeword), and the best are scored again on the original
 vectors in double precision. Lists are cut into blocks and dealt to shards of about BLOCK vectors, queries
-into chunks of about QUERIES; a task scores one chunk against one shard.
+into chunks of about QUERIES; a task scores one chunk against one shard. What a shard returns for a query
+is bounded by a score that about RERANK vectors reach according to the sample, so that more shards do not
+mean more candidates; a shard's LEAST best always go on.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ from rowforge.llm.common import settle, unit_hash
 #: Vectors that centroids and codebooks are fitted on, at most twice as many; every vector is indexed.
 SAMPLE = 16_384
 MAX_LISTS, PART, CODES, ROUNDS = 2048, 4, 256, 8
-RERANK, BLOCK, QUERIES = 384, 20_000, 2_000
+RERANK, LEAST, BLOCK, QUERIES = 384, 24, 20_000, 2_000
 #: Share of the true neighbours that the visited lists are to hold, and queries of the sample that set their number.
 PROBED, TUNED = 0.97, 256
 
@@ -139,9 +142,11 @@ def _scorer(index: Index, most: int):
                     near[rows, start:end] = some
             k = min(most, len(codes))
             best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            score = np.take_along_axis(near, best, 1).ravel()
-            found = {"asker": np.repeat(part["asker"].to_numpy(), k), "node": nodes[best].ravel(), "near": score}
-            out.append(pd.DataFrame(found)[score > -np.inf])
+            score = np.take_along_axis(near, best, 1)
+            least = min(LEAST, k)
+            floor = np.minimum(part["floor"].to_numpy()[:, None], -np.partition(-score, least - 1, axis=1)[:, least - 1 : least])
+            found = {"asker": np.repeat(part["asker"].to_numpy(), k), "node": nodes[best].ravel(), "near": score.ravel()}
+            out.append(pd.DataFrame(found)[((score >= floor) & (score > -np.inf)).ravel()])
         return pd.concat(out)
 
     return run
@@ -194,17 +199,22 @@ def search(
     chunks = max(1, -(-nodes.where("asks").count() // QUERIES))
     homes = {one: sorted({(one * 7919 + b * 104729) % shards for b in range(n)}) for one, n in blocks.items()}
 
-    @F.pandas_udf("array<int>")
-    def shards_of(x: pd.Series) -> pd.Series:
+    #: Place among the sample of the score that half as many again as are reranked reach among all.
+    place = min(len(sample), math.ceil(1.5 * rerank * len(sample) / total)) - 1
+
+    @F.pandas_udf("struct<shards:array<int>,floor:float>")
+    def route(x: pd.Series) -> pd.DataFrame:
         q = np.stack(x.to_numpy()).astype(np.float32) if len(x) else np.zeros((0, index.centroids.shape[1]), np.float32)
-        return pd.Series([sorted({s for one in np.flatnonzero(v) for s in homes.get(one, ())}) for v in index.visited(q)], index=x.index)
+        shards_of = [sorted({s for one in np.flatnonzero(v) for s in homes.get(one, ())}) for v in index.visited(q)]
+        floor = [np.partition(-(sample @ one), place)[place] for one in q]
+        return pd.DataFrame({"shards": shards_of, "floor": -np.array(floor, dtype=np.float32)})
 
     cut = table.sparkSession.createDataFrame(sorted(blocks.items()), "list int, blocks int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     table = table.join(F.broadcast(cut), "list").withColumn("shard", ((F.col("list") * 7919 + block * 104729) % shards).cast("int"))
     table = table.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("shard", "chunk", "list", "node", "code")
     asking = nodes.where("asks").select(F.col("node").alias("asker"), "vector")
-    visits = asking.withColumn("shard", F.explode(shards_of("vector")))
+    visits = asking.withColumn("r", route("vector")).select("asker", "vector", "r.floor", F.explode("r.shards").alias("shard"))
     visits = visits.withColumn("chunk", F.pmod(F.xxhash64("asker"), F.lit(chunks)).cast("int"))
     found = (
         table.groupBy("shard", "chunk")

@@ -7,9 +7,9 @@ under its anchor, and one narrow row for each block is all that is shuffled to f
 parse against the indexed blocks goes from left to right:
 
 - a block whose anchor occurs once in the corpus has no match: its words are literals;
-- a block all of whose namesakes are equal to it is copied whole into the current factor;
+- a block that equals another one is copied whole into the current factor;
 - at any other block, where factors may begin and end, its windows are looked up one by one among the
-  windows of all blocks with that anchor, so that a match across a factor's boundary is not missed.
+  windows of all different blocks with that anchor, so that a match across a factor's boundary is not missed.
 
 Consecutive matches form a factor; factors have at least WINDOW words and their words are removed.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import WordHasher, settle, worker_memory
+from rowforge.llm.common import WordHasher, settle_table, worker_memory
 
 WINDOW, ANCHOR = 35, 14
 #: Bytes of text that are hashed at once; a single longer document is hashed whole.
@@ -133,8 +133,8 @@ def _windows(window: int):
         worker_memory("substring")
         hasher = WordHasher()
         for batch in batches:
-            edge, first, windows = _spans(batch.column("spans"))
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            edge, first, windows = _spans(batch.column(3))
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 _, _, hashes = hasher.words((text or "").encode())
                 own = slice(edge[row], edge[row + 1])
                 size = windows[own]
@@ -142,7 +142,7 @@ def _windows(window: int):
                 found = hasher.runs(hasher.sums(hashes), at, at + window)
                 same = pa.array(np.full(len(at), row))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(same), batch.column("crc").take(same), pa.array(found.view(np.int64)), pa.array(at.astype(np.int32))],
+                    [batch.column(0).take(same), batch.column(1).take(same), pa.array(found.view(np.int64)), pa.array(at.astype(np.int32))],
                     names=["doc_id", "crc", "hash", "first"],
                 )
 
@@ -191,29 +191,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     """
     new = {"kept", "n_words", "n_removed", text.lower()}
     own = [c for c in docs.columns if c.lower() not in new]
-    texts = docs.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    texts = texts.withColumn("crc", (F.crc32("text") - F.lit(1 << 31)).cast("int"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    marks = [F.xxhash64(F.col(f"`{doc_id}`")).alias("_doc"), (F.crc32(body) - F.lit(1 << 31)).cast("int").alias("_crc")]
+    # Both joins below take all of these columns, so that Spark shuffles the texts once and reuses the exchange.
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], *marks, body.alias("_text"))
+    texts = rows.select(F.col("_doc").alias("doc_id"), F.col("_crc").alias("crc"), F.col("_text").alias("text"))
     schema = "doc_id long, crc int, anchor long, block long, first int, windows int"
     blocks = texts.mapInArrow(_blocks(window, min(ANCHOR, window)), schema)
     known = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
     known = known.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("whole"))
-    found = settle(blocks.join(known, "anchor").select("doc_id", "crc", "first", "windows", "whole"))
+    found = blocks.join(known, "anchor")
+    only_doubtful = [F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("anchor", "block")]
+    found = settle_table(found.select("doc_id", "crc", "first", "windows", "whole", *only_doubtful))
 
     key = ["doc_id", "crc"]
-    doubtful = found.where("not whole").groupBy(*key).agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
-    asked = texts.join(doubtful, key).select(*key, "text", "spans")
+    place = F.struct(*key, "first")
+    unlike = found.where("not whole")
+    alike = unlike.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    unlike = settle_table(unlike.join(alike, ["anchor", "block"]).select(*key, "first", "windows", "n", (place == F.col("one")).alias("asks")))
+    # A block with an equal is copied whole; one of its kind still answers for the others of its anchor.
+    doubtful = unlike.where("asks").groupBy(*key).agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
+    asked = rows.join(doubtful.withColumnsRenamed({"doc_id": "_doc", "crc": "_crc"}), ["_doc", "_crc"])
+    asked = asked.select(F.col("_doc"), F.col("_crc"), "_text", "spans", *[F.col(f"`{c}`") for c in own])
     windows = asked.mapInArrow(_windows(window), "doc_id long, crc int, hash long, first int")
     again = windows.groupBy("hash").count().where("count > 1").select("hash")
     matched = windows.join(again, "hash").select(*key, "first", F.lit(1).alias("windows"))
-    factors = found.where("whole").select(*key, "first", "windows").unionByName(matched)
+    copied = found.where("whole").unionByName(unlike.where("n > 1"), allowMissingColumns=True).select(*key, "first", "windows")
+    factors = copied.unionByName(matched)
     factors = factors.groupBy(*key).agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
 
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.xxhash64(F.col(f"`{doc_id}`")).alias("_doc"),
-        (F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))) - F.lit(1 << 31)).cast("int").alias("_crc"),
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"),
-    )
     joined = rows.join(factors.withColumnsRenamed({"doc_id": "_doc", "crc": "_crc"}), ["_doc", "_crc"], "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in own]
     out = ", ".join([*fields, "kept string, n_words long, n_removed long"])

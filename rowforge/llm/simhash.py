@@ -90,7 +90,7 @@ def _bands(mask_left: list[int]) -> list[int]:
     return [sum(1 << b for b in mask_left[i : i + size]) for i in range(0, len(mask_left), size)]
 
 
-def _keyed(rows: DataFrame, level: int, used: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+def _keyed(rows: DataFrame, used: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """Rows of (fp, pivots, path) dealt to the bands that are left; used: the mask that each path has fixed."""
     paths, options = {}, []
     for path, mask in used.items():
@@ -110,7 +110,7 @@ def buckets(fps: DataFrame, largest: int = BUCKET) -> DataFrame:
     rows, used = fps.withColumn("path", F.lit(0)), {0: 0}
     done = None
     for level in range(3):
-        rows, used = _keyed(rows, level, used)
+        rows, used = _keyed(rows, used)
         if level < 2:
             full = settle(rows.groupBy("key").count().where(F.col("count") > largest).select("key"))
             kept = rows.join(full, "key", "left_anti").select("fp", "pivots", "key")

@@ -8,6 +8,7 @@ travel to Python only for the cells that need them.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -20,6 +21,8 @@ TAG = r"<[A-Za-z/!?][^<>]*>"
 MARKDOWN_LINK = r"!?\[([^\[\]]*)\]\([^()]*\)"
 MARKDOWN_MARKS = r"[*_`~#>]+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+#: Combining marks of the Latin block.
+LATIN_MARKS = re.compile("[\u0300-\u036f]+")
 # What counts as personal data, in the order in which it is masked.
 EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 URL = r"(?U)(?=(?:https?://|www\.)\S)\S*[^\s.,;:!?)]"
@@ -67,10 +70,7 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
-    def fold(text: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F)
-
-    return values.map(fold, na_action="ignore")
+    return values.map(lambda text: LATIN_MARKS.sub("", unicodedata.normalize("NFKD", text)), na_action="ignore")
 
 
 def unescape(text: Column) -> Column:

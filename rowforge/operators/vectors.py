@@ -1,7 +1,10 @@
-"""Cosine similarity: exact blocked search, leakage gate, semantic deduplication, banded candidates."""
+"""Cosine similarity: exact blocked search, leakage gate, semantic deduplication, exact search over banded blocks."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,12 +51,9 @@ def _blocks(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
     return df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, similarity) for all a < b at or above `threshold`: each pair of blocks is one matrix product."""
-    blocks = _parts(df, blocks)
-    rows = _blocks(df, key, vector, blocks)
-    pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
-    table = df.sparkSession.createDataFrame(pairs, "left int, right int")
+def _products(rows: DataFrame, pairs: list[tuple[int, int]], threshold: float) -> DataFrame:
+    """(a, b, similarity) for all a < b at or above `threshold` in the given pairs of blocks, each one matrix product."""
+    table = rows.sparkSession.createDataFrame(pairs, "left int, right int")
     schema = "a long, b long, similarity double"
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -66,10 +66,10 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks
             i, j = np.nonzero(near >= threshold)
             out.append(pd.DataFrame({"a": left["id"].to_numpy()[i + low], "b": right["id2"].to_numpy()[j], "similarity": near[i, j]}))
         found = pd.concat(out)
-        if left["block"].iloc[0] == right["home"].iloc[0]:
-            return found[found["a"] < found["b"]]
-        low, high = np.minimum(found["a"], found["b"]), np.maximum(found["a"], found["b"])
-        return pd.DataFrame({"a": low, "b": high, "similarity": found["similarity"]})
+        if left["block"].iloc[0] != right["home"].iloc[0]:
+            low, high = np.minimum(found["a"], found["b"]), np.maximum(found["a"], found["b"])
+            found = pd.DataFrame({"a": low, "b": high, "similarity": found["similarity"]})
+        return found[found["a"] < found["b"]]
 
     left = rows.join(F.broadcast(table.withColumn("block", F.col("left"))), "block")  # blocks * (blocks + 1) / 2 rows
     right = rows.join(F.broadcast(table.withColumn("block", F.col("right"))), "block")
@@ -78,6 +78,12 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks
     return left.groupBy("i", "j").cogroup(right.groupBy("k", "l")).applyInPandas(product, schema)
 
 
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
+    """(a, b, similarity) for all a < b at or above `threshold`: each pair of blocks is one matrix product."""
+    blocks = _parts(df, blocks)
+    return _products(_blocks(df, key, vector, blocks), [(i, j) for i in range(blocks) for j in range(i, blocks)], threshold)
+
+
 def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, blocks: int | None = None) -> DataFrame:
     """(id, similarity): the largest cosine of each row to any reference vector, by blocks; 0 without references."""
     parts, blocks = _parts(reference, blocks), _parts(df, blocks)
@@ -114,19 +120,67 @@ def dedupe_semantic(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     return df.join(kept.withColumnRenamed("id", "_kept_id"), name(key).cast("long") == F.col("_kept_id"), "left_semi")
 
 
-def banded_pairs(df: DataFrame, key: str, vector: str, dims: int, threshold: float, bands: int = 24, bits: int = 6, seed: int = 1) -> DataFrame:
-    """Pairs that agree in the signs of some band of random projections, verified; recall grows with `bands`."""
+#: Rows drawn for each banded block to find where it begins.
+SAMPLE = 64
+#: Angle in radians that rounding may add to or take from a bound.
+SLACK = 1e-6
+
+
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
+
+
+def near_blocks(centers: np.ndarray, radii: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(i, j), i <= j, of the blocks that may hold a pair at or above `threshold`.
+
+    Angles obey the triangle inequality, so two blocks whose centers lie farther apart than both radii and the
+    threshold's angle hold none.
+    """
+    reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + SLACK
+    out = []
+    for i in range(len(centers)):
+        apart = _angles(centers[i : i + 1], centers[i:])[0] - radii[i] - radii[i:]
+        out.extend((i, i + int(j)) for j in np.flatnonzero(apart <= reach))
+    return out
+
+
+def banded_pairs(
+    df: DataFrame, key: str, vector: str, dims: int, threshold: float, bands: int = 24, bits: int = 6, seed: int = 1, blocks: int | None = None
+) -> DataFrame:
+    """(a, b, similarity) for all a < b at or above `threshold`, as similar_pairs(); rows of a null key or vector have none.
+
+    The signs of random projections, `bands` of `bits` each, order the rows: a code with too many rows is divided by
+    the next band, and equal signatures by the key. Stretches of that order, cut at places drawn from a sample, are
+    the blocks, so that like vectors share one. Only pairs of blocks that a bound on their angles excludes are left out.
+    """
     planes = np.random.default_rng(seed).standard_normal((bands * bits, dims))
 
-    @F.pandas_udf("array<int>")
-    def signatures(values: pd.Series) -> pd.Series:
-        if not len(values):
-            return pd.Series([], dtype=object)
-        signs = (np.stack(values.to_numpy()) @ planes.T > 0).reshape(len(values), bands, bits)
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
-
-    rows = df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v"))
-    each = rows.select("id", F.posexplode(signatures("v")).alias("band", "code"))
-    pairs = each.alias("x").join(each.alias("y"), ["band", "code"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return found.withColumn("similarity", cosine("va", "vb")).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    def places(part: pd.DataFrame) -> list[bytes]:
+        signs = np.packbits(np.stack(part["v"].to_numpy()) @ planes.T > 0, axis=1)
+        return [row.tobytes() + (i + (1 << 63)).to_bytes(8, "big") for row, i in zip(signs, part["id"].tolist(), strict=True)]
+
+    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (pd.DataFrame({"place": places(part)}) for part in parts if len(part))
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (part.assign(block=[bisect_right(bounds, p) for p in places(part)]) for part in parts if len(part))
+
+    rows = df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).where("id is not null and v is not null")
+    count = rows.count()
+    blocks = blocks or max(1, -(-count // BLOCK))
+    drawn = rows.sample(min(1.0, SAMPLE * blocks / max(count, 1)), seed) if blocks > 1 else rows.limit(0)
+    drawn = sorted(bytes(r[0]) for r in drawn.mapInPandas(placed, "place binary").collect())
+    bounds = [drawn[len(drawn) * i // blocks] for i in range(1, blocks)] if drawn else []
+
+    def ball(block: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(block["v"].to_numpy())
+        center = v.sum(axis=0)
+        center = center / (np.linalg.norm(center) or 1.0)
+        return pd.DataFrame({"block": [block["block"].iloc[0]], "center": [center], "radius": [_angles(v, center[None, :]).max()]})
+
+    rows = rows.mapInPandas(dealt, "id long, v array<double>, block int")
+    balls = rows.groupBy("block").applyInPandas(ball, "block int, center array<double>, radius double").orderBy("block").collect()
+    if not balls:
+        return _products(rows, [], threshold)
+    pairs = near_blocks(np.array([r["center"] for r in balls]), np.array([r["radius"] for r in balls]), threshold)
+    return _products(rows, [(balls[i]["block"], balls[j]["block"]) for i, j in pairs], threshold)

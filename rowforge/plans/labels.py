@@ -321,12 +321,15 @@ def _vectors(spark, d):
     return read_table(spark, d, "embeddings")
 
 
-@register("vec1_similar_pairs", "SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4")
+_PAIRS = "SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4"
+
+
+@register("vec1_similar_pairs", _PAIRS)
 def _(spark, d):
     return vectors.similar_pairs(_vectors(spark, d), "vec_id", "embedding", 0.4).withColumn("similarity", F.round("similarity", 4))
 
 
-@register("vec2_banded_pairs")
+@register("vec2_banded_pairs", _PAIRS)
 def _(spark, d):
     return vectors.banded_pairs(_vectors(spark, d), "vec_id", "embedding", 64, 0.4).withColumn("similarity", F.round("similarity", 4))
 

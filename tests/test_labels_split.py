@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,31 @@ def test_vectors(spark):
     assert sorted(r["id"] for r in left.collect()) == [i for i in range(25) if all(cos(i, j) < 0.6 for j in range(25, 51))]
 
 
+def test_banded_pairs_are_whole(spark):
+    rng = np.random.default_rng(5)
+    # 120 vectors at random, 60 close to one direction and 60 to its opposite: hot codes, and blocks that a bound excludes.
+    hot = rng.standard_normal(16)
+    near = [s * hot + 0.05 * rng.standard_normal(16) for s in (1, -1) for _ in range(60)]
+    values = [*rng.standard_normal((120, 16)), *near, np.zeros(16)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)] + [(1000, None), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    x = np.array(values, dtype=np.float32).astype(float)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    cos = unit @ unit.T
+    for threshold in (0.4, 0.9):
+        want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if cos[i, j] >= threshold}
+        found = [(r["a"], r["b"]) for r in vectors.banded_pairs(df, "id", "v", 16, threshold, blocks=8).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert vectors.banded_pairs(df.where("id < 0"), "id", "v", 16, 0.4).count() == 0
+
+
+def test_near_blocks_keeps_what_may_meet():
+    centers = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
+    assert vectors.near_blocks(centers, np.full(3, 0.1), 0.9) == [(0, 0), (1, 1), (2, 2)]
+    assert vectors.near_blocks(centers, np.array([0.6, 0.6, 0.1]), 0.9) == [(0, 0), (0, 1), (1, 1), (2, 2)]
+    assert len(vectors.near_blocks(centers, np.full(3, np.pi / 2), 0.9)) == 6
+
+
 def test_vocabulary(spark):
     rows = [("a", "A", None, 0), ("b", "B", "a", 1), ("c", "C", "a", 0), ("d", "D", "b", 0), ("x", "X", "y", 0), ("y", "Y", "x", 0)]
     walked = vocab.tree(spark.createDataFrame(rows, "uri string, label string, broader string, ord int"), "Top")

@@ -80,11 +80,25 @@ md AS (SELECT label, coalesce(quantile_cont(size::DOUBLE, 0.5) FILTER (WHERE who
 y AS (SELECT x.*, median FROM x JOIN md USING (label) QUALIFY row_number() OVER (PARTITION BY label, print ORDER BY touched, NOT whole, abs(size - median), size DESC, row) = 1)"""
 
 
+def _picked(df):
+    return balance.pick_examples(df, "doc_id", F.array("lang"), [TextField("source"), TextField("text")], 4, F.col("doc_id") % 5 == 0)
+
+
 @register("win6_pick_examples", f"""WITH e AS (SELECT doc_id, lang, source, trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g')) AS text FROM documents), {_EXAMPLES}
 SELECT label, row_number() OVER (PARTITION BY label ORDER BY touched, NOT whole, abs(size - median), size DESC, row)::INT AS rank, row FROM y QUALIFY rank <= 4""")
 def _(spark, d):
     df = documents(spark, d).withColumn("text", F.trim(F.regexp_replace(F.substring("text", 1, 40), "\\s+", " ")))
-    return balance.pick_examples(df, "doc_id", F.array("lang"), [TextField("source"), TextField("text")], 4, F.col("doc_id") % 5 == 0)
+    return _picked(df)
+
+
+_ENDS = r"'^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g'"
+_WHOLE = _EXAMPLES.replace("left(text, 40)", "text").replace("lower(source || chr(10) || text)", "replace(lower(source || chr(10) || text), 'ß', 'ss')")
+
+
+@register("win6_pick_whole_examples", f"""WITH e AS (SELECT doc_id, lang, regexp_replace(coalesce(source, ''), {_ENDS}) AS source, regexp_replace(coalesce(text, ''), {_ENDS}) AS text FROM documents), {_WHOLE}
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY touched, NOT whole, abs(size - median), size DESC, row)::INT AS rank, row FROM y QUALIFY rank <= 4""")
+def _(spark, d):
+    return _picked(documents(spark, d))
 
 
 _PLAN = """e AS (SELECT doc_id % 11 = 0 AS made, unnest([lang, source]) AS label FROM documents), s AS (SELECT label, count(*) AS support, count(*) FILTER (WHERE made) AS made FROM e GROUP BY label),

@@ -42,6 +42,17 @@ def test_examples_gate_assemble(spark):
     assert made.count() == 16 and made.where("generated_for = 'M'").count() == 2 and made.where("example_for <> ''").count() == 4
 
 
+def test_whole_texts_are_shown(spark, tmp_path):
+    from rowforge.plans import catalog
+
+    head = "The same beginning of more than forty characters, "
+    texts = [(1, head + "a"), (2, head + "b" * 3), (3, head + "b" * 3), (4, head + "c" * 20), (5, head + "d"), (6, " " + head + "A"), (7, head + "e" * 9), (8, None)]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    shown = catalog.queries()["win6_pick_whole_examples"](spark, str(tmp_path))
+    # Sizes behind the head of the complete rows but 5: 1, 3, 3, 20, 1, 9, median 3; row 3 repeats 2 and 6 repeats 1.
+    assert [r["row"] for r in shown.orderBy("rank").collect()] == [2, 1, 7, 4]
+
+
 def test_enrichment(spark):
     df = spark.createDataFrame([(0, "t", "a", "L"), (1, "t", "a", "L"), (2, "u", "a,b", "L"), (3, "v", "", "L")], "rid int, title string, tags string, label string")
     asked = enrich.prompts(df, "rid", FIELDS, "tags", "label")

@@ -18,12 +18,6 @@ from rowforge.session import read_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _same_columns(rows: DataFrame, text: str) -> DataFrame:
-    """The columns of documents, with the given column as text."""
-    kept = rows.withColumn("text", F.col(text)).withColumn("n_chars", F.length(text).cast("long"))
-    return kept.select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at the threshold or above."""
     network = classifier.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -36,9 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated 35-word windows; those that lose all their words go."""
-    cut = substring.remove_repeats(docs)
-    return _same_columns(cut.where("n_removed = 0 or n_removed < n_words"), "kept")
+    """Documents without their repeated 35-word windows, else as written (null as ''); those that lose all their words go."""
+    cut = substring.remove_repeats(docs, as_written=True).where("n_removed = 0 or n_removed < n_words")
+    text = F.coalesce("kept", F.lit(""))
+    changed = (F.col("n_removed") > 0) | F.col("kept").isNull()
+    size = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("text", text).withColumn("n_chars", size).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

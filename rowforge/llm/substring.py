@@ -16,6 +16,7 @@ Consecutive matches form a factor; factors have at least WINDOW words and their
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +150,32 @@ def _windows(window: int):
     return run
 
 
-def _parse(window: int):
+_WORD = re.compile(rb"[^ \t\n\r\f\v]+")
+
+
+def cut_spans(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the marked words, all other words and the white space between them as written.
+
+    Of the white space before and behind a run of removed words the one with more line breaks stays, else the
+    first; at either end of the text the outer one stays.
+    """
+    at = [m.span() for m in _WORD.finditer(text)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+    out, low = [], 0
+    for first, last in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True):
+        begin, end = at[first][0], at[last][1]
+        before = text[at[first - 1][1] if first else 0 : begin]
+        behind = text[end : at[last + 1][0] if last + 1 < len(at) else len(text)]
+        if last + 1 == len(at) and first or first and behind.count(b"\n") > before.count(b"\n"):
+            begin -= len(before)
+        else:
+            end += len(behind)
+        out.append(text[low:begin])
+        low = end
+    return b"".join([*out, text[low:]])
+
+
+def _parse(window: int, as_written: bool):
     """Cut a document's factors out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +183,23 @@ def _parse(window: int):
             kept, total, removed = [], [], []
             edge, first, windows = _spans(batch.column("spans"))
             for row, text in enumerate(batch.column("text").to_pylist()):
-                words = (text or "").encode().split()
+                body = (text or "").encode()
+                words = body.split()
                 total.append(len(words))
                 own = slice(edge[row], edge[row + 1])
                 if edge[row] < edge[row + 1]:
                     cover = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(cover, first[own], 1)
                     np.add.at(cover, first[own] + windows[own] + window - 1, -1)
-                    left = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                    removed.append(len(words) - len(left))
-                    words = [words[i] for i in left]
+                    gone = np.cumsum(cover[:-1]) > 0
+                    removed.append(int(gone.sum()))
+                    if as_written:
+                        text = cut_spans(body, gone).decode()
+                    else:
+                        words = [words[i] for i in np.flatnonzero(~gone)]
                 else:
                     removed.append(0)
-                kept.append(b" ".join(words).decode())
+                kept.append(text if as_written else b" ".join(words).decode())
             rest = batch.schema.names.index("text")
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(batch.num_columns) if i not in (rest, batch.num_columns - 1)],
@@ -180,12 +210,12 @@ def _parse(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Add kept (the remaining words, joined by one space), n_words and n_removed to every row.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", as_written: bool = False) -> DataFrame:
+    """Add kept (the remaining words, joined by one space; with `as_written` the text without its removed spans), n_words and n_removed to every row.
 
     A word goes if it lies in a window of `window` consecutive words whose sequence starts anywhere else
     too, in the same document or another, the first occurrence included. Null, empty and short texts lose
-    nothing (kept is the text with its white space made even, '' for null). Rows repeated with the same
+    nothing (kept is the text with its white space made even, '' for null; with `as_written` the text itself). Rows repeated with the same
     id and text count as separate texts and lose the same words. Input columns with the names of result
     columns are replaced, and the text column itself is not returned. An empty table gives an empty result.
     """
@@ -194,7 +224,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marks = [F.xxhash64(F.col(f"`{doc_id}`")).alias("_doc"), (F.crc32(body) - F.lit(1 << 31)).cast("int").alias("_crc")]
     # Both joins below take all of these columns, so that Spark shuffles the texts once and reuses the exchange.
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], *marks, body.alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], *marks, F.col(f"`{text}`").alias("_text"))
     texts = rows.select(F.col("_doc").alias("doc_id"), F.col("_crc").alias("crc"), F.col("_text").alias("text"))
     schema = "doc_id long, crc int, anchor long, block long, first int, windows int"
     blocks = texts.mapInArrow(_blocks(window, min(ANCHOR, window)), schema)
@@ -223,4 +253,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     joined = rows.join(factors.withColumnsRenamed({"doc_id": "_doc", "crc": "_crc"}), ["_doc", "_crc"], "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in own]
     out = ", ".join([*fields, "kept string, n_words long, n_removed long"])
-    return joined.select(*[F.col(f"`{c}`") for c in own], F.col("_text").alias("text"), "spans").mapInArrow(_parse(window), out)
+    return joined.select(*[F.col(f"`{c}`") for c in own], F.col("_text").alias("text"), "spans").mapInArrow(_parse(window, as_written), out)

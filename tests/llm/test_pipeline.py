@@ -51,6 +51,20 @@ def test_stages(spark, folder):
     assert abs(words(fourth) / words(third) - 1.5) < 0.05
 
 
+def test_substring_stage_keeps_what_is_written(spark):
+    rng = random.Random(13)
+    again = "\n".join(" ".join(f"r{rng.randrange(10**6)}" for _ in range(9)) for _ in range(5))
+    clean = " Title\n\n  one\ttwo  three\n"
+    docs = [
+        (1, clean, "en", "s", 7), (2, None, "en", "s", None), (3, " \n", "en", "s", 2),
+        (4, f" a\tb\n\n{again} c  d\n", "en", "s", 0), (5, f"e  f {again}\ng \t h", "en", "s", 0), (6, f"\t{again}\n i\n\nj ", "en", "s", 0),
+        (7, f"k\n l {again} \n", "en", "s", 0), (8, again, "en", "s", 0),
+    ]
+    third = corpus_pipeline.substring_dedup(spark, spark.createDataFrame(docs, SCHEMA), "")
+    want = {1: (clean, 7), 2: ("", 0), 3: (" \n", 2), 4: (" a\tb\n\nc  d\n", 11), 5: ("e  f\ng \t h", 10), 6: ("\ti\n\nj ", 6), 7: ("k\n l \n", 6)}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in third.collect()} == want
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert set(out.columns) == {"doc_id", "lang", "source", "n_tokens", "ids"} and out.count() > 100

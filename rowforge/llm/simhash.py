@@ -209,12 +209,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _classes(printed: DataFrame) -> DataFrame:
-    """(fp, component_id) from (doc_id, fp)."""
+    """(fp, root, component_id) from (doc_id, fp); the root is the component's smallest fingerprint."""
     nodes = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -237,10 +237,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     rows = keyed.select("_id", "_mark", F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     printed = settle(with_fingerprint(rows).select("_id", "_mark", "doc_id", "fp"))
     classes = _classes(printed)
-    # The component's key must differ even where no member has an id.
-    nodes = printed.join(classes, "fp").withColumn("_class", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))))
+    nodes = printed.join(classes, "fp")  # the root names a component even where no member has an id
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_mark").alias("m"))
-    chosen = nodes.groupBy("_class").agg(F.min_by(F.struct("_id", "_mark"), order).alias("c"), F.count("*").alias("n"))
+    chosen = nodes.groupBy("root").agg(F.min_by(F.struct("_id", "_mark"), order).alias("c"), F.count("*").alias("n"))
     chosen = settle(chosen.select("c._id", "c._mark"))
     kept = keyed.join(chosen, ["_id", "_mark"], "left_semi")
     copies = printed.join(chosen, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").count().where("count > 1")

@@ -149,6 +149,16 @@ def closed(links, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_keep_one_of_near_copies_without_ids(spark):
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 400, 40)]
+    fps = [fingerprint(t) for t in texts]
+    group = closed([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3], range(len(fps)))
+    assert len(set(group.values())) < len(set(fps))
+    kept = simhash.keep_one(spark.createDataFrame([(None, t, "en", "s", 0) for t in texts], SCHEMA)).collect()
+    assert sorted(group[texts.index(r["text"])] for r in kept) == sorted(set(group.values()))
+
+
 def test_simhash_equals_brute_force(docs, clashing, empty):
     rows = clashing.collect()
     fps = [fingerprint(r["text"]) for r in rows]

@@ -13,15 +13,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder of spark.checkpoint.dir; a temporary one where it is unset."""
+    """Cut the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all machines share."""
+    """The folder of spark.checkpoint.dir, which all machines share; a session on one machine may leave it unset and gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowforge-checkpoint-"))
     return context.getCheckpointDir()

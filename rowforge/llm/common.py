@@ -4,34 +4,25 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.session import settle, shared_folder
+
+__all__ = ["settle", "shared_folder"]
+
 #: A word is a run of anything but the space and the five ASCII controls 9 to 13; bytes.split() cuts at the same six.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 _MASK = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: the one that the cluster names, else a temporary one (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowforge-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def settle_table(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder, a fraction of a checkpoint's size.
 
@@ -45,6 +36,28 @@ def settle_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose values in a string column have about `size` bytes; a longer value comes alone."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        group = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)[:-1])) // size if len(lengths) else lengths
+        edge = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(lengths) else []
+        for low, high in zip(edge[:-1], edge[1:], strict=True):
+            yield batch.slice(low, high - low)
+
+
 _KEPT: dict = {}
 
 

@@ -127,6 +127,55 @@ def test_substring_periodic_and_empty(spark, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_factors_are_extended_word_by_word():
+    rng = random.Random(21)
+    w = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    join = lambda *parts: " ".join(x for p in parts for x in p).encode()
+    blocks = [
+        join(w[:10], w[100:150], w[20:30]), join(w[30:40], w[100:140], w[40:60]), join(w[60:70], w[110:150], w[70:90]), join(w[150:200]),
+        join(w[100:134]),
+    ]
+    found = substring.factors(blocks, [True, True, True, True, True], 35)
+    # The first is copied from the second up to its end, and from the third behind it: two factors that cross.
+    assert found == [(0, 10, 40), (0, 20, 40), (1, 10, 40), (2, 10, 40)]
+    assert substring.factors(blocks, [False, True, False, False, False], 35) == [(1, 10, 40)]
+    assert substring.joined(np.array([10, 16]), np.array([6, 11]), 35) == [(10, 61)]  # windows follow on
+    assert substring.joined(np.array([17, 10]), np.array([11, 6]), 35) == [(10, 50), (17, 62)]
+
+
+def test_factors_equal_brute_force():
+    rng = random.Random(22)
+    for _ in range(60):
+        blocks = [[rng.choice("ab") for _ in range(rng.randint(4, 9))] for _ in range(rng.randint(1, 7))]
+        # as blocks are cut, no window stands twice in one of them
+        blocks = [b for b in blocks if len({tuple(b[i : i + 4]) for i in range(len(b) - 3)}) == len(b) - 3]
+        gone = [np.zeros(len(b), dtype=bool) for b in blocks]
+        for block, at, size in substring.factors([" ".join(b).encode() for b in blocks], [True] * len(blocks), 4):
+            gone[block][at : at + size] = True
+        assert [[x for x, g in zip(b, m, strict=True) if not g] for b, m in zip(blocks, gone, strict=True)] == windows_removed(blocks, 4)
+
+
+def test_substring_overfull_anchors_and_long_factors(spark, monkeypatch):
+    """A passage of many blocks in many texts: with GROUP = 2 its ends are looked up window by window."""
+    rng = random.Random(23)
+    new = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = new(150)
+    texts = [f"{new(40)} {passage} {new(40)}" for _ in range(30)] + [f"{passage} {new(3)}", new(200)] + [new(60)] * 20
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5)
+    want = sorted(b" ".join(k).decode() for k in windows_removed([t.encode().split() for t in texts]))
+    for group in (2048, 2):
+        monkeypatch.setattr(substring, "GROUP", group)
+        assert sorted(r["kept"] for r in substring.remove_repeats(df).collect()) == want
+
+
+def test_substring_same_id_and_crc(spark):
+    """Rows without an id whose texts differ are different texts."""
+    texts = [f"{i} " + " ".join(f"v{(i * 7 + k) % 900}" for k in range(60)) for i in range(400)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    want = sorted(b" ".join(k).decode() for k in windows_removed([t.encode().split() for t in texts]))
+    assert sorted(r["kept"] for r in substring.remove_repeats(df).collect()) == want
+
+
 def fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by largest inner product: IVF-PQ with exact reranking.
 
-Equal vectors are indexed once, with the smallest ids that carry them. A bounded sample gives coarse
-centroids and the codebooks of the residuals' parts; every vector is put into the list of its nearest
-centroid and kept as codes. A query visits the lists whose centroids have the largest product with it; their
-number is set on the sample, so that these hold PROBED of its true neighbours. Codes are scored by an
-asymmetric distance table (query part times codeword), and the best are scored again on the original
-vectors in double precision. Lists are cut into blocks and dealt to shards of about BLOCK vectors, queries
-into chunks of about QUERIES; a task scores one chunk against one shard. What a shard returns for a query
-is bounded by a score that about RERANK vectors reach according to the sample, so that more shards do not
-mean more candidates; a shard's LEAST best always go on.
+Equal vectors are indexed once, with the smallest ids that carry them. A bounded sample gives coarse centroids and the
+codebooks of the residuals' parts; every vector is put into the list of its nearest centroid and kept as codes. Beyond
+MAX_LISTS lists each is divided by a second level of centroids, fitted on the residuals and shared by all lists, so
+that lists grow in number with the square root of the rows at any size. A query visits the lists whose centroids have
+the largest product with it; their number is set on the sample, so that these hold PROBED of its true neighbours. Codes
+are scored by an asymmetric distance table (query part times codeword), and the best are scored again on the original
+vectors in double precision.
+
+Lists are cut into blocks and dealt to shards. A query goes to the shards of its lists and codes go to their shard once;
+only where a shard is asked by more than QUERIES queries are these cut into chunks, each with a copy of the shard. What
+a shard returns for a query is bounded by a score that about RERANK vectors reach according to the sample, so that more
+shards do not mean more candidates; a shard's LEAST best always go on.
 """
 
 from __future__ import annotations
@@ -21,37 +24,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import settle, unit_hash
+from rowforge.llm.common import settle_table, unit_hash
 
 #: Vectors that centroids and codebooks are fitted on, at most twice as many; every vector is indexed.
 SAMPLE = 16_384
 MAX_LISTS, PART, CODES, ROUNDS = 2048, 4, 256, 8
-RERANK, LEAST, BLOCK, QUERIES = 384, 24, 20_000, 2_000
+RERANK, LEAST = 384, 24
+#: Vectors of a shard on average, and the smaller number that shards are cut to for as long as cores are idle; queries of a chunk.
+BLOCK, SMALL, QUERIES = 65_536, 4_096, 16_384
 #: Share of the true neighbours that the visited lists are to hold, and queries of the sample that set their number.
 PROBED, TUNED = 0.97, 256
 
 
 @dataclass
 class Index:
-    """Coarse centroids (lists x dims), codebooks (parts x codes x dims of a part), lists that a query visits."""
+    """Centroids of the first and second level (levels x dims), codebooks (parts x codes x dims of a part), lists that a query visits.
+
+    The list of the centroids i and j is numbered i * len(finer) + j; its centre is their sum.
+    """
 
     centroids: np.ndarray
+    finer: np.ndarray
     books: np.ndarray
     probes: int = 1
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        """The list of the nearest centroid, by distance."""
-        return _nearest(x, self.centroids)
+        """The list of the nearest centroid, by distance, at both levels."""
+        first = _nearest(x, self.centroids)
+        return first * len(self.finer) + _nearest(x - self.centroids[first], self.finer)
+
+    def centres(self, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists // len(self.finer)] + self.finer[lists % len(self.finer)]
 
     def visited(self, q: np.ndarray) -> np.ndarray:
-        """(queries x lists) whether a query visits a list."""
-        near, out = q @ self.centroids.T, np.zeros((len(q), len(self.centroids)), dtype=bool)
+        """(queries x probes) the lists that each query visits.
+
+        The best p sums of one value from each level have their parts among the p best of that level.
+        """
+        one, two = q @ self.centroids.T, q @ self.finer.T
+        a = np.argsort(-one, axis=1, kind="stable")[:, : self.probes]
+        b = np.argsort(-two, axis=1, kind="stable")[:, : self.probes]
+        near = np.take_along_axis(one, a, 1)[:, :, None] + np.take_along_axis(two, b, 1)[:, None, :]
+        near = near.reshape(len(q), -1)
+        lists = (a[:, :, None] * len(self.finer) + b[:, None, :]).reshape(len(q), -1)
         best = np.argsort(-near, axis=1, kind="stable")[:, : self.probes]
-        np.put_along_axis(out, best, True, axis=1)
-        return out
+        return np.take_along_axis(lists, best, 1)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = _padded(x - self.centroids[lists], self.books.shape[2])
+        rest = _padded(x - self.centres(lists), self.books.shape[2])
         parts = rest.reshape(len(x), len(self.books), -1)
         return np.stack([_nearest(parts[:, i], book) for i, book in enumerate(self.books)], axis=1).astype(np.uint8)
 
@@ -85,21 +105,28 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, lists: int, k: int = 20, seed: int = 13) -> Index:
-    """An index whose number of visited lists is measured against brute force within the sample."""
+def fit(sample: np.ndarray, lists: int, k: int = 20, finer: int = 1, seed: int = 13) -> Index:
+    """An index of lists * finer lists, with the number of visited ones measured against brute force within the sample."""
     rng = np.random.default_rng(seed)
     sample = sample.astype(np.float32)
     centroids = _means(sample, lists, rng)
-    rest = _padded(sample - centroids[_nearest(sample, centroids)], PART)
+    rest = sample - centroids[_nearest(sample, centroids)]
+    second = _means(rest, finer, rng) if finer > 1 else np.zeros((1, sample.shape[1]), dtype=np.float32)
+    rest = _padded(rest - second[_nearest(rest, second)], PART)
     parts = rest.reshape(len(sample), -1, PART)
-    index = Index(centroids, np.stack([_means(parts[:, i], CODES, rng) for i in range(parts.shape[1])]))
+    index = Index(centroids, second, np.stack([_means(parts[:, i], CODES, rng) for i in range(parts.shape[1])]))
     asked = rng.choice(len(sample), min(TUNED, len(sample)), replace=False)
     near = sample[asked] @ sample.T
     near[np.arange(len(asked)), asked] = -np.inf
     true = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
-    place = np.argsort(np.argsort(-(sample[asked] @ centroids.T), axis=1), axis=1)
-    place = np.take_along_axis(place, index.lists(sample)[true], axis=1)
-    index.probes = lists if not place.size else min(lists, int(np.quantile(place, PROBED)) + 2)
+    homes, places = index.lists(sample), []
+    for q, own in zip(sample[asked], homes[true], strict=True):
+        one, two = centroids @ q, np.sort(second @ q)
+        score = one[own // len(second)] + (second @ q)[own % len(second)]
+        better = len(second) - np.searchsorted(two, score[:, None] - one[None, :] + 1e-6)
+        places += better.sum(axis=1).tolist()
+    total = len(centroids) * len(second)
+    index.probes = min(total, int(np.quantile(places, PROBED)) + 3) if places else total
     return index
 
 
@@ -126,14 +153,19 @@ def _scorer(index: Index, most: int):
         table = np.frombuffer(b"".join(codes["code"]), dtype=np.uint8).reshape(len(codes), -1)
         lists, first = np.unique(codes["list"].to_numpy(), return_index=True)
         ends, nodes, out = np.append(first[1:], len(codes)), codes["node"].to_numpy(), []
+        centres = index.centres(lists)
         step = max(1, (1 << 22) // len(codes))
         for low in range(0, len(asked), step):
             part = asked.iloc[low : low + step]
             q = np.stack(part["vector"].to_numpy()).astype(np.float32)
-            tables, visited, base = index.tables(q), index.visited(q), q @ index.centroids.T
+            tables, base, wanted = index.tables(q), q @ centres.T, index.visited(q)
+            at = np.minimum(np.searchsorted(lists, wanted), len(lists) - 1)
+            visits = np.zeros((len(q), len(lists)), dtype=bool)
+            rows, columns = np.nonzero(lists[at] == wanted)
+            visits[rows, at[rows, columns]] = True
             near = np.full((len(q), len(codes)), -np.inf, dtype=np.float32)
-            for one, start, end in zip(lists, first, ends, strict=True):
-                rows = np.flatnonzero(visited[:, one])
+            for one, (start, end) in enumerate(zip(first, ends, strict=True)):
+                rows = np.flatnonzero(visits[:, one])
                 if len(rows):
                     some = np.repeat(base[rows, one][:, None], end - start, axis=1)
                     own = tables[rows]
@@ -178,25 +210,25 @@ def search(
     nodes = few.groupBy(*key).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.any_value("vector").alias("vector"))
     asked = rows.where("q").select("id", *key)
     nodes = nodes.join(asked.select(*key).distinct().withColumn("asks", F.lit(True)), key, "left")
-    nodes = settle(nodes.select(*key, F.col("ids")[0].alias("node"), "ids", "vector", F.coalesce("asks", F.lit(False)).alias("asks")))
+    nodes = settle_table(nodes.select(*key, F.col("ids")[0].alias("node"), "ids", "vector", F.coalesce("asks", F.lit(False)).alias("asks")))
     total = nodes.count()
 
     drawn = nodes.where(unit_hash("k1", seed=17) < F.lit(SAMPLE / total)).select("vector").limit(2 * SAMPLE).collect()
     sample = np.array([r["vector"] for r in drawn or nodes.select("vector").limit(1).collect()], dtype=np.float32)
-    lists = int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(1.0, total**0.5))))))
-    index = fit(sample, min(lists, len(sample)), k)
+    wanted = 2 ** round(np.log2(max(1.0, total**0.5)))
+    coarse = min(MAX_LISTS, wanted, len(sample))
+    index = fit(sample, coarse, k, min(-(-wanted // coarse), MAX_LISTS, len(sample)))
 
-    @F.pandas_udf("struct<list:int,code:binary>")
+    @F.pandas_udf("struct<list:long,code:binary>")
     def coded(x: pd.Series) -> pd.DataFrame:
         values = np.stack(x.to_numpy()).astype(np.float32) if len(x) else np.zeros((0, index.centroids.shape[1]), np.float32)
         own = index.lists(values)
-        return pd.DataFrame({"list": own.astype(np.int32), "code": [c.tobytes() for c in index.encode(values, own)]})
+        return pd.DataFrame({"list": own, "code": [c.tobytes() for c in index.encode(values, own)]})
 
-    table = settle(nodes.select("node", coded("vector").alias("c")).select("node", "c.list", "c.code"))
-    sizes = table.groupBy("list").count().collect()  # MAX_LISTS rows at most
+    table = settle_table(nodes.select("node", coded("vector").alias("c")).select("node", "c.list", "c.code"))
+    sizes = table.groupBy("list").count().collect()  # about the square root of the rows
     blocks = {r["list"]: -(-r["count"] // BLOCK) for r in sizes}
-    shards = max(1, -(-total // BLOCK))
-    chunks = max(1, -(-nodes.where("asks").count() // QUERIES))
+    shards = max(-(-total // BLOCK), min(spark.sparkContext.defaultParallelism, -(-total // SMALL)))
     homes = {one: sorted({(one * 7919 + b * 104729) % shards for b in range(n)}) for one, n in blocks.items()}
 
     #: Place among the sample of the score that half as many again as are reranked reach among all.
@@ -205,17 +237,21 @@ def search(
     @F.pandas_udf("struct<shards:array<int>,floor:float>")
     def route(x: pd.Series) -> pd.DataFrame:
         q = np.stack(x.to_numpy()).astype(np.float32) if len(x) else np.zeros((0, index.centroids.shape[1]), np.float32)
-        shards_of = [sorted({s for one in np.flatnonzero(v) for s in homes.get(one, ())}) for v in index.visited(q)]
+        shards_of = [sorted({s for one in v for s in homes.get(one, ())}) for v in index.visited(q).tolist()]
         floor = [np.partition(-(sample @ one), place)[place] for one in q]
         return pd.DataFrame({"shards": shards_of, "floor": -np.array(floor, dtype=np.float32)})
 
-    cut = table.sparkSession.createDataFrame(sorted(blocks.items()), "list int, blocks int")
+    cut = spark.createDataFrame(sorted(blocks.items()), "list long, blocks int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     table = table.join(F.broadcast(cut), "list").withColumn("shard", ((F.col("list") * 7919 + block * 104729) % shards).cast("int"))
-    table = table.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("shard", "chunk", "list", "node", "code")
     asking = nodes.where("asks").select(F.col("node").alias("asker"), "vector")
-    visits = asking.withColumn("r", route("vector")).select("asker", "vector", "r.floor", F.explode("r.shards").alias("shard"))
-    visits = visits.withColumn("chunk", F.pmod(F.xxhash64("asker"), F.lit(chunks)).cast("int"))
+    routed = settle_table(asking.withColumn("r", route("vector")).select("asker", "vector", "r.floor", "r.shards"))
+    visits = routed.select("asker", "vector", "floor", F.explode("shards").alias("shard"))
+    asked_by = visits.groupBy("shard").count().select("shard", F.ceil(F.col("count") / QUERIES).cast("int").alias("chunks"))
+    asked_by = F.broadcast(settle_table(asked_by))  # one row for each shard of some BLOCK vectors
+    visits = visits.join(asked_by, "shard").withColumn("chunk", F.pmod(F.xxhash64("asker"), F.col("chunks")).cast("int")).drop("chunks")
+    copies = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    table = table.join(asked_by, "shard").select("shard", copies, "list", "node", "code")
     found = (
         table.groupBy("shard", "chunk")
         .cogroup(visits.groupBy("shard", "chunk"))
@@ -225,13 +261,13 @@ def search(
     found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank).select("asker", "node")
 
     known = nodes.select("node", "ids", "vector")
-    exact = found.join(known, "node").join(asking.withColumnRenamed("vector", "query"), "asker")
+    exact = found.join(known, "node").join(routed.select("asker", F.col("vector").alias("query")), "asker")
     exact = exact.select("asker", "ids", inner_product(F.col("query"), F.col("vector")).alias("score"))
     members = exact.select("asker", "score", F.explode("ids").alias("vec_id"))
     best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
     members = members.withColumn("n", best).where(F.col("n") <= k + 1)
     near = members.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
-    near = near.join(nodes.where("asks").select(F.col("node").alias("asker"), *key), "asker")
+    near = settle_table(near.join(nodes.where("asks").select(F.col("node").alias("asker"), *key), "asker"))
 
     # A query row meets its vector's list, leaves itself out and keeps the first k.
     others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("id")), 1, k)

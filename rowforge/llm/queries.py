@@ -76,8 +76,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document, and the forest's verdict."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    forest, limit = rules.fit(docs, read_table(spark, sf_dir, "labels"))
-    return rules.judge(docs, forest, limit)
+    return rules.judge(docs, rules.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

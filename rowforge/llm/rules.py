@@ -1,9 +1,11 @@
-"""Quality rules: an isolation forest over rule statistics, with its threshold set on labelled rows.
+"""Quality rules: isolation forests over rule statistics, with thresholds set on labelled rows.
 
-The statistics of a document (lengths, symbols, repeated lines and word windows, capitals) are made into
-ratios. Trees of random splits, grown on small samples, isolate unusual documents after few splits; the
-mean depth gives a score between 0 and 1. The threshold is the score that parts labelled good rows from
-bad ones best among those that keep KEEP_GOOD of the good ones.
+The statistics of a document are made into ratios, in families: its words (length, symbols, capitals, variety), its
+repetitions (repeated lines and word windows) and its size (words, words of a line). Each family has a forest: trees of
+random splits, grown on small samples, isolate unusual documents after few splits; the mean depth gives a score between
+0 and 1. A family's threshold is the score that makes the fewest errors on those labelled rows that the base rules and
+the families before it let pass, among the scores that keep KEEP_GOOD of the good ones; a family whose unusual
+documents are no worse than others thus rejects none. A document is kept if no family rejects it.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import WordHasher, mix64, unit_hash
-from rowforge.llm.substring import chunks, words_of
+from rowforge.llm.common import WordHasher, by_bytes, fresh_names, mix64, unit_hash, worker_memory
+from rowforge.llm.substring import CHUNK, chunks, words_of
 
 #: Rows of any kind that grow the trees, and labelled rows that set the threshold, in expectation.
 SAMPLE_ROWS, LABELLED_ROWS = 4096, 6000
-TREES, SUBSAMPLE = 128, 256
+#: Small samples keep a tenth of bad rows few enough in each tree to be isolated early.
+TREES, SUBSAMPLE = 128, 32
 KEEP_GOOD = 0.985
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -84,16 +87,23 @@ def statistics(hasher: WordHasher, texts: list[str | None]) -> dict[str, np.ndar
     return out
 
 
-def ratios(stats: dict[str, np.ndarray]) -> np.ndarray:
-    """The forest's features, one row for each document; capped, so that all heavy cases lie together."""
-    words, chars = np.maximum(stats["n_words"], 1), np.maximum(stats["word_chars"], 1)
-    columns = [
-        np.clip(stats["word_chars"] / words, 2.0, 12.0),
-        np.minimum(stats["n_symbols"] / words, 0.4),
-        np.minimum(stats["n_capitals"] / chars, 0.4),
-        np.maximum(np.log1p(stats["n_distinct"]) / np.log1p(words), 0.6),
-    ]
-    return np.column_stack(columns).astype(np.float64)
+FAMILIES = ("words", "repetitions", "size")
+
+
+def ratios(stats: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The features of each family, one row for each document; capped, so that all heavy cases lie together."""
+    words, chars, lines = (np.maximum(stats[n], 1) for n in ("n_words", "word_chars", "n_lines"))
+    families = {
+        "words": [
+            np.clip(stats["word_chars"] / words, 2.0, 12.0),
+            np.minimum(stats["n_symbols"] / words, 0.4),
+            np.minimum(stats["n_capitals"] / chars, 0.4),
+            np.maximum(np.log1p(stats["n_distinct"]) / np.log1p(words), 0.6),
+        ],
+        "repetitions": [stats["n_dup_lines"] / lines, stats["n_repeat_words"] / words],
+        "size": [np.log1p(stats["n_words"]), np.log1p(words / lines)],
+    }
+    return {name: np.column_stack(columns).astype(np.float64) for name, columns in families.items()}
 
 
 @dataclass
@@ -153,15 +163,19 @@ class IsolationForest:
 
 
 def threshold(scores: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
-    """The score at or above which a document is rejected; 1.1 (none is) without labels of both kinds."""
+    """The score at or above which a document is rejected; 1.1 (none is) where that makes no fewer errors.
+
+    It lies halfway between the scores of the rows that it parts.
+    """
+    values = np.unique(scores)
     good_scores, bad_scores = np.sort(scores[good]), np.sort(scores[~good])
     if not len(good_scores) or not len(bad_scores):
         return 1.1
-    cuts = np.unique(np.concatenate([bad_scores, [1.1]]))
-    kept = np.searchsorted(good_scores, cuts, side="left") / len(good_scores)
-    caught = 1 - np.searchsorted(bad_scores, cuts, side="left") / len(bad_scores)
-    gain = np.where(kept >= keep_good, kept + caught, -1)
-    return float(cuts[int(np.argmax(gain))])
+    cuts = np.append((values[1:] + values[:-1]) / 2, 1.1)
+    lost = len(good_scores) - np.searchsorted(good_scores, cuts, side="left")
+    missed = np.searchsorted(bad_scores, cuts, side="left")
+    errors = np.where(lost <= (1 - keep_good) * len(good_scores), lost + missed, len(scores) + 1)
+    return float(cuts[len(cuts) - 1 - int(np.argmin(errors[::-1]))])
 
 
 def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -169,47 +183,82 @@ def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
     return (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = 3):
-    """(forest, threshold) from about SAMPLE_ROWS rows and LABELLED_ROWS labelled ones, chosen by hash."""
+@dataclass
+class Judgement:
+    """A forest and a threshold for each family."""
+
+    forests: dict[str, IsolationForest]
+    limits: dict[str, float]
+
+    def anomaly(self, stats: dict[str, np.ndarray]) -> np.ndarray:
+        """The largest share of a family's threshold that a document reaches; rejected at 1 or more."""
+        x = ratios(stats)
+        return np.max([self.forests[n].score(x[n]) / self.limits[n] for n in FAMILIES], axis=0)
+
+
+def _statistics_table(rows: DataFrame, own: list[str], shown: tuple[str, ...], more: str = "", work=None) -> DataFrame:
+    """The columns `own` of rows, whose last column is the text, with the statistics `shown` and what `work` makes of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("rules")
+        hasher = WordHasher()
+        for batch in by_bytes(batches, -1, CHUNK):
+            stats = statistics(hasher, batch.column(batch.num_columns - 1).to_pylist())
+            made = {n: stats[n] for n in shown} | (work(stats) if work else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, made.values())], names=[*own, *made])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*fields, *[f"{n} long" for n in shown], *([more] if more else [])]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = 3) -> Judgement:
+    """Forests from about SAMPLE_ROWS rows and thresholds from LABELLED_ROWS labelled ones, chosen by hash.
+
+    The executors read the texts; the driver gets the statistics, eight numbers a row.
+    """
     key, body = F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
 
     def sample(rows: DataFrame, wanted: int) -> DataFrame:
         n = rows.count()
         return rows.where(unit_hash("doc_id", seed=seed) < F.lit(wanted / max(n, 1))).limit(2 * wanted)
 
-    hasher = WordHasher()
-    drawn = [r["text"] for r in sample(docs.select(key, body), SAMPLE_ROWS).select("text").collect()]
-    stats = statistics(hasher, drawn)
-    forest = IsolationForest.grow(ratios(stats)[~base_failed(stats)])
+    def collected(rows: DataFrame) -> np.ndarray:
+        found = _statistics_table(rows, rows.columns[:-1], STATS).collect()
+        return np.array([[int(v) for v in r] for r in found], dtype=np.int64).reshape(len(found), len(rows.columns) - 1 + len(STATS))
+
+    drawn = collected(sample(docs.select(key, body), SAMPLE_ROWS).select("text"))
+    drawn = drawn[np.lexsort(drawn.T)] if len(drawn) else drawn  # the same forest whatever the order of arrival
+    stats = dict(zip(STATS, drawn.T, strict=True))
+    x, passed = ratios(stats), ~base_failed(stats)
+    forests = {n: IsolationForest.grow(x[n][passed], seed=seed + i) for i, n in enumerate(FAMILIES)}
+
     marked = sample(labels.select("doc_id", "quality").where("doc_id is not null and quality is not null"), LABELLED_ROWS)
-    rows = docs.select(key, body).join(F.broadcast(marked), "doc_id").select("text", "quality").collect()
-    stats = statistics(hasher, [r["text"] for r in rows])
-    good, passed = np.array([r["quality"] == 1 for r in rows], dtype=bool), ~base_failed(stats)
-    return forest, threshold(forest.score(ratios(stats))[passed], good[passed])
+    rows = docs.select(key, body).join(F.broadcast(marked), "doc_id").select((F.col("quality") == 1).cast("int").alias("good"), "text")
+    found = collected(rows)
+    good, stats = found[:, 0] == 1, dict(zip(STATS, found[:, 1:].T, strict=True))
+    x, open_rows, limits = ratios(stats), ~base_failed(stats), {}
+    for n in FAMILIES:
+        scores = forests[n].score(x[n])
+        limits[n] = threshold(scores[open_rows], good[open_rows])
+        open_rows &= scores < limits[n]
+    return Judgement(forests, limits)
 
 
-def judge(docs: DataFrame, forest: IsolationForest, limit: float, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, judgement: Judgement, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, anomaly and kept to every row.
 
-    Null and blank texts have all counts 0 and fail the base rules. Repeated rows are judged alike. Input
-    columns with the names of result columns, and the text itself, are not returned. An empty table gives
-    an empty result.
+    Null and blank texts have all counts 0 and fail the base rules. Repeated rows are judged alike. Input columns with
+    the names of result columns, and the text itself, are not returned; all others are, whatever their names. An empty
+    table gives an empty result.
     """
     shown = STATS[:5]
     new = {*shown, "base_failed", "anomaly", "kept", text.lower()}
     own = [c for c in docs.columns if c.lower() not in new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            stats = statistics(hasher, batch.column(batch.num_columns - 1).to_pylist())
-            anomaly, failed = forest.score(ratios(stats)), base_failed(stats)
-            made = [*[stats[n] for n in shown], failed, anomaly, ~failed & (anomaly < limit)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *map(pa.array, made)], names=[*own, *shown, "base_failed", "anomaly", "kept"]
-            )
+    def verdict(stats: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        anomaly, failed = judgement.anomaly(stats), base_failed(stats)
+        return {"base_failed": failed, "anomaly": anomaly, "kept": ~failed & (anomaly < 1)}
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    made = [f"{n} long" for n in shown] + ["base_failed boolean", "anomaly double", "kept boolean"]
-    return rows.mapInArrow(run, ", ".join(fields + made))
+    (body,) = fresh_names(docs, "body")
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias(body))
+    return _statistics_table(rows, own, shown, "base_failed boolean, anomaly double, kept boolean", verdict)

@@ -2,18 +2,20 @@
 
 A page's block elements form a tree. Each node has features of its own (kind, attribute tokens), of its
 subtree (text, words, link density, punctuation), of its place (depth, siblings, share of the page) and of
-its ancestors. Boosted trees give the log odds that a node belongs to the article. The decoder keeps or
-drops whole branches: it maximises the sum of the log odds under the rule that nothing below a dropped
-node is kept.
+its ancestors. Attribute tokens are the words of class, id and role values; what a token says is learned: the
+log odds of the nodes that bear it, counted over the training pages. Boosted trees give the log odds that a
+node belongs to the article. The decoder keeps or drops whole branches: it maximises the sum of the log odds
+under the rule that nothing below a dropped node is kept.
 
 The trees are grown on a bounded sample of the pages themselves, where an article or main element marks
 the text, and on layouts composed from that sample's paragraphs, in which menus, notices, adverts, forms,
-sidebars and comments come under many names and articles without telling ones.
+sidebars and comments come under many names, meaningless ones among them, and articles without telling ones.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,6 +28,10 @@ from rowforge.llm.common import unit_hash
 
 #: Pages that the trees are grown on, in expectation, and composed layouts.
 SAMPLE_PAGES, LAYOUTS = 150, 500
+#: Characters of a sampled page that are read for training, which bounds what the driver gathers.
+SAMPLE_CHARS = 200_000
+#: Characters of pages that are extracted together; a longer page comes alone.
+GROUP_CHARS = 1 << 20
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,14 +45,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARY = frozenset("ul ol dl table article section div main body".split())
 
-# Tokens of class, id and role values.
-GOOD_TOKENS = frozenset("article articlebody body content entry main maincontent post prose story text".split())
-BAD_TOKENS = frozenset(
-    "ad ads advert advertisement adverts alert author banner bar breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
-    "disclaimer discussion footer form gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notification "
-    "pager pagination popup promo promoted recommended register related reply replies respond search share sharing sidebar signup skip "
-    "social sponsor sponsored subscribe tags teaser toolbar topbar widget".split()
-)
+#: Nodes that must bear a token before it counts, and the log odds that one token is worth at most.
+LEAST_SEEN, MOST_SAID = 4, 4.0
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -67,12 +67,17 @@ class Node:
 
 
 class _Tree(HTMLParser):
-    """Builds the block tree; forgiving about missing and crossed end tags."""
+    """Builds the block tree; forgiving about missing and crossed end tags.
+
+    Each open element's place in the stack is kept by name, so that no tag costs more than what it closes.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", [], None, "")
         self.open: list[tuple[str, Node | None]] = [("html", self.root)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.node = self.root
         self.text: list[str] = []
         self.order = self.hidden = self.anchors = 0
@@ -85,33 +90,45 @@ class _Tree(HTMLParser):
                 self.order += 1
             self.text = []
 
+    def _push(self, tag: str, node: Node | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if node is not None:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node))
+
     def _pop(self) -> None:
         tag, node = self.open.pop()
+        self.places[tag].pop()
         if tag in HIDDEN:
             self.hidden -= 1
         elif tag == "a":
             self.anchors -= 1
         if node is not None:
+            self.blocks.pop()
             self._end_run()
             self.node = node.parent or self.root
 
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self._pop()
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these names, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _close_open(self, tags, stop) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i][0] in stop:
-                return
+        place = self._last(tags)
+        if place > self._last(stop):
+            self._close(place)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "body"):
-            while len(self.open) > 1 and any(t == "head" for t, _ in self.open):
-                self._pop()
+            if self.places.get("head"):
+                self._close(1)
             return
         if self.hidden:
             if tag not in VOID and tag in HIDDEN:
-                self.open.append((tag, None))
+                self._push(tag, None)
                 self.hidden += 1
             elif tag in BLOCK and self.open[-1][0] == "head":  # a head that was never closed
                 self._pop()
@@ -122,7 +139,7 @@ class _Tree(HTMLParser):
         if tag in VOID and tag != "hr":
             return
         if tag in HIDDEN:
-            self.open.append((tag, None))
+            self._push(tag, None)
             self.hidden += 1
             return
         if tag in CLOSES_P:
@@ -137,25 +154,21 @@ class _Tree(HTMLParser):
             named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
             keep = next((v or "" for k, v in attrs if k == "data-keep"), "")
             self.node = Node(tag, _TOKEN.findall(named.lower()), self.node, keep)
-            self.open.append((tag, self.node))
+            self._push(tag, self.node)
         else:
-            self.open.append((tag, None))
+            self._push(tag, None)
             if tag == "a":
                 self.anchors += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
             return
-        if tag == "p" and not any(t == "p" for t, _ in self.open):
-            self._end_run()
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if tag not in BLOCK and tag not in HIDDEN and self.open[i][1] is not None:
-                return  # an inline end tag does not close blocks
+        place = self._last((tag,))
+        if not place:
+            if tag == "p":
+                self._end_run()
+        elif tag in BLOCK or tag in HIDDEN or not self.blocks or place > self.blocks[-1]:
+            self._close(place)  # an inline end tag does not close blocks
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -192,7 +205,24 @@ _KINDS = (
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+def learned_tokens(pages: list[list[Node]], marks: list[np.ndarray]) -> dict[str, float]:
+    """What each attribute token says: the smoothed log odds of the nodes that bear it, those of all nodes taken off."""
+    counts: dict[str, list[int]] = {}
+    kept = total = 0
+    for nodes, own in zip(pages, marks, strict=True):
+        for node, keep in zip(nodes[1:], own[1:], strict=True):
+            total += 1
+            kept += bool(keep)
+            for token in set(node.tokens):
+                counts.setdefault(token, [0, 0])[bool(keep)] += 1
+    base = np.log((kept + 1) / (total - kept + 1))
+    return {
+        t: float(np.clip(np.log((yes + 0.5) / (no + 0.5)) - base, -MOST_SAID, MOST_SAID))
+        for t, (no, yes) in counts.items() if no + yes >= LEAST_SEEN
+    }
+
+
+def features(nodes: list[Node], tokens: dict[str, float]) -> np.ndarray:
     """One row for each node of a page, in document order."""
     n = len(nodes)
     place = {id(node): i for i, node in enumerate(nodes)}
@@ -206,27 +236,36 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         below[parent[i]] += below[i]
     kinds = np.array([[x.tag in k for k in _KINDS] for x in nodes], dtype=float)
-    good = np.array([sum(t in GOOD_TOKENS for t in x.tokens) for x in nodes], dtype=float)
-    bad = np.array([sum(t in BAD_TOKENS for t in x.tokens) for x in nodes], dtype=float)
-    weak = bad + kinds[:, 1:6].sum(axis=1)
-    strong = good + kinds[:, 0]
-    above_bad, above_good, index = np.zeros(n), np.zeros(n), np.zeros(n)
+    said = [[tokens[t] for t in x.tokens if t in tokens] for x in nodes]
+    for_it, against = (np.array([f([0.0, *v]) for v in said]) for f in (max, min))
+    telling = np.array([1.0 if x.tokens and not v else 0.0 for x, v in zip(nodes, said, strict=True)])  # names of no known token
+    against = np.minimum(against, -2.0 * kinds[:, 1:6].max(axis=1))
+    above_against, above_for, above_kinds, index = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     seen: dict[int, int] = {}
     for i in range(1, n):
         p = parent[i]
-        above_bad[i] = above_bad[p] + (weak[p] > 0)
-        above_good[i] = above_good[p] + (strong[p] > 0)
+        above_against[i] = min(above_against[p], against[p])
+        above_for[i] = max(above_for[p], for_it[p])
+        above_kinds[i] = above_kinds[p] + kinds[p, 0]
         index[i] = seen.get(p, 0)
         seen[p] = int(index[i]) + 1
     siblings = np.array([len(x.parent.children) if x.parent is not None else 1 for x in nodes], dtype=float)
     chars, words = np.maximum(below[:, 0], 1), np.maximum(below[:, 1], 1)
     total = max(below[0, 0], 1)
     ahead = np.cumsum(own[:, 0]) - own[:, 0]
+    # The neighbours on the same level: -1 stands for none.
+    left, right = np.full(n, -1), np.full(n, -1)
+    for x in nodes:
+        at = [place[id(c)] for c in x.children]
+        left[at[1:]], right[at[:-1]] = at[:-1], at[1:]
+    beside = []
+    for at in (left, right):
+        beside += [np.where(at >= 0, np.log1p(below[at, 0]), -1.0), np.where(at >= 0, below[at, 3] / chars[at], -1.0)]
     columns = [
-        *kinds.T, np.minimum(good, 3), np.minimum(bad, 3), np.minimum(above_good, 3), np.minimum(above_bad, 3),
+        *kinds.T, for_it, against, telling, above_for, above_against, np.minimum(above_kinds, 3),
         np.log1p(below[:, 0]), np.log1p(below[:, 1]), below[:, 3] / chars, below[:, 2] / words, below[:, 1] / np.maximum(below[:, 4], 1),
         np.array([x.depth for x in nodes], dtype=float), np.array([len(x.children) for x in nodes], dtype=float),
-        siblings, index / siblings, below[:, 0] / total, ahead / total, np.where(parent >= 0, below[:, 0] / chars[np.maximum(parent, 0)], 1.0),
+        siblings, index / siblings, below[:, 0] / total, ahead / total, np.where(parent >= 0, below[:, 0] / chars[np.maximum(parent, 0)], 1.0), *beside,
     ]
     return np.column_stack(columns)
 
@@ -248,11 +287,19 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return keep
 
 
-def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
+@dataclass
+class Model:
+    """Boosted trees and what they read of attribute tokens."""
+
+    trees: BoostedTrees
+    tokens: dict[str, float]
+
+
+def extract(pages: list[str | None], model: Model) -> list[str]:
     """Main text of each page: kept blocks in page order, joined by one newline."""
     trees = [flat(tree(p)) for p in pages]
-    rows = [features(nodes) for nodes in trees]
-    odds = model.predict(np.concatenate(rows)) if rows else np.zeros(0)
+    rows = [features(nodes, model.tokens) for nodes in trees]
+    odds = model.trees.predict(np.concatenate(rows)) if rows else np.zeros(0)
     out, at = [], 0
     for nodes in trees:
         own = odds[at : at + len(nodes)]
@@ -287,7 +334,11 @@ def _layout(rng: np.random.Generator, lines: list[str]) -> str:
     word = lambda: pick(*line().split()[:12] or ["more"])[:20]
 
     def named(names: str) -> str:
-        return pick("class", "id", "class") + f'="{pick(*names.split())}{pick("", "", "-box", " wrap", "-1")}"'
+        if rng.random() < 0.35:  # a name that says nothing
+            name = "".join(pick(*"bcdfghklmnprstvz") + pick(*"aeiou") for _ in range(int(rng.integers(1, 4))))
+        else:
+            name = pick(*names.split())
+        return pick("class", "id", "class") + f'="{name}{pick("", "", "-box", " wrap", "-1")}"'
 
     def part(tags: str, names: str, inside: str, share: float = 0.6) -> str:
         tag = pick(*tags.split())
@@ -321,7 +372,7 @@ def _layout(rng: np.random.Generator, lines: list[str]) -> str:
 
     short = lambda n: " ".join(line().split()[:n])
     before = [
-        part("header header div", "header masthead topbar site-header", f"<h1>{short(3)}</h1>" + links(int(rng.integers(0, 5)))),
+        part("header header div", "header masthead topbar site-header", f"<h1>{short(int(rng.integers(1, 6)))}</h1>" + links(int(rng.integers(0, 5)))),
         part("nav nav ul div", "nav menu navbar breadcrumb", links(int(rng.integers(2, 10)))),
         part("div div section aside", "ad ads advert sponsored banner promo", f"<p>{short(14)}</p>" if rng.random() < 0.5 else short(14)),
         part("div section dialog", "cookie notice consent alert gdpr", f"<p>{short(18)}</p>"),
@@ -335,7 +386,7 @@ def _layout(rng: np.random.Generator, lines: list[str]) -> str:
         part("footer footer div", "footer copyright site-footer", f"&copy; {short(8)}" if rng.random() < 0.5 else f"<p>{short(12)}</p>" + links(2)),
     ]
     many = int(rng.integers(1, 12)) if rng.random() < 0.7 else 1
-    body = f"<h1>{short(8)}</h1>" * int(rng.random() < 0.8) + paragraphs(many)
+    body = f"<h1>{short(int(rng.integers(1, 13)))}</h1>" * int(rng.random() < 0.8) + paragraphs(many)
     bare = rng.random() < 0.15
     if bare:  # no element holds the article together
         body = re.sub(r"<(h1|h2|p|ul|blockquote|table)(?=[ >])", r'<\1 data-keep="1"', body)
@@ -351,32 +402,43 @@ def _layout(rng: np.random.Generator, lines: list[str]) -> str:
     return "<html><body>" + "".join(chosen) + "</body></html>"
 
 
-def train(pages: list[str | None], layouts: int = LAYOUTS, seed: int = 21) -> BoostedTrees:
-    """Trees from marked pages among the given ones and composed layouts of their lines."""
+def train(pages: list[str | None], layouts: int = LAYOUTS, seed: int = 21, folds: int = 5) -> Model:
+    """Trees from marked pages among the given ones and composed layouts of their lines.
+
+    A training page's tokens are read by what the other folds' pages say of them, so that the trees do not trust
+    tokens more than unseen pages warrant.
+    """
     rng = np.random.default_rng(seed)
     trees = [flat(tree(p)) for p in pages]
     lines = [text[:600] for nodes in trees for node in nodes if node.tag == "p" for _, text in node.runs][:5000]
     lines = lines or ["These are some words of a paragraph, and here are a few more of them.", "Short line."]
     trees += [flat(tree(_layout(rng, lines))) for _ in range(layouts)]
+    marked = [(nodes, marks) for nodes in trees if (marks := truth(nodes)) is not None]
     x, y, w = [], [], []
-    for nodes in trees:
-        marks = truth(nodes)
-        if marks is not None:
-            x.append(features(nodes)[1:])
+    for fold in range(folds):
+        others = [p for i, p in enumerate(marked) if i % folds != fold]
+        tokens = learned_tokens([nodes for nodes, _ in others], [marks for _, marks in others])
+        for nodes, marks in marked[fold::folds]:
+            x.append(features(nodes, tokens)[1:])
             y.append(marks[1:])
             w.append(np.full(len(nodes) - 1, 1 / np.sqrt(len(nodes))))
-    return BoostedTrees().fit(np.concatenate(x), np.concatenate(y).astype(float), np.concatenate(w))
+    model = BoostedTrees().fit(np.concatenate(x), np.concatenate(y).astype(float), np.concatenate(w))
+    return Model(model, learned_tokens([nodes for nodes, _ in marked], [marks for _, marks in marked]))
 
 
-def fit(pages: DataFrame, html: str = "html", key: str = "page_id", rows: int = SAMPLE_PAGES, seed: int = 23) -> BoostedTrees:
-    """Trees from about `rows` pages chosen by hash (at most twice as many)."""
+def fit(pages: DataFrame, html: str = "html", key: str = "page_id", rows: int = SAMPLE_PAGES, seed: int = 23) -> Model:
+    """A model from about `rows` pages chosen by hash (at most twice as many).
+
+    Of a sampled page over SAMPLE_CHARS characters the model learns from the beginning only; extraction reads all.
+    """
     n = pages.count()
-    drawn = pages.where(unit_hash(f"`{key}`", seed=seed) < F.lit(rows / max(n, 1))).select(F.col(f"`{key}`").alias("k"), F.col(f"`{html}`").alias("h"))
+    drawn = pages.where(unit_hash(f"`{key}`", seed=seed) < F.lit(rows / max(n, 1)))
+    drawn = drawn.select(F.col(f"`{key}`").alias("k"), F.substring(F.col(f"`{html}`"), 1, SAMPLE_CHARS).alias("h"))
     found = sorted(((r["k"] is None, r["k"] or 0, r["h"] or "") for r in drawn.limit(2 * rows).collect()))
     return train([h for _, _, h in found])
 
 
-def main_text(pages: DataFrame, model: BoostedTrees, html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
     """Add text: the whole article of every page.
 
     Null, empty and unmarked input gives what the trees keep of it, '' for null and empty pages; text
@@ -387,8 +449,14 @@ def main_text(pages: DataFrame, model: BoostedTrees, html: str = "html") -> Data
     @F.pandas_udf("string")
     def of(batch: pd.Series) -> pd.Series:
         made: list[str] = []
-        for low in range(0, len(batch), 200):
-            made += extract(batch.iloc[low : low + 200].tolist(), model)
+        group: list[str | None] = []
+        size = 0
+        for i, page in enumerate(batch):
+            group.append(page)
+            size += len(page or "") + 1
+            if size >= GROUP_CHARS or i == len(batch) - 1:
+                made += extract(group, model)
+                group, size = [], 0
         return pd.Series(made, index=batch.index, dtype=object)
 
     return pages.withColumn("text", of(F.col(f"`{html}`")))

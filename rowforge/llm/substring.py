@@ -35,7 +35,7 @@ WINDOW, ANCHOR = 35, 14
 #: Bytes of text that are hashed at once; a single longer document is hashed whole.
 CHUNK = 1 << 21
 #: Different blocks of one anchor that are parsed against each other in one task, some 400 bytes each.
-GROUP = 2048
+GROUP = 512
 _POSITION = np.uint64((1 << 24) - 1)
 _LONGEST = 1 << 23
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -116,8 +117,7 @@ def test_rule_statistics():
 def test_rules(spark, docs):
     rows, marks = labelled(600, share=10)
     both = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    forest, limit = rules.fit(*both)
-    kept = {r["doc_id"]: r for r in rules.judge(both[0], forest, limit).collect() if not r["base_failed"]}
+    kept = {r["doc_id"]: r for r in rules.judge(both[0], rules.fit(*both)).collect() if not r["base_failed"]}
     good = {i: q for i, q, _ in marks}
     passed = [(good[i], r["kept"]) for i, r in kept.items()]
     assert sum(k for q, k in passed if q) / sum(q for q, _ in passed) >= 0.97
@@ -125,15 +125,49 @@ def test_rules(spark, docs):
 
 
 def test_rules_tables(docs, labels):
-    forest, limit = rules.fit(docs, labels)
-    rows = rules.judge(docs, forest, limit).collect()
+    judgement = rules.fit(docs, labels)
+    rows = rules.judge(docs, judgement).collect()
     assert len(rows) == docs.count()
     by = {r["doc_id"]: r for r in rows}
     assert by[1000]["base_failed"] and not by[1000]["kept"] and by[1003]["base_failed"]
-    assert rules.judge(docs.limit(0), forest, limit).count() == 0
-    assert rules.fit(docs.limit(0), labels.limit(0))[1] == 1.1
+    assert rules.judge(docs.limit(0), judgement).count() == 0
+    assert set(rules.fit(docs.limit(0), labels.limit(0)).limits.values()) == {1.1}
 
 
+def test_forest_equals_plain_path_lengths():
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal((300, 3)), rng.standard_normal((10, 3)) + 6])
+    forest = rules.IsolationForest.grow(x, trees=20)
+
+    def depth(tree, row):
+        f, cut, child, ends = tree
+        at = 0
+        while f[at] >= 0:
+            at = child[at] + (row[f[at]] >= cut[at])
+        return ends[at]
+
+    plain = [2 ** (-np.mean([depth(t, row) for t in forest.trees]) / forest.norm) for row in x]
+    assert np.allclose(plain, forest.score(x)) and min(plain[300:]) > np.quantile(plain[:300], 0.95)
+
+
+def test_threshold_makes_fewest_errors():
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        scores, good = np.round(rng.random(60), 2), rng.random(60) < 0.7
+        scores[~good] += 0.3
+        limit = rules.threshold(scores, good, keep_good=0.9)
+        errors = lambda t: (scores[good] >= t).sum() + (scores[~good] < t).sum()
+        assert (scores[good] >= limit).mean() <= 0.1
+        assert errors(limit) == min(errors(t) for t in [*np.unique(scores), 1.5] if (scores[good] >= t).mean() <= 0.1)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_rules_on_the_given_tables(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged = rules.judge(docs.select("doc_id", "text"), rules.fit(docs, labels)).where("not base_failed").join(labels, "doc_id")
+    kept = {r["quality"]: r["k"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[1] >= 0.97 and kept[0] <= 0.05
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
@@ -229,12 +263,48 @@ def test_html_on_held_out_pages(model):
 def test_html_tree_and_decoder():
     nodes = html.flat(html.tree("<p>a<b>b</b><p>c<br>d<ul><li>e<li>f</ul><script>x</script>&lt;g&#233;"))
     assert sorted(r for n in nodes for r in n.runs) == [(0, "ab"), (1, "c d"), (2, "e"), (3, "f"), (4, "<gé")]
+
+
+def test_html_decoder_equals_enumeration():
     rng = np.random.default_rng(2)
-    nodes = html.flat(html.tree("<div><div><p>a</p><div><p>b</p></div></div><p>c</p></div><div>d</div>"))
-    for _ in range(20):
-        keep = html.decode(nodes, rng.standard_normal(len(nodes)))
+    for page_ in ("<div><div><p>a</p><div><p>b</p></div></div><p>c, and more</p></div><div>d</div>", "<p>a</p><ul><li>b<li>c<ul><li>d</ul></ul>"):
+        nodes = html.flat(html.tree(page_))
         place = {id(n): i for i, n in enumerate(nodes)}
-        assert all(keep[place[id(n.parent)]] for i, n in enumerate(nodes) if keep[i] and n.parent is not None)
+        parent = [place[id(n.parent)] if n.parent is not None else -1 for n in nodes]
+        weight = [1.0 + np.log1p(sum(len(r) for _, r in n.runs)) if n.runs else 0.2 for n in nodes]
+        for _ in range(40):
+            odds = rng.standard_normal(len(nodes))
+            total = lambda keep: sum(w * (o if k else -o) for w, o, k in zip(weight[1:], odds[1:], keep[1:], strict=True))  # noqa: B023, E731
+            legal = []
+            for bits in range(2 ** (len(nodes) - 1)):
+                keep = [True] + [bool(bits >> i & 1) for i in range(len(nodes) - 1)]
+                if all(keep[parent[i]] or not keep[i] for i in range(1, len(nodes))):
+                    legal.append(keep)
+            found = html.decode(nodes, odds).tolist()
+            assert found in legal and np.isclose(total(found), max(map(total, legal)))
+
+
+def test_html_is_linear_in_hostile_pages():
+    n = 60_000
+    for page_ in ("<b><p>x</p>" * n, "<span>" * n + "</i>" * n, "<i><div>" + "<span>" * n + "</i>" * n, "<div>" * n + "</p>" * n, "<p><b>x" * n):
+        began = time.perf_counter()
+        nodes = html.flat(html.tree(page_))
+        assert len(nodes) >= 1 and time.perf_counter() - began < 10
+
+
+def test_html_on_names_that_no_layout_has(model):
+    """Layouts with names, and orders of parts, that the composed ones do not use."""
+    rng = random.Random(14)
+    hit = 0
+    for i in range(40):
+        lines = [sentences(rng, rng.randint(2, 5)) for _ in range(rng.randint(3, 8))]
+        title = sentences(rng, 1)[:60].strip()
+        menu = "<div class='zq-top'><ul>" + "".join(f"<li><a href='/{k}'>{w}</a></li>" for k, w in enumerate(sentences(rng, 1).split()[:6])) + "</ul></div>"
+        foot = "<div class='qx-end'><a href='/a'>Imprint</a> <a href='/b'>Terms</a></div>"
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in lines)
+        page_ = f"<html><body>{menu}<div class='{'kernel' if i % 2 else 'uvw'}'>{body}</div>{foot}</body></html>"
+        hit += html.extract([page_], model)[0] == "\n".join([title, *[re.sub(r"\s+", " ", x) for x in lines]])
+    assert hit >= 38
 
 
 def test_html_tables(spark, model):

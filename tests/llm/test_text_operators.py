@@ -281,9 +281,10 @@ def test_mixing_targets_and_tree():
     assert mixing.targets([10, 10, 10], [3, 1, 2], 45, 2) == [20, 25 / 3, 50 / 3]
     assert mixing.targets([0, 4], [3, 1], 6, 2) == [0, 6]
     assert mixing.targets([], [], 0, 2) == []
-    split = mixing.split_tree([7, 0, 31], 5, seed=1)
+    split = mixing.split_tree([7, 0, 31], mixing.fair(38, 5), seed=1)
+    assert split.sum(axis=1).tolist() == mixing.fair(38, 5)
     assert split.sum(axis=0).tolist() == [7, 0, 31] and (split >= 0).all() and split.shape == (5, 3)
-    assert (split == mixing.split_tree([7, 0, 31], 5, seed=1)).all()
+    assert (split == mixing.split_tree([7, 0, 31], mixing.fair(38, 5), seed=1)).all()
 
 
 def test_mixing(docs, clashing, empty, monkeypatch):
@@ -308,6 +309,49 @@ def test_mixing(docs, clashing, empty, monkeypatch):
     assert key(mixing.plan(docs)) == key(mixing.plan(docs.repartition(5)))
 
 
+def taken_by_source(rows):
+    out = {}
+    for r in rows:
+        s = out.setdefault(r["source"], [0, 0, r["target"]])
+        s[0] += r["size"]
+        s[1] += r["taken"]
+    return out
+
+
+def test_mixing_meets_every_target(spark, monkeypatch):
+    rng = random.Random(31)
+    words = lambda n: " ".join("ab" for _ in range(n))
+    one_each = [(i, words(100), "en", f"s{i}", 0) for i in range(6)]
+    equal = [(7, words(9), "en", "same", 0)] * 500 + [(None, words(4), "en", None, 0)] * 300 + [(8, None, "en", "none", 0)] * 5
+    mixed = [(i, words(rng.randint(0, 60)), "en", f"m{i % 3}", 0) for i in range(400)]
+    for rows in (one_each, one_each + equal + mixed):
+        for listed, kinds, block in ((10_000, 4096, 2048), (0, 3, 16)):
+            monkeypatch.setattr(mixing, "LISTED", listed)
+            monkeypatch.setattr(mixing, "TREE_KINDS", kinds)
+            monkeypatch.setattr(mixing, "BLOCK_DOCS", block)
+            df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+            found = mixing.plan(df).collect()
+            got = taken_by_source(found)
+            names = sorted(got, key=lambda s: (s is None, s or ""))
+            want = mixing.targets([got[s][0] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(g[0] for g in got.values()), 2.0)
+            for s, target in zip(names, want, strict=True):
+                assert abs(got[s][2] - target) < 1e-6 and abs(got[s][1] - target) <= 0.5 + 1e-6, s
+            assert len(found) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in found)
+            for r in found:
+                assert r["taken"] == r["size"] * (r["copies"] - (r["part"] is not None)) + (r["part"] or 0) and len(r["shard_of_copy"]) == r["copies"]
+                assert all(0 <= x < 8 for x in r["shard_of_copy"])
+            copies = mixing.mix(df, length="n_chars").collect()
+            assert sum(len((r["text"] or "").split()) for r in copies) == sum(r["taken"] for r in found)
+
+
+def test_first_words(spark):
+    rows = [(" a\tb\n\nc  d\n", 2, " a\tb"), ("x y", 2, "x y"), ("x", 1, "x"), ("word " * 3000, 2500, ("word " * 2500).strip())]
+    df = spark.createDataFrame(rows, "t string, n int, want string")
+    from pyspark.sql import functions as F
+
+    assert [r["x"] for r in df.select(mixing.first_words(F.col("t"), F.col("n")).alias("x")).collect()] == [r[2] for r in rows]
+
+
 def test_digest_of_kept_text_is_native(docs):
     from pyspark.sql import functions as F
 

@@ -28,8 +28,10 @@ EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 URL = r"(?U)(?=(?:https?://|www\.)\S)\S*[^\s.,;:!?)]"
 PHONE = r"(?U)(?<![\w.])(?:\+\d{1,3}(?:[ /-]?\d){6,}|(?:\(0\d{1,4}\)|0\d{1,4})(?:[ /-]?\d){5,})(?!\w)"
 HANDLE = r"(?U)(?<![\w@.])@[A-Za-z0-9_][A-Za-z0-9_.]{1,29}"
-MASKS = (("email", EMAIL), ("url", URL), ("phone", PHONE), ("handle", HANDLE))
+#: Kind, pattern, and texts of which a match holds one: most cells hold none and need no look by the pattern.
+MASKS = (("email", EMAIL, ("@",)), ("url", URL, ("http", "www.")), ("phone", PHONE, ("0", "+")), ("handle", HANDLE, ("@",)))
 
+# Fixed value: what reads as a number.
 NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)\s*$"
 
 
@@ -121,20 +123,42 @@ def is_container(label: Column) -> Column:
     return label.endswith("/")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is named: bound as the element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _may_hold(text: Column, signs: tuple[str, ...]) -> Column:
+    out = text.contains(signs[0])
+    for sign in signs[1:]:
+        out = out | text.contains(sign)
+    return out
+
+
 def scrub(text: Column) -> Column:
     """Personal data replaced by masks; a URL leaves the punctuation behind it."""
-    for kind, pattern in MASKS:
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
+    for kind, pattern, signs in MASKS:
+        text = _once(text, lambda t: F.when(_may_hold(t, signs), F.regexp_replace(t, pattern, f"[{kind}]")).otherwise(t))  # noqa: B023
     return text
 
 
 def pii_counts(text: Column) -> Column:
     """struct(email, url, phone, handle): what scrub() would mask."""
-    found, left = [], text
-    for kind, pattern in MASKS:
-        found.append(F.regexp_count(left, F.lit(pattern)).cast("long").alias(kind))
-        left = F.regexp_replace(left, pattern, f"[{kind}]")
-    return F.struct(*found)
+    kinds = [kind for kind, _, _ in MASKS]
+    state = F.struct(text.alias("t"))
+    for i in range(len(MASKS)):
+        state = _once(state, lambda s: _masked_and_counted(s, i))  # noqa: B023
+    return _once(state, lambda s: F.struct(*[s[k].alias(k) for k in kinds]))
+
+
+def _masked_and_counted(state: Column, i: int) -> Column:
+    """From the text and the counts of the first i masks those of one mask more."""
+    kind, pattern, signs = MASKS[i]
+    text = state["t"]
+    may = _may_hold(text, signs)
+    left = F.when(may, F.regexp_replace(text, pattern, f"[{kind}]")).otherwise(text)
+    found = F.when(may, F.regexp_count(text, F.lit(pattern)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.struct(left.alias("t"), *[state[k].alias(k) for k, _, _ in MASKS[:i]], found.alias(kind))
 
 
 def fold_case(text: Column) -> Column:

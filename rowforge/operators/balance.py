@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowforge.functions.fields import EXAMPLE_FOR, GENERATED_FOR, MARKS, TextField, add_mark, fingerprint, is_marked, one_line
+from rowforge.functions.fields import EXAMPLE_FOR, GENERATED_FOR, MARKS, TextField, add_mark, fingerprint, is_marked, one_line, typical_phrases
 from rowforge.functions.text import cell, fold_case, name, scrub, split_labels
 from rowforge.operators.labels import edges
 
@@ -133,20 +133,77 @@ def output_budget(tokens: Column, entries: Column) -> Column:
     return F.least(F.lit(MAX_OUTPUT_TOKENS).cast("long"), F.lit(BASE_TOKENS) + entries * tokens)
 
 
-def prompts(df: DataFrame, row: str, planned: DataFrame, examples: DataFrame, contrast: DataFrame, fields: list[TextField], batch: int = 10) -> DataFrame:
-    """(label, call, n, prompt): a row for each planned call, with examples and the labels to stay apart from."""
+AVOIDED = 15
+
+
+def field_lines(fields: list[TextField], shapes: list[DataFrame], labels: DataFrame) -> DataFrame:
+    """(label, lines): each field with its kind, guidance and usual size; `shapes` as field_shapes() gives them, one a field."""
+    out, parts = labels.select("label").distinct(), []
+    for i, (f, shape) in enumerate(zip(fields, shapes, strict=True)):
+        if f.separator is None:
+            kind = "free text, ONE value"
+        else:
+            kind = f'list in ONE string, separated by "{f.separator}"' + (f"; at least {f.min_values} values" if f.min_values > 1 else "")
+        names = ("chars_low", "chars_high", "values_low", "values_high")
+        out = out.join(shape.select("label", *[F.col(n).alias(f"s{i}_{n}") for n in names]), "label", "left")
+        typical = typical_phrases(f, *[F.col(f"s{i}_{n}") for n in names])
+        size = F.when(typical != "", F.concat(F.lit("; "), typical)).otherwise("")
+        parts.append(F.concat(F.lit(f"{i + 1}. {f.column}{f' — {f.guidance}' if f.guidance else ''} ({kind}"), size, F.lit(")")))
+    return out.select("label", F.concat_ws("\n", *parts).alias("lines"))
+
+
+def avoided(df: DataFrame, row: str, label: Column, field: TextField, most: int = AVOIDED) -> DataFrame:
+    """(label, avoid): the last `most` values of a label's rows in the first field, in row order, that new ones must not repeat."""
+    read = df.select(name(row).alias("row"), F.explode(label).alias("label"), one_line(shown(field)).alias("value")).where("value <> ''")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("row")))
+    read = read.withColumn("n", place).where(F.col("n") <= most)
+    values = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), lambda x: x["value"])
+    return read.groupBy("label").agg(F.array_join(values, "; ").alias("avoid"))
+
+
+def prompts(
+    df: DataFrame, row: str, planned: DataFrame, examples: DataFrame, contrast: DataFrame, fields: list[TextField], batch: int = 10,
+    shapes: list[DataFrame] | None = None, avoid: DataFrame | None = None, sizes: DataFrame | None = None,
+) -> DataFrame:
+    """(label, call, n, max_tokens, prompt): a row for each planned call.
+
+    The prompt has examples, the labels to stay apart from (with the number of those beyond the list, where `contrast`
+    has `more`), the fields with their usual sizes (`shapes`) and what must not be repeated (`avoid`). With `sizes`, as
+    entry_sizes() gives them, a call asks for no more entries than its output has room for.
+    """
     lines = F.concat_ws(" | ", *[F.concat(F.lit(f"{f.column}: "), one_line(shown(f))) for f in fields])
     told = examples.join(df.select(name(row).alias("row"), lines.alias("line")), "row").groupBy("label")
     told = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("examples"))
-    apart = contrast.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]), "; ").alias("apart"))
-    calls = planned.where("planned > 0").select("label", "planned", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("planned") / batch) - 1, F.lit(0)).cast("int"))).alias("call"))
-    n = F.least(F.lit(batch).cast("long"), F.col("planned") - F.col("call") * batch)
-    guide = "; ".join(f"{f.column}: {f.guidance}" for f in fields if f.guidance)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]), "; ")
+    more = F.max("more") if "more" in contrast.columns else F.lit(0)
+    apart = contrast.groupBy("label").agg(listed.alias("apart"), more.alias("more"))
+    calls = planned.where("planned > 0").select("label", "planned")
+    tokens = F.lit(None).cast("long")
+    if sizes is not None:
+        calls = calls.join(sizes.select("label", "entry_tokens"), "label", "left")
+        tokens = F.coalesce("entry_tokens", F.lit(300).cast("long"))
+        calls = calls.withColumn("size", per_call(tokens, batch))
+    else:
+        calls = calls.withColumn("size", F.lit(batch).cast("long"))
+    calls = calls.withColumn("call", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("planned") / F.col("size")) - 1, F.lit(0)).cast("int"))))
+    n = F.least(F.col("size"), F.col("planned") - F.col("call") * F.col("size"))
+    guide = "; ".join(f"{f.column}: {f.guidance}" for f in fields if f.guidance and shapes is None)
+    out = calls.join(told, "label", "left").join(apart, "label", "left")
+    described: Column = F.lit("")
+    if shapes is not None:
+        out = out.join(field_lines(fields, shapes, calls), "label", "left")
+        described = F.concat(F.lit("\nFields:\n"), F.coalesce("lines", F.lit("")))
+    kept_off: Column = F.lit("")
+    if avoid is not None:
+        out = out.join(avoid, "label", "left")
+        kept_off = F.concat(F.lit("\nNot to be repeated: "), F.coalesce("avoid", F.lit("—")))
+    rest = F.when(F.col("more") > 0, F.concat(F.lit(" (and "), F.col("more").cast("string"), F.lit(" more)"))).otherwise("")
     text = F.concat(
         F.lit("Write "), n.cast("string"), F.lit(" new entries for '"), F.col("label"), F.lit("'.\nExamples:\n"), F.coalesce("examples", F.lit("")),
-        F.lit("\nNot to be confused with: "), F.coalesce("apart", F.lit("")), F.lit(f"\n{guide}" if guide else ""),
+        F.lit("\nNot to be confused with: "), F.coalesce("apart", F.lit("")), rest, described, kept_off, F.lit(f"\n{guide}" if guide else ""),
     )
-    return calls.join(told, "label", "left").join(apart, "label", "left").select("label", "call", n.alias("n"), text.alias("prompt"))
+    budget = output_budget(tokens, n) if sizes is not None else F.lit(MAX_OUTPUT_TOKENS).cast("long")
+    return out.select("label", "call", n.alias("n"), budget.alias("max_tokens"), text.alias("prompt"))
 
 
 def gate(answers: DataFrame, fields: list[TextField], floors: DataFrame | None = None, known: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
@@ -201,7 +258,3 @@ def assemble(df: DataFrame, row: str, accepted: DataFrame, examples: DataFrame,
     new = accepted.withColumnsRenamed({"label": "_label"}).withColumn(label, F.col("_label")).withColumn(GENERATED_FOR, F.col("_label"))
     added = [cell(c).alias(c) if c in new.columns else F.lit("").alias(c) for c in marked.columns]
     return marked.select(*[cell(c).alias(c) for c in marked.columns]).unionByName(new.select(*added))
-
-
-def labels_of(label: str, separator: str = ",") -> Column:
-    return F.array_distinct(split_labels(name(label), separator))

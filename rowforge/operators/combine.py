@@ -16,7 +16,7 @@ from rowforge.operators.result import OpResult
 
 @dataclass(frozen=True)
 class Source:
-    """A table with the source column of each target column, and the column that orders its rows."""
+    """A table with the source column of each target column, and the column that orders its rows, without repeats."""
 
     df: DataFrame
     mapping: dict[str, str | None]
@@ -51,14 +51,15 @@ def combine(sources: list[Source], target: list[str], text: list[str], reference
         columns = [cell(source.mapping[c]).alias(c) if source.mapping.get(c) in source.df.columns else F.lit("").alias(c) for c in target]
         own = [F.when(is_marked(m), cell(m)).otherwise("").alias(m) if m in source.df.columns else F.lit("").alias(m) for m in marks]
         shaped.append(source.df.select(*columns, *own, F.lit(source.label).alias("source"), F.lit(i).alias("_priority"), name(source.order).cast("long").alias("_order")))
-    both = reduce(DataFrame.unionByName, shaped).withColumn("_key", F.sha2(combined_text(text, references), 256))
-    place = F.struct("_priority", "_order")
-    first = both.groupBy("_key").agg(F.min(place).alias("_first"))
-    kept = both.join(first, (both["_key"] == first["_key"]) & (place == F.col("_first")), "left_semi")
+    both = reduce(DataFrame.unionByName, shaped)
+    # Only the pass that looks for each text's first row reads the clean texts; rows are then known by their place.
+    keyed = both.select(F.sha2(combined_text(text, references), 256).alias("_key"), F.struct("_priority", "_order").alias("_place"))
+    first = keyed.groupBy("_key").agg(F.min("_place").alias("_first")).select("_first.*")
+    kept = both.join(first, ["_priority", "_order"], "left_semi")
     rows_in = both.groupBy("source").agg(F.count("*").alias("rows_in"))
     rows_kept = kept.groupBy("source").agg(F.count("*").alias("rows_kept"))
     stats = rows_in.join(rows_kept, "source", "left").fillna(0, ["rows_kept"])
-    return OpResult(kept.drop("_priority", "_order", "_key"), stats)
+    return OpResult(kept.drop("_priority", "_order"), stats)
 
 
 def twin_key(text: list[str], label: str | None, separator: str = ",", references: bool = True):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions.fields import GENERATED_FOR
 from rowforge.functions.text import cell, name, scrub, split_labels, strip
+from rowforge.session import settle
 
 # Words that are no terms.
 STOP_WORDS = (
@@ -86,15 +87,29 @@ def seed_answers(answers: DataFrame, n: int) -> DataFrame:
     return few.select("label", "ord", *[scrub(cell(c)).alias(c) for c in ("title", "description", "keywords")], F.lit("bootstrap").alias("source"))
 
 
-def prompts(planned: DataFrame, seeds: DataFrame, terms: DataFrame | None = None, batch: int = 10, shots: int = 4, per_batch: int = 12, seed: int = 42, facets: tuple[str, ...] = ("overview", "exercise", "project"), corridor=(100, 400), guidance: str = "") -> DataFrame:
-    """(label, call, n, prompt) of planned (label, anchor, needed): seeded shots, a rotating facet and part of the terms."""
+#: Entries of a prompt's avoid list, and how much of an example it shows.
+AVOIDED, EXAMPLE_CHARS = 15, {"title": 80, "description": 220, "keywords": 80}
+
+
+def prompts(
+    planned: DataFrame, seeds: DataFrame, terms: DataFrame | None = None, batch: int = 10, shots: int = 4, per_batch: int = 12, seed: int = 42,
+    facets: tuple[str, ...] = ("overview", "exercise", "project"), corridor=(100, 400), guidance: str = "", made: DataFrame | None = None,
+) -> DataFrame:
+    """(label, call, n, prompt) of planned (label, anchor, needed): seeded shots, a rotating facet and part of the terms.
+
+    `seeds` has label, title and, if known, description and keywords, which examples then show. `made` (label, ord,
+    title) are the titles that exist already: the last AVOIDED of a label, by ord, must not be repeated.
+    """
     last = F.greatest(F.ceil(F.col("needed") / batch) - 1, F.lit(0)).cast("int")
     calls = planned.where("needed > 0").withColumn("call", F.explode(F.sequence(F.lit(0), last)))
     n = F.least(F.lit(batch).cast("long"), F.col("needed") - F.col("call") * batch)
-    told = calls.select("label", "call").join(seeds.select("label", "title"), "label")
+    fields = [c for c in EXAMPLE_CHARS if c in seeds.columns]
+    line = F.concat_ws(" | ", *[F.substring(strip(F.regexp_replace(cell(c), r"(?U)\s+", " ")), 1, EXAMPLE_CHARS[c]) for c in fields])
+    told = calls.select("label", "call").join(seeds.select("label", "title", line.alias("line")), "label")
     pick = F.md5(F.concat_ws("|", F.lit(str(seed)), "label", F.col("call").cast("string"), "title"))
-    told = told.withColumn("_o", pick).withColumn("_n", F.row_number().over(Window.partitionBy("label", "call").orderBy("_o", "title")))
-    told = told.where(F.col("_n") <= shots).groupBy("label", "call").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "title"))), lambda x: x["title"]), "; ").alias("shots"))
+    told = told.withColumn("_o", pick).withColumn("_n", F.row_number().over(Window.partitionBy("label", "call").orderBy("_o", "title", "line")))
+    told = told.where(F.col("_n") <= shots).groupBy("label", "call")
+    told = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), "; ").alias("shots"))
     out = calls.join(told, ["label", "call"], "left")
     some: Column = F.lit("")
     if terms is not None:
@@ -102,10 +117,18 @@ def prompts(planned: DataFrame, seeds: DataFrame, terms: DataFrame | None = None
         out = out.join(bank, "label", "left")
         start = F.pmod(F.col("call") * per_batch, F.greatest(F.size("bank"), F.lit(1))) + 1
         some = F.coalesce(F.concat(F.lit("\nTerms: "), F.array_join(F.slice(F.col("bank"), start, F.lit(per_batch)), ", ")), F.lit(""))
+    avoid: Column = F.lit("")
+    if made is not None:
+        place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("ord")))
+        lately = made.select("label", "ord", cell("title").alias("title")).withColumn("_n", place).where(F.col("_n") <= AVOIDED)
+        lately = lately.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("made"))
+        out = out.join(lately, "label", "left")
+        titles = F.array_join(F.transform("made", lambda x: x["title"]), "; ")
+        avoid = F.concat(F.lit("\nTitles not to be repeated: "), F.coalesce(titles, F.lit("—")))
     facet = F.element_at(F.array(*[F.lit(f) for f in facets]), (F.pmod(F.col("call"), F.lit(len(facets))) + 1).cast("int"))
     text = F.concat(
         F.lit("Write "), n.cast("string"), F.lit(" entries for "), F.col("anchor"), F.lit("; facet: "), facet,
-        F.lit(f"; description of {corridor[0]} to {corridor[1]} characters.\nExamples: "), F.coalesce("shots", F.lit("none yet")), some,
+        F.lit(f"; description of {corridor[0]} to {corridor[1]} characters.\nExamples: "), F.coalesce("shots", F.lit("none yet")), some, avoid,
         F.lit(f"\n{guidance}" if guidance else ""),
     )
     return out.select("label", "call", n.alias("n"), text.alias("prompt"))
@@ -142,11 +165,46 @@ def accept(
     candidates: DataFrame, vector: str, needed: DataFrame, corridor: tuple[int, int], reference: DataFrame | None = None,
     history: DataFrame | None = None, leakage: float = 0.9, duplicate: float = 0.95,
 ) -> DataFrame:
-    """All gates in order: length, exact duplicate, leakage, semantic duplicate, quota; `ord` is unique.
+    """All gates in order: quota, length, exact duplicate, leakage, semantic duplicate; `ord` is unique.
 
-    `reference` and `history` carry vectors in a column of the same name. The quota is applied to what the
-    semantic gate leaves; an item beyond it may still have kept a later one from being new.
+    An item that comes when its label has what it needs keeps none from being new: it is over_quota, or what the first
+    two gates say of it, and goes no further. Where a label is full depends on the gates and the other way round: from no label being full,
+    each round applies the gates to what the last one left open, and the earliest wrong place comes right in it, so
+    that the places stand after one round more than there are labels at most. `reference` and `history` carry vectors
+    in a column of the same name.
     """
+    full, before = None, None
+    while True:
+        live = candidates
+        if full is not None:
+            live = candidates.join(full, "label", "left").where("upto is null or ord <= upto").drop("upto")
+        gated = settle(_gates(live, vector, corridor, reference, history, leakage, duplicate))
+        place = F.row_number().over(Window.partitionBy("label").orderBy("ord"))
+        passed = gated.where("verdict = 'passed'").select("label", "ord", place.alias("n"))
+        last = passed.join(needed.select("label", "needed"), "label").where("n = needed").select("label", F.col("ord").alias("upto"))
+        none = candidates.select("label").distinct().join(needed, "label", "left").where("coalesce(needed, 0) <= 0")
+        full = settle(last.unionByName(none.select("label", F.lit(-(1 << 62)).alias("upto"))))  # a row for each label that is full
+        state = full.agg(F.count("*"), F.bit_xor(F.xxhash64("label", "upto"))).first()
+        if state == before:
+            break
+        before = state
+    low, high = corridor
+    content = sample_print(cell("title"), cell("description")).alias("print")
+    fits = F.length(cell("description")).between(low, high)
+    seen = candidates.join(full, "label", "left").where(fits & (F.col("upto").isNull() | (F.col("ord") <= F.col("upto")))).select(content, "ord")
+    if history is not None:
+        seen = seen.unionByName(history.select(content, F.lit(-(1 << 62)).alias("ord")))
+    seen = seen.groupBy("print").agg(F.min("ord").alias("since"))
+    over = candidates.join(full, "label").where("ord > upto").withColumn("fits", fits).withColumn("print", content).join(seen, "print", "left")
+    verdict = F.when(~F.col("fits"), "discarded_length").when(F.col("since") < F.col("ord"), "discarded_duplicate").otherwise("over_quota")
+    return gated.unionByName(over.select("label", "ord", *[scrub(cell(c)).alias(c) for c in ("title", "description", "keywords")], verdict.alias("verdict")))
+
+
+def _gates(
+    candidates: DataFrame, vector: str, corridor: tuple[int, int], reference: DataFrame | None, history: DataFrame | None,
+    leakage: float, duplicate: float,
+) -> DataFrame:
+    """accept() without the quota."""
     from rowforge.operators import vectors
 
     gated = cheap_gates(candidates, corridor, history)
@@ -168,7 +226,7 @@ def accept(
     repeated = passed.select("ord").join(kept, "ord", "left_anti")
     marks = marks.unionByName(repeated.withColumn("verdict", F.lit("discarded_semantic_duplicate")))
     out = gated.drop("verdict").join(marks, "ord", "left").withColumn("verdict", F.coalesce("verdict", F.lit("passed")))
-    return quota_gate(out, needed)
+    return out.select("label", "ord", "title", "description", "keywords", "verdict")
 
 
 def still_needed(planned: DataFrame, samples: DataFrame) -> DataFrame:
@@ -191,14 +249,6 @@ def discards(gated: DataFrame) -> DataFrame:
     return gated.groupBy("verdict").agg(F.count("*").alias("count"))
 
 
-def audit_text(made: list, reasons: list) -> str:
-    """The audit as Markdown, from the collected rows of audit() and discards()."""
-    lines = ["# Audit", "", f"- Samples: **{sum(r['made'] for r in made)}** of {sum(r['target'] for r in made)}", "", "| verdict | count |", "|---|---|"]
-    lines += [f"| {r['verdict']} | {r['count']} |" for r in reasons]
-    lines += ["", "| label | made | target |", "|---|---|---|", *[f"| {r['label']} | {r['made']} | {r['target']} |" for r in made]]
-    return "\n".join(lines) + "\n"
-
-
 def training_export(samples: DataFrame, concepts: DataFrame, label_column: str = "label") -> DataFrame:
     """Exportable samples in training columns, the concept with its display name, each marked as generated."""
     good = samples.where(F.col("status").isin("passed", "approved"))

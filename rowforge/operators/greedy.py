@@ -19,25 +19,34 @@ def quota_items(edges: DataFrame, most: int | None = None) -> DataFrame:
 
     `edges` has item, label, ord (the item's place), quota (of the label) and weight (1 or more). `most`
     bounds all quotas; then only a label's first `most` edges are looked at, which bounds a hot label's
-    window.
+    window. Without it the edges are dealt into ranges of (label, ord), so that a hot label has many: the sums of the
+    ranges before it say where a range begins, and ranges behind the one where the quota is met are left out.
     """
-    by_label = Window.partitionBy("label").orderBy("ord", "item")
+    edges = edges.select("item", "label", "ord", "quota", "weight")
     if most is not None:
-        edges = edges.withColumn("_n", F.row_number().over(by_label)).where(F.col("_n") <= F.lit(most)).drop("_n")
-    before = F.sum("weight").over(by_label.rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.withColumn("_before", F.coalesce(before, F.lit(0)))
-    return edges.where(F.col("_before") < F.col("quota")).select("item").distinct()
+        by_label = Window.partitionBy("label").orderBy("ord", "item")
+        edges = edges.withColumn("n", F.row_number().over(by_label)).where(F.col("n") <= F.lit(most))
+        before = F.sum("weight").over(by_label.rowsBetween(Window.unboundedPreceding, -1))
+        return edges.withColumn("before", F.coalesce(before, F.lit(0))).where("before < quota").select("item").distinct()
+    edges = settle(edges.repartitionByRange("label", "ord", "item").withColumn("range", F.spark_partition_id()))
+    sums = edges.groupBy("label", "range").agg(F.sum("weight").alias("weight"))
+    ahead = F.sum("weight").over(Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("label", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))  # no more than there are ranges
+    edges = edges.join(sums, ["label", "range"]).where("ahead < quota")
+    within = F.sum("weight").over(Window.partitionBy("label", "range").orderBy("ord", "item").rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.withColumn("before", F.col("ahead") + F.coalesce(within, F.lit(0)))
+    return edges.where("before < quota").select("item").distinct()
 
 
-def learnable(edges: DataFrame, rows: int, least: int, rounds: int = 50) -> tuple[DataFrame, int]:
+def learnable(edges: DataFrame, rows: int, least: int) -> tuple[DataFrame, int]:
     """Labels with `least` rows with them and as many without, and the number of rows that keep one.
 
     `edges` has item and label, distinct. Rows left without a label go, which may make others too common;
-    repeated until nothing changes. A surviving label's own count never changes.
+    repeated until nothing changes. A surviving label's own count never changes. Each round but the last takes a label
+    or a row away, so the rounds end.
     """
     edges = settle(edges.select("item", "label"))
-    while rounds:
-        rounds -= 1
+    while True:
         counts = edges.groupBy("label").count()
         keep = counts.where((F.col("count") >= least) & (F.lit(rows) - F.col("count") >= least)).select("label")
         left = settle(edges.join(keep, "label", "left_semi"))
@@ -45,27 +54,24 @@ def learnable(edges: DataFrame, rows: int, least: int, rounds: int = 50) -> tupl
         if after == rows and left.count() == edges.count():
             return keep, rows
         edges, rows = left, after
-    raise RuntimeError("the labels did not settle")
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that a pass in ascending order keeps, dropping each node with a link to an earlier kept one.
 
     `nodes` has id; `edges` has a < b. In rounds: a node without an undecided or kept earlier neighbour is
-    kept; one with a kept earlier neighbour is dropped.
+    kept; one with a kept earlier neighbour is dropped. Every round decides the smallest undecided node at least, so
+    the rounds end; a chain of links in ascending order takes as many as it is long.
     """
     edges = settle(edges.select("a", "b").distinct())
     linked = settle(edges.select(F.col("b").alias("id")).distinct())
     kept = settle(nodes.select("id").join(linked, "id", "left_anti"))
     undecided = linked
-    while rounds and not undecided.isEmpty():
-        rounds -= 1
+    while not undecided.isEmpty():
         dropped = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         undecided = settle(undecided.join(dropped, "id", "left_anti"))
         waiting = edges.join(undecided.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         fresh = settle(undecided.join(waiting, "id", "left_anti"))
         kept = settle(kept.unionByName(fresh))
         undecided = settle(undecided.join(fresh, "id", "left_anti"))
-    if not undecided.isEmpty():
-        raise RuntimeError("the pass did not end; the links form very long chains")
     return kept

@@ -9,6 +9,7 @@ from rowforge.functions.fields import NAME_CHARS, TextField, label_name, one_lin
 from rowforge.functions.text import cell, combined_text, dedupe_key, is_container, name, pii_counts, scrub, split_labels
 from rowforge.operators.greedy import learnable, quota_items
 from rowforge.operators.result import OpResult
+from rowforge.session import settle
 
 
 def auto_min_samples(rows: Column) -> Column:
@@ -75,15 +76,18 @@ def dedupe_exact(df: DataFrame, row: str, text: list[str], references: bool = Tr
 
 def balance_report(df: DataFrame, row: str, label: str, separator: str = ",") -> DataFrame:
     """(label, support, recommended_min_samples, below): support counts a label once per row."""
-    total = df.agg(F.count("*").alias("rows"))
-    support = edges(df, row, label, separator).groupBy("label").agg(F.count("*").alias("support"))
-    out = support.crossJoin(F.broadcast(total))  # one row
+    labels = F.array_distinct(split_labels(name(label), separator))
+    # One pass for both: every row also counts under null, which is no label.
+    each = df.select(F.explode(F.concat(labels, F.array(F.lit(None).cast("string")))).alias("label"))
+    counts = settle(each.groupBy("label").agg(F.count("*").alias("support")))
+    total = counts.where("label is null").agg(F.coalesce(F.sum("support"), F.lit(0)).alias("rows"))
+    out = counts.where("label is not null").crossJoin(F.broadcast(total))  # one row
     out = out.withColumn("recommended_min_samples", auto_min_samples(F.col("rows")))
     return out.select("label", "support", "recommended_min_samples", (F.col("support") < F.col("recommended_min_samples")).alias("below"))
 
 
-def analyze(df: DataFrame, row: str, text: list[str], label: str, separator: str = ",", references: bool = True) -> DataFrame:
-    """One row on the whole table: labels, empty and repeated texts, lengths, rows with personal data."""
+def analyze(df: DataFrame, row: str, text: list[str], label: str, separator: str = ",", references: bool = True, pii: bool = False) -> DataFrame:
+    """One row on the whole table: labels, empty and repeated texts, lengths; with `pii` also pii_report()'s columns."""
     read = df.select(
         combined_text(text, references).alias("t"),
         F.array_distinct(split_labels(name(label), separator)).alias("l"),
@@ -101,7 +105,8 @@ def analyze(df: DataFrame, row: str, text: list[str], label: str, separator: str
         F.count("*").alias("unique_labels"), F.count_if(F.col("count") < 10).alias("rare_labels_under_10")
     )
     bare = read.agg(F.count_if(F.size("l") == 0).alias("rows_without_label"))
-    return texts.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(bare))  # one row each
+    out = texts.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(bare))  # one row each
+    return out.crossJoin(F.broadcast(pii_report(df, text, references))) if pii else out
 
 
 def pii_report(df: DataFrame, text: list[str], references: bool = True) -> DataFrame:
@@ -141,25 +146,22 @@ def preflight_rows(
     min_length: int = 5, drop_duplicates: bool = True, references: bool = True, accents: bool = True,
 ) -> DataFrame:
     """(row, labels, fate) of every row: kept, or dropped for no_label, too_short or duplicate, in that order."""
-    body = combined_text(text, references)
     labels = F.filter(F.array_distinct(split_labels(name(label), separator)), lambda x: ~is_container(x))
     if substring:
         labels = F.filter(labels, lambda x: x.contains(substring))
-    read = df.select(name(row).alias("row"), labels.alias("labels"), F.length(body).alias("n"), dedupe_key(body, accents).alias("key"))
-    early = F.when(F.size("labels") == 0, "no_label").when(F.col("n") < min_length, "too_short")
-    read = read.withColumn("early", early)
-    out, rest = read.where("early is not null"), read.where("early is null")
-    fate = F.lit("kept")
-    if drop_duplicates:
-        first = F.row_number().over(Window.partitionBy("key").orderBy("row"))
-        fate = F.when(first == 1, "kept").otherwise("duplicate")
-    return out.select("row", "labels", F.col("early").alias("fate")).unionByName(rest.select("row", "labels", fate.alias("fate")))
+    # The clean text is a column of its own, which Spark works out once; behind it only a digest is kept.
+    read = df.select(name(row).alias("row"), labels.alias("labels"), combined_text(text, references).alias("body"))
+    early = F.when(F.size("labels") == 0, "no_label").when(F.length("body") < min_length, "too_short")
+    if not drop_duplicates:
+        return read.select("row", "labels", F.coalesce(early, F.lit("kept")).alias("fate"))
+    read = settle(read.select("row", "labels", early.alias("early"), dedupe_key(F.col("body"), accents).alias("key")))
+    first = read.where("early is null").groupBy("key").agg(F.min("row").alias("row")).select("row", F.lit("kept").alias("kept"))
+    fate = F.coalesce("early", "kept", F.lit("duplicate"))
+    return read.join(first, "row", "left").select("row", "labels", fate.alias("fate"))
 
 
 def preflight(rows: DataFrame, min_samples: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row of totals, one row for each label) of the effective training set; `rows` as preflight_rows() gives."""
-    from rowforge.session import settle
-
     rows = settle(rows)
     fates = {r["fate"]: r["count"] for r in rows.groupBy("fate").count().collect()}  # four rows
     kept = fates.get("kept", 0)
@@ -192,9 +194,11 @@ def display_names(df: DataFrame, row: str, label: str, shown: str | None = None,
     return votes.groupBy("label").agg(F.max_by("name", F.struct("pair", "n", (-F.col("first")).alias("f"))).alias("name"))
 
 
-def contrast_labels(each: DataFrame, names: DataFrame | None = None, cap: int = 30) -> DataFrame:
+def contrast_labels(each: DataFrame, names: DataFrame | None = None, cap: int = 30, with_rest: bool = False) -> DataFrame:
     """(label, rank, other): the other labels by shared rows, support and name, each name once, `cap` at most.
 
+    `with_rest` adds `more`, the number of names beyond the list.
+
     `each` has row and label, distinct. Rows with many labels make many pairs: a row's labels are bounded.
     """
     support = each.groupBy("label").agg(F.count("*").alias("support"))
@@ -216,7 +220,13 @@ def contrast_labels(each: DataFrame, names: DataFrame | None = None, cap: int =
     once = F.row_number().over(Window.partitionBy("label", "other_name").orderBy(*order))
     every = every.where((F.col("other_name") != F.col("shown")) & (F.col("other_name") != "")).withColumn("_n", once).where("_n = 1")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    return every.withColumn("rank", rank).where(F.col("rank") <= cap).select("label", "rank", F.col("other_name").alias("other"))
+    listed = every.withColumn("rank", rank).where(F.col("rank") <= cap).select("label", "rank", F.col("other_name").alias("other"))
+    if not with_rest:
+        return listed
+    named = shown.where("shown <> ''").agg(F.count_distinct("shown").alias("names"))
+    rest = shown.crossJoin(F.broadcast(named))  # one row
+    rest = rest.select("label", F.greatest(F.lit(0), F.col("names") - (F.col("shown") != "").cast("int") - cap).cast("long").alias("more"))
+    return listed.join(rest, "label")
 
 
 MAX_STATED, MAX_VALUE, MIN_FILLED = 1500, 2000, 5

@@ -84,8 +84,33 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks
     return _products(_blocks(df, key, vector, blocks), [(i, j) for i in range(blocks) for j in range(i, blocks)], threshold)
 
 
+#: Numbers in all vectors of a reference that is sent to every task: 64 MB of doubles.
+SENT = 1 << 23
+
+
 def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, blocks: int | None = None) -> DataFrame:
-    """(id, similarity): the largest cosine of each row to any reference vector, by blocks; 0 without references."""
+    """(id, similarity): the largest cosine of each row to any reference vector; 0 without references.
+
+    A reference of at most SENT numbers goes to every task and the rows stay where they are; a larger one is compared
+    by blocks.
+    """
+    unit_reference = reference.select(unit(name(ref_vector)).alias("v")).where("v is not null")
+    numbers = unit_reference.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    if numbers <= SENT and blocks is None:
+        against = [r["v"] for r in unit_reference.collect()]
+        shared = df.sparkSession.sparkContext.broadcast(np.array(against, dtype=np.float64))
+
+        def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                best = np.zeros(len(part))
+                for low in range(0, len(part), 1024):
+                    if len(shared.value):
+                        near = np.stack(part["v"].iloc[low : low + 1024].to_numpy()) @ shared.value.T
+                        best[low : low + 1024] = np.maximum(near.max(axis=1), 0.0)
+                yield pd.DataFrame({"id": part["id"], "similarity": best})
+
+        asked = df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).where("id is not null and v is not null")
+        return asked.mapInPandas(nearest, "id long, similarity double")
     parts, blocks = _parts(reference, blocks), _parts(df, blocks)
     rows = _blocks(df, key, vector, blocks)
     numbered = reference.select(unit(name(ref_vector)).alias("v")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.session import settle
+
 
 def preferred(labels: Column, languages: tuple[str, ...], default: Column) -> Column:
     """The label in the first available language of a map, else any, else the default."""
@@ -14,11 +17,37 @@ def preferred(labels: Column, languages: tuple[str, ...], default: Column) -> Co
     return F.coalesce(*wanted, F.get(F.map_values(labels), F.lit(0)), default)
 
 
+#: Concepts that a recursive query may walk: Spark's own limit of rows.
+RECURSIVE_ROWS = 1_000_000
+
+
+def in_language(concepts: DataFrame, labels: str = "labels", languages: tuple[str, ...] = ("de", "en")) -> DataFrame:
+    """The concepts with `label` from a map of language to text: the first language that a concept has, else its uri."""
+    return concepts.withColumn("label", preferred(F.col(labels), languages, F.col("uri"))).drop(labels)
+
+
+def _levels(concepts: DataFrame) -> DataFrame:
+    """tree()'s walk as one join for each level, for more concepts than a recursive query may walk."""
+    step = concepts.select("uri", "label", "broader", F.lpad(F.col("ord").cast("string"), 12, "0").alias("key"))
+    walk = settle(step.where("broader is null").select("uri", F.lit(0).alias("depth"), F.array("uri").alias("path"), F.array("key").alias("keys"), F.array("label").alias("labels")))
+    levels = [walk]
+    while not walk.isEmpty():
+        parent = walk.select(F.col("uri").alias("broader"), "depth", "path", "keys", F.col("labels").alias("names"))
+        below = step.join(parent, "broader").where(~F.array_contains("path", F.col("uri")))
+        grown = [F.array_append("path", F.col("uri")).alias("path"), F.array_append("keys", F.col("key")).alias("keys"), F.array_append("names", F.col("label")).alias("labels")]
+        walk = settle(below.select("uri", (F.col("depth") + 1).alias("depth"), *grown))
+        levels.append(walk)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def tree(concepts: DataFrame, title: str = "") -> DataFrame:
     """(uri, depth, path, anchor, position): every concept below a top one, position in depth-first order.
 
-    Depth is at most 100. A concept that is its own ancestor ends the walk there.
+    A concept that is its own ancestor ends the walk there. A recursive query walks up to RECURSIVE_ROWS concepts of a
+    depth up to 100; a larger vocabulary is walked level by level.
     """
+    if concepts.count() >= RECURSIVE_ROWS:
+        return _shown(_levels(concepts), title)
     view = f"concepts_{uuid.uuid4().hex}"
     concepts.createOrReplaceTempView(view)
     found = concepts.sparkSession.sql(f"""
@@ -30,6 +59,10 @@ def tree(concepts: DataFrame, title: str = "") -> DataFrame:
             FROM {view} c JOIN walk w ON c.broader = w.uri
             WHERE NOT array_contains(w.path, c.uri))
         SELECT * FROM walk""")
+    return _shown(found, title)
+
+
+def _shown(found: DataFrame, title: str) -> DataFrame:
     names = F.filter(F.concat(F.array(F.lit(title)), F.col("labels")), lambda x: x != "")
     return found.select("uri", "depth", "path", F.array_join(names, " → ").alias("anchor"), F.array_join("keys", "/").alias("position"))
 

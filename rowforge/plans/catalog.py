@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from rowforge.plans import generation, labels, streams, tables  # noqa: F401  registers their queries
+    from rowforge.plans import generation, labels, streams, tables, whole  # noqa: F401  registers their queries
 
 
 def queries() -> dict:

@@ -72,28 +72,57 @@ def _(spark, d):
     return read_table(spark, d, "pages").select("page_id", tx.scrub(F.concat(F.lit("see "), "url", F.lit(")."))).alias("text"))
 
 
-@register("pii1_scan")
+# Java's \\w, \\d and \\S under (?U) for DuckDB, which also has no lookaround: the characters beside a match are captured and
+# put back, and a second pass finds the matches that begin right behind a captured one.
+_W, _D, _S = r"\p{L}\p{M}\p{N}\p{Pc}", r"\p{Nd}", r"\s\x0b\x{85}\p{Z}"
+_EMAIL = rf"[{_W}.+-]+@[{_W}-]+(?:\.[{_W}-]+)+"
+_URL = rf"(?:https?://|www\.)[^{_S}]*[^{_S}.,;:!?)]"
+_PHONE = rf"(^|[^{_W}.])(?:\+{_D}{{1,3}}(?:[ /-]?{_D}){{6,}}|(?:\(0{_D}{{1,4}}\)|0{_D}{{1,4}})(?:[ /-]?{_D}){{5,}})($|[^{_W}])"
+_HANDLE = rf"(^|[^{_W}@.])@[A-Za-z0-9_][A-Za-z0-9_.]{{1,29}}"
+
+
+def _masked(text: str, kinds: int = 4) -> str:
+    """The text after the first `kinds` masks."""
+    steps = ((_EMAIL, "[email]", 1), (_URL, "[url]", 1), (_PHONE, r"\1[phone]\2", 2), (_HANDLE, r"\1[handle]", 2))
+    for pattern, mask, times in steps[:kinds]:
+        for _ in range(times):
+            text = f"regexp_replace({text}, '{pattern}', '{mask}', 'g')"
+    return text
+
+
+def _counted(text: str) -> str:
+    """Columns email, url, phone and handle: by how many marks each mask adds."""
+    out = []
+    for i, kind in enumerate(("email", "url", "phone", "handle")):
+        before, after = _masked(text, i), _masked(text, i + 1)
+        many = lambda t: f"(length({t}) - length(replace({t}, '[{kind}]', ''))) // {len(kind) + 2}"  # noqa: B023, E731
+        out.append(f"({many(after)} - {many(before)})::BIGINT AS {kind}")
+    return ", ".join(out)
+
+
+@register("pii1_scan", f"SELECT doc_id, {_counted("coalesce(text, '')")} FROM documents")
 def _(spark, d):
     found = tx.pii_counts(tx.cell("text"))
     return documents(spark, d).select("doc_id", *[found[k].alias(k) for k in ("email", "url", "phone", "handle")])
 
 
-@register("pii2_scrub")
+@register("pii2_scrub", f"SELECT doc_id, {_masked("coalesce(text, '')")} AS text FROM documents")
 def _(spark, d):
     return documents(spark, d).select("doc_id", tx.scrub(tx.cell("text")).alias("text"))
 
 
-@register("pii3_filter_drop")
+@register("pii3_filter_drop", f"SELECT doc_id FROM documents WHERE {_masked("coalesce(text, '')")} = coalesce(text, '')")
 def _(spark, d):
     return labels.pii_filter(documents(spark, d), TEXT, "drop").df.select("doc_id")
 
 
-@register("pii3_filter_mask")
+@register("pii3_filter_mask", f"SELECT doc_id, {_masked("coalesce(text, '')")} AS text FROM documents")
 def _(spark, d):
     return labels.pii_filter(documents(spark, d), TEXT, "mask").df.select("doc_id", "text")
 
 
-@register("agg6_pii_report")
+@register("agg6_pii_report", f"""SELECT count(*) AS rows_scanned, count(*) FILTER (WHERE email + url + phone + handle > 0) AS rows_affected, sum(email)::BIGINT AS email, sum(url)::BIGINT AS url, sum(phone)::BIGINT AS phone,
+sum(handle)::BIGINT AS handle FROM (SELECT {_counted("t")} FROM (SELECT {CLEAN} AS t FROM documents))""")
 def _(spark, d):
     return labels.pii_report(documents(spark, d), TEXT)
 

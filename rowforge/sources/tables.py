@@ -68,16 +68,23 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, tolerant: bool = False, schema: T.StructType | None = None) -> tuple[DataFrame, int]:
-    """(flattened records, lines skipped): a bad line is refused with its number, or skipped if `tolerant`."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """(flattened records, lines skipped): a bad line is refused with its file and number, or skipped if `tolerant`."""
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    numbered = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_line"))
+    lines = numbered.where(F.trim("value") != "")
     parsed = schema or spark.read.option("columnNameOfCorruptRecord", _BAD).json(path).schema
     fields = [f for f in parsed.fields if f.name != _BAD]
     shape = T.StructType([*fields, T.StructField(_BAD, T.StringType())])
-    read = lines.select("_line", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
+    read = lines.select("_file", "_start", "_line", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
     bad = read.where(F.col(f"r.{_BAD}").isNotNull() | F.col("r").isNull())
     count = bad.count()
     if count and not tolerant:
-        raise ValueError(f"Line {bad.agg(F.min('_line')).first()[0] + 1} is no JSON object.")
+        # The number within its file: lines of the splits before it, then lines of its own split.
+        at = bad.agg(F.min(F.struct("_file", "_start", "_line")).alias("b")).first()["b"]
+        of_file = numbered.where(F.col("_file") == at["_file"])
+        before = of_file.where(F.col("_start") < at["_start"]).count()
+        own = of_file.where((F.col("_start") == at["_start"]) & (F.col("_line") <= at["_line"])).count()
+        raise ValueError(f"Line {before + own} of {at['_file']} is no JSON object.")
     good = read.where(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull())
     return flatten(good.select(*[F.col("r").getField(f.name).alias(f.name) for f in fields])), count
 
@@ -152,10 +159,12 @@ class Store:
     def _check(self, dataset: str) -> str:
         if not dataset or not all(c.isalnum() or c in "-_." for c in dataset) or dataset.startswith("."):
             raise ValueError(f"{dataset!r} is no dataset name.")
+        if dataset.endswith((".new", ".old")):
+            raise ValueError("Names that end in .new or .old are kept for versions on their way.")
         return f"{self.root}/{dataset}"
 
     def exists(self, dataset: str) -> bool:
-        return self._fs.exists(self._path(self._check(dataset)))
+        return self._fs.exists(self._path(self._recover(dataset)))
 
     def save(self, df: DataFrame, dataset: str, source: str | None = None, operation: dict | None = None, overwrite: bool = False) -> dict:
         """Write the table, then its history, beside the old version, and swap; another name needs `overwrite`."""
@@ -169,15 +178,31 @@ class Store:
         df.write.parquet(f"{fresh}/data")
         lines = [json.dumps(e) for e in [*past, entry]]
         self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{fresh}/history")
-        self._fs.delete(self._path(home), True)
-        self._fs.rename(self._path(fresh), self._path(home))
+        # The old version steps aside, the new one takes its place, then the old one goes: one of them is always there.
+        old = f"{home}.old"
+        self._fs.delete(self._path(old), True)
+        if self._fs.exists(self._path(home)):
+            self._move(home, old)
+        self._move(fresh, home)
+        self._fs.delete(self._path(old), True)
         return entry
 
+    def _move(self, here: str, there: str) -> None:
+        if not self._fs.rename(self._path(here), self._path(there)):
+            raise OSError(f"{here} could not be moved to {there}.")
+
+    def _recover(self, dataset: str) -> str:
+        """The dataset's folder; a version that a broken save() left aside comes back."""
+        home = self._check(dataset)
+        if not self._fs.exists(self._path(home)) and self._fs.exists(self._path(f"{home}.old")):
+            self._move(f"{home}.old", home)
+        return home
+
     def load(self, dataset: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._check(dataset)}/data")
+        return self.spark.read.parquet(f"{self._recover(dataset)}/data")
 
     def history(self, dataset: str) -> list[dict]:
-        return [json.loads(r["value"]) for r in self.spark.read.text(f"{self._check(dataset)}/history").collect()]
+        return [json.loads(r["value"]) for r in self.spark.read.text(f"{self._recover(dataset)}/history").collect()]
 
     def preview(self, df: DataFrame) -> dict:
         """What saving would write; writes nothing."""
@@ -188,17 +213,11 @@ class Store:
         out = []
         if not self._fs.exists(self._path(self.root)):
             return out
-        for status in self._fs.listStatus(self._path(self.root)):
-            dataset = status.getPath().getName()
-            if not dataset.endswith(".new"):
-                df = self.load(dataset)
-                out.append({"name": dataset, "rows": df.count(), "columns": df.columns})
+        names = {s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))}
+        for dataset in {n.removesuffix(".old") for n in names if not n.endswith(".new")}:
+            df = self.load(dataset)
+            out.append({"name": dataset, "rows": df.count(), "columns": df.columns})
         return sorted(out, key=lambda x: x["name"])
 
     def delete(self, dataset: str) -> bool:
         return self._fs.delete(self._path(self._check(dataset)), True)
-
-
-def read_text_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The combined clean text of some columns beside the table."""
-    return df.withColumn("text", combined_text(columns))

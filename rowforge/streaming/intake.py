@@ -43,12 +43,6 @@ def without_leaks(stream: DataFrame, reference: DataFrame, column: str) -> DataF
     return stream.join(reference.select(column).distinct(), column, "left_anti")
 
 
-def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Counts by event-time window and key; rows later than `delay` are dropped."""
-    by = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), F.col(key))
-    return by.agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
-
-
 def run_batch_gates(stream: DataFrame, path: str, checkpoint: str, corridor: tuple[int, int], needed: DataFrame):
     """Every batch through the batch gates against all that was accepted before; a repeated batch changes nothing.
 

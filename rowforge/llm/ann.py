@@ -28,8 +28,9 @@ from rowforge.llm.common import settle_table, unit_hash
 
 #: Vectors that centroids and codebooks are fitted on, at most twice as many; every vector is indexed.
 SAMPLE = 16_384
-MAX_LISTS, PART, CODES, ROUNDS = 2048, 4, 256, 8
-RERANK, LEAST = 384, 24
+#: Fine parts of two numbers make few candidates enough, which is what goes through the last shuffles.
+MAX_LISTS, PART, CODES, ROUNDS = 2048, 2, 256, 8
+RERANK, LEAST = 128, 24
 #: Vectors of a shard on average, and the smaller number that shards are cut to for as long as cores are idle; queries of a chunk.
 BLOCK, SMALL, QUERIES = 65_536, 4_096, 16_384
 #: Share of the true neighbours that the visited lists are to hold, and queries of the sample that set their number.

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import settle, worker_memory
+from rowforge.llm.common import fresh_names, settle, worker_memory
 
 BANDS, RADIUS, PIVOTS, BUCKET = 4, 3, 16, 2048
 _REFERENCES = [int(x) for x in np.random.default_rng(64).integers(-(1 << 63), 1 << 63, PIVOTS)]
@@ -54,7 +54,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
-    """Add the fingerprint of a text column as a long."""
+    """Add the fingerprint of a text column as a long, in place of a column of that name.
+
+    Null, empty and blank texts have 0; repeated rows have equal ones; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -183,17 +186,18 @@ def links(fps: DataFrame, largest: int = BUCKET) -> DataFrame:
     return dealt.select("key", "fp", "pivots").mapInArrow(_links, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each linked component, for every node with a link but the root itself.
 
     Alternating star contractions: each node's larger neighbours are tied to its smallest one, then its
-    smaller ones. A node with very many links is never gathered; its minimum is a partial aggregate.
+    smaller ones. A node with very many links is never gathered; its minimum is a partial aggregate. Every round
+    that changes anything ties some node to a smaller one, so the rounds end.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -205,7 +209,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = seen
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _classes(printed: DataFrame) -> DataFrame:
@@ -231,18 +234,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each component, the one with the smallest id (nulls last, then by the text's hash)."""
-    mark = F.xxhash64(F.col(f"`{text}`"))
-    keyed = docs.withColumn("_mark", mark).withColumn("_id", F.xxhash64(F.col(f"`{doc_id}`")))
-    rows = keyed.select("_id", "_mark", F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    printed = settle(with_fingerprint(rows).select("_id", "_mark", "doc_id", "fp"))
-    classes = _classes(printed)
-    nodes = printed.join(classes, "fp")  # the root names a component even where no member has an id
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_mark").alias("m"))
-    chosen = nodes.groupBy("root").agg(F.min_by(F.struct("_id", "_mark"), order).alias("c"), F.count("*").alias("n"))
-    chosen = settle(chosen.select("c._id", "c._mark"))
-    kept = keyed.join(chosen, ["_id", "_mark"], "left_semi")
-    copies = printed.join(chosen, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").count().where("count > 1")
+    """One document of each component, the one with the smallest id (nulls last, then by the text's hash).
+
+    Null, empty and blank texts are one component, with whatever is linked to them. Of rows repeated whole one stays.
+    All columns are kept as they are, whatever their names; an empty table gives an empty result.
+    """
+    who, m1, m2 = fresh_names(docs, "who", "m1", "m2")
+    marks = {m1: F.xxhash64(F.col(f"`{text}`")), m2: F.xxhash64(F.lit(1), F.col(f"`{text}`"))}
+    keyed = docs.withColumns(marks).withColumn(who, F.xxhash64(F.col(f"`{doc_id}`")))
+    row = [who, m1, m2]
+    rows = keyed.select(F.col(who).alias("w"), F.col(m1).alias("m1"), F.col(m2).alias("m2"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    printed = settle(with_fingerprint(rows).select("w", "m1", "m2", "doc_id", "fp"))
+    nodes = printed.join(_classes(printed), "fp")  # the root names a component even where no member has an id
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("m1").alias("m"), F.col("m2").alias("o"))
+    chosen = nodes.groupBy("root").agg(F.min_by(F.struct("w", "m1", "m2"), order).alias("c")).select("c.*")
+    chosen = settle(chosen)
+    kept = keyed.join(chosen.toDF(*row), row, "left_semi")
+    copies = printed.join(chosen, ["w", "m1", "m2"], "left_semi").groupBy("w", "m1", "m2").count().where("count > 1")
     if not copies.isEmpty():  # rows repeated whole: only then one of them must be picked
-        kept = kept.dropDuplicates(["_id", "_mark"])
+        kept = kept.dropDuplicates(row)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import WordHasher, worker_memory
+from rowforge.llm.common import WordHasher, by_bytes, fresh_names, worker_memory
 
 #: White space as Unicode's property has it, spelled out because regular expression engines differ.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -35,8 +35,8 @@ CHUNK = 1 << 20
 SHORT_WORD = 64
 #: Bytes of words, and token rows over all steps, of one recursive query; ids that are decoded at once.
 BATCH_BYTES, BATCH_ROWS, DECODE_IDS = 1 << 17, 1 << 22, 1 << 19
-#: Documents that a worker returns at once.
-ROWS = 500
+#: Documents that a worker returns at once, and bytes of their texts; a longer text comes alone.
+ROWS, BATCH_TEXT = 500, 4 << 20
 
 
 @dataclass
@@ -327,14 +327,14 @@ def _mapped(rows: DataFrame, column: str, work, vocabulary: Vocabulary, shown: s
     own = [c for c in rows.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in by_bytes(batches, -1, BATCH_TEXT):
             for low in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(low, ROWS)
                 made = work(_codec(key, shared), batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.values()], names=[*own, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{c}`") for c in own]).schema.fields]
-    ordered = rows.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{column}`").alias("_value"))
+    ordered = rows.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{column}`").alias(fresh_names(rows, "value")[0]))
     return ordered.mapInArrow(run, ", ".join([*fields, shown]))
 
 
@@ -368,7 +368,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
-    """The rows with the decoded bytes in place of the ids; null and empty ids give no bytes."""
+    """The rows with the decoded bytes in place of the ids; null and empty ids give no bytes.
+
+    An input column named decoded is replaced. Repeated rows are decoded alike; an empty table gives an empty result.
+    """
     return _mapped(rows.drop(*[c for c in rows.columns if c.lower() == "decoded" and c != ids]), ids, _decode, vocabulary, "decoded binary")
 
 

@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", as
     t1, t2, body, spans = fresh_names(docs, "t1", "t2", "body", "spans")
     keys = [key.alias(name) for key, name in zip(text_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))), (t1, t2), strict=True)]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], *keys, F.col(f"`{text}`").alias(body))
-    found = repeated_spans(rows.withColumnsRenamed({t1: "t1", t2: "t2", body: "body"}).select("t1", "t2", "body"), window)
+    found = repeated_spans(rows.select(t1, t2, body).toDF("t1", "t2", "body"), window)
     found = found.withColumnsRenamed({"t1": t1, "t2": t2, "spans": spans})
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in own]
     out = ", ".join([*fields, "kept string, n_words long, n_removed long"])

@@ -71,7 +71,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
 
     own = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     link = F.col(f"`{url}`")
-    parts = urls.select(*[F.col(f"`{c}`") for c in own], url_host(link).alias("host"), url_path(link).alias("path"))
+    aside = {c: f"own_{i}" for i, c in enumerate(own)}  # names that those below cannot clash with
+    parts = urls.select(*[F.col(f"`{c}`").alias(a) for c, a in aside.items()], url_host(link).alias("host"), url_path(link).alias("path"))
     parts = parts.fillna("", ["host", "path"])
     pairs = parts.select("host", "path").distinct()
     asked = (
@@ -87,5 +88,5 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     return (
         parts.join(best, ["host", "path"], "left")
         .withColumn("verdict", F.coalesce("found", F.lit(default)))
-        .select(*[F.col(f"`{c}`") for c in own], "host", "path", "rule", "verdict")
+        .select(*[F.col(a).alias(c) for c, a in aside.items()], "host", "path", "rule", "verdict")
     )

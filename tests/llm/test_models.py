@@ -224,6 +224,39 @@ def test_ann(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
 
 
+def test_ann_with_several_shards_chunks_and_levels(spark, monkeypatch):
+    """Small settings force what large tables have: many shards, chunks of queries, two levels of lists, cut lists."""
+    for name, value in {"BLOCK": 120, "SMALL": 60, "QUERIES": 15, "MAX_LISTS": 8, "SAMPLE": 900}.items():
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((12, 24)) * 2
+    x = (centres[rng.integers(0, 12, 2400)] + rng.standard_normal((2400, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<float>").repartition(5)
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    wide, recall = x.astype(np.float64), []
+    for q in range(0, 2400, 20):
+        near = wide @ wide[q]
+        got = sorted(found[q])
+        assert [g[0] for g in got] == list(range(1, 21)) and np.allclose([near[g[1]] for g in got], [g[2] for g in got])
+        near[q] = -np.inf
+        recall.append(len(set(np.argsort(-near)[:20]) & {g[1] for g in got}) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_two_levels_visit_the_best_sums():
+    rng = np.random.default_rng(18)
+    index = ann.Index(rng.standard_normal((7, 5)), rng.standard_normal((6, 5)), np.zeros((1, 1, 5)), probes=9)
+    q = rng.standard_normal((20, 5))
+    every = (q @ index.centroids.T)[:, :, None] + (q @ index.finer.T)[:, None, :]
+    want = np.argsort(-every.reshape(20, -1), axis=1)[:, :9]
+    assert [set(a) for a in index.visited(q).tolist()] == [set(w) for w in want.tolist()]
+    x = rng.standard_normal((50, 5))
+    lists = index.lists(x)
+    assert lists.max() < 42 and index.centres(lists).shape == x.shape
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 4))

@@ -271,6 +271,23 @@ def test_sharding(docs, clashing, empty, spark):
     assert sum(len(h) > 1 for h in homes.values()) == 1  # only the text that is a third of all
 
 
+def test_sharding_divides_rows_repeated_whole(spark, monkeypatch):
+    rows = [(None, "the same text and id", "", "", 0)] * 3000 + [(i, f"text {i} " * 9, "", "", 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    placed = sharding.assign(df, 8).collect()
+    size = Counter()
+    for r in placed:
+        size[r["shard"]] += r["size"]
+    mean = sum(size.values()) / 8
+    assert len(placed) == 4500 and all(abs(size[s] / mean - 1) < 0.05 for s in range(8))
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in placed if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 50)  # the number of rows divides a piece too
+    again = sharding.assign(df, 2).collect()
+    assert len(again) == 4500 and sorted(r["slot"] for r in again if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in again)))
+
+
 def test_write_shards(docs, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))

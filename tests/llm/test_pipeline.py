@@ -65,6 +65,41 @@ def test_substring_stage_keeps_what_is_written(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in third.collect()} == want
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_what_comes(spark, folder, name):
+    """Nulls in any column, empty and very long texts, ties, whole repeated rows, clashing names, an empty table."""
+    from pyspark.sql import functions as F
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rng = random.Random(15)
+    rows = [(i, sentences(rng, 6), "en", f"s{i % 3}", 1) for i in range(20)]
+    rows += [(None, None, None, None, None), (None, "", None, None, 0), (50, None, "en", None, None), (None, sentences(rng, 5), None, "s1", 1)]
+    rows += [(60, sentences(rng, 4000), "de", "s2", 1)] + [(61, sentences(rng, 8), "de", "s2", 1)] * 3 + [(5, rows[5][1], "en", "s9", 1), (62, " \n\t", "en", "s1", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    extra = docs.select("*", *[F.lit(1).alias(n) for n in ("size", "score", "ids", "_id", "t1", "own_0", "kept", "mix_shard")])
+    last = name == corpus_pipeline.STAGES[-1][0]
+    texts = [t or "" for _, t, *_ in rows]
+    for given in (docs, extra):
+        out = stage(spark, given, folder)
+        assert set(out.columns) == ({"doc_id", "lang", "source", "n_tokens", "ids"} if last else set(corpus_pipeline.COLUMNS))
+        found = out.collect()
+        if name == "quality classifier":
+            assert all((r["text"] or "") in texts for r in found)
+        elif name == "SimHash near-dedup":
+            fps = [fingerprint(t) for t in texts]
+            group = closed([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3], range(len(fps)))
+            assert len(found) == len(set(group.values()))
+        elif name == "substring dedup":
+            kept = windows_removed([t.encode().split() for t in texts])
+            assert len(found) == sum(bool(k) or not t.split() for k, t in zip(kept, texts, strict=True))
+        elif name == "mixing":
+            words = lambda ts: sum(len(t.split()) for t in ts)
+            assert abs(words(r["text"] or "" for r in found) / words(texts) - 1.5) < 0.02
+        else:
+            assert len(found) == len(rows) and all(len(bytes(r["ids"])) == 4 * r["n_tokens"] for r in found)
+        assert stage(spark, given.limit(0), folder).count() == 0
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert set(out.columns) == {"doc_id", "lang", "source", "n_tokens", "ids"} and out.count() > 100

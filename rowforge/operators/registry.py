@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.functions.text import combined_text
+from rowforge.functions.text import cell, combined_text
 from rowforge.operators import columns, keys, labels, rules, vectors
 from rowforge.operators.result import OpResult
 
@@ -57,6 +57,31 @@ _TABLE = {
 NAMES = sorted({**_FILTERS, **_TABLE})
 
 
+# Rows that an operation's report shows, and characters of each.
+EXAMPLES, EXAMPLE_CHARS = 5, 120
+
+
+def examples(name: str, before: DataFrame, after: DataFrame, ctx: Context) -> DataFrame:
+    """(row, removed, before, after): the first rows that an operation removed, or else changed, as its report shows them.
+
+    Operations on columns have none.
+    """
+    key = F.col(f"`{ctx.row}`")
+    nothing = F.lit(None).cast("string")
+    if name.endswith("_columns") or ctx.row not in after.columns:
+        return before.limit(0).select(key.alias("row"), nothing.alias("removed"), nothing.alias("before"), nothing.alias("after"))
+    shown = combined_text(ctx.text) if ctx.text and name != "rules" else F.concat_ws(" | ", *[cell(c) for c in before.columns])
+    gone = before.join(after.select(key.alias("_kept")), key == F.col("_kept"), "left_anti")
+    gone = gone.select(key.alias("row"), F.substring(shown, 1, EXAMPLE_CHARS).alias("removed"), nothing.alias("before"), nothing.alias("after"))
+    if name not in ("markup", "pii"):
+        return gone.orderBy("row").limit(EXAMPLES)
+    left = before.select(key.alias("row"), F.array(*[cell(c) for c in ctx.text]).alias("a"))
+    both = left.join(after.select(key.alias("row"), F.array(*[cell(c) for c in ctx.text]).alias("b")), "row").where("a <> b")
+    pair = F.get(F.filter(F.arrays_zip("a", "b"), lambda x: x["a"] != x["b"]), F.lit(0))
+    cut = [F.substring(pair[c], 1, EXAMPLE_CHARS).alias(n) for c, n in (("a", "before"), ("b", "after"))]
+    return gone.unionByName(both.select("row", nothing.alias("removed"), *cut)).orderBy("row").limit(EXAMPLES)
+
+
 def run(name: str, df: DataFrame, params: dict | None = None, ctx: Context | None = None) -> OpResult:
     """The operation `name` on a table; nothing is computed but what its checks need."""
     if name in _TABLE:
@@ -75,6 +100,9 @@ def apply(store, source: str, name: str, params: dict | None = None, ctx: Contex
     """Run an operation on a saved dataset: without a target a preview that writes nothing, else saved with its history."""
     made = run(name, store.load(source), params, ctx)
     stats = made.stats.first().asDict()
+    if ctx is not None:
+        told = examples(name, store.load(source), made.df, ctx).collect()
+        stats["examples"] = [{k: v for k, v in r.asDict().items() if k != "row" and v is not None} for r in told]
     if target is None:
         return {"filter": name, **stats, "preview": True}
     store.save(made.df, target, source, {"filter": name, "params": params or {}, **stats}, overwrite)

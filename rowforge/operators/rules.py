@@ -27,11 +27,11 @@ def _numeric(value: object) -> bool:
 def _pattern(text: str, case_sensitive: bool) -> str:
     """A Java pattern for a search; checked on the driver before any job."""
     if len(text) > MAX_PATTERN:
-        raise ValueError(f"The regular expression has {len(text)} characters; {MAX_PATTERN} are allowed.")
+        raise ValueError(f"The search pattern is longer ({len(text)}) than the {MAX_PATTERN} characters that are allowed.")
     try:
         re.compile(text)
     except re.error as problem:
-        raise ValueError(f"Not a valid regular expression: {problem}.") from problem
+        raise ValueError(f"The search pattern cannot be read: {problem}.") from problem
     if "(?P" in text:
         raise ValueError("Named groups are written (?<name>...) here.")
     return ("(?U)" if case_sensitive else "(?iU)") + text
@@ -58,13 +58,13 @@ def predicate(rule: dict, columns: list[str]) -> Column:
         return hit if op == "eq" else ~hit
     if op in ("in", "not_in"):
         if not isinstance(value, (list, tuple, set)):
-            raise ValueError(f"Operator {op!r} needs a list of values.")
+            raise ValueError(f"A rule with {op!r} compares with several values: give a list.")
         hit = text.isin([str(v) for v in value])
         return hit if op == "in" else ~hit
     if op == "between":
         high = rule.get("value2")
         if high is None:
-            raise ValueError("Operator 'between' needs a second bound, value2.")
+            raise ValueError("A rule with 'between' has its upper end in value2, which is missing.")
         if _numeric(value) and _numeric(high):
             return F.coalesce(number(text).between(float(value), float(high)), F.lit(False))
         return text.between(str(value), str(high))
@@ -80,7 +80,7 @@ def predicate(rule: dict, columns: list[str]) -> Column:
 def condition(rules: list[dict], columns: list[str], combine: str = "and") -> Column:
     """All rules as one expression."""
     if combine not in ("and", "or"):
-        raise ValueError(f"Unknown combine mode {combine!r}; use 'and' or 'or'.")
+        raise ValueError(f"Rules are joined by 'and' or by 'or', not by {combine!r}.")
     if not rules:
         raise ValueError("Give at least one rule.")
     return reduce(operator.and_ if combine == "and" else operator.or_, [predicate(r, columns) for r in rules])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import fields as fl
 from rowforge.functions import text as tx
-from rowforge.operators import balance, combine, generate, keys, labels, review, vectors
+from rowforge.operators import balance, combine, generate, keys, labels, registry, review, vectors, vocab
 from rowforge.plans.catalog import register
 from rowforge.plans.generation import _SHOWN, FIELDS, _entries, _shown, _targets
 from rowforge.plans.labels import CLEAN, celled, documents
@@ -152,6 +152,20 @@ def _(spark, d):
 _CORRIDORS = ", ".join(f"('{k}', {low}, {high})" for k, (low, high) in generate.CORRIDORS.items())
 
 
+@register("flt10_removed_examples", f"SELECT doc_id AS row, left({CLEAN}, 120) AS removed FROM documents WHERE length({CLEAN}) NOT BETWEEN 200 AND 2000 ORDER BY doc_id LIMIT 5")
+def _(spark, d):
+    ctx = registry.Context("doc_id", ["text"])
+    made = registry.run("length", documents(spark, d), {"min": 200, "max": 2000}, ctx)
+    return registry.examples("length", documents(spark, d), made.df, ctx).select("row", "removed")
+
+
+@register("txt4_changed_examples", f"SELECT doc_id AS row, left(text, 120) AS before, left({CLEAN}, 120) AS after FROM documents WHERE {CLEAN} <> text ORDER BY doc_id LIMIT 5")
+def _(spark, d):
+    ctx = registry.Context("doc_id", ["text"])
+    made = registry.run("markup", documents(spark, d), {}, ctx)
+    return registry.examples("markup", documents(spark, d), made.df, ctx).select("row", "before", "after")
+
+
 @register("val9_corridors", f"""SELECT c.profile, count(*) FILTER (WHERE length({CLEAN}) BETWEEN c.low AND c.high) AS fitting FROM documents, (VALUES {_CORRIDORS}, ('custom', 50, 5000)) c(profile, low, high) GROUP BY 1""")
 def _(spark, d):
     profiles = [{"name": k} for k in generate.CORRIDORS] + [{"min": 50, "max": 5000}]
@@ -267,8 +281,6 @@ def _(spark, d):
 def _(spark, d):
     kind, nothing = F.col("n_nationkey") % 3, F.create_map().cast("map<string,string>")
     names = F.when(kind == 0, F.create_map(F.lit("en"), F.lit("?"), F.lit("de"), F.col("n_name"))).when(kind == 1, F.create_map(F.lit("fr"), F.upper("n_name"))).otherwise(nothing)
-    from rowforge.operators import vocab
-
     nations = read_table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("uri"), names.alias("labels"))
     return vocab.in_language(nations).select("uri", "label")
 

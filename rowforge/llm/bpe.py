@@ -4,8 +4,8 @@ A text is cut at white space into segments, which the pre-tokenizer's pattern ne
 for the first time is split by the pattern into words. In DuckDB, rows (word, position, token) start with
 one byte each. A recursive query joins neighbouring rows with the merge table, finds each word's leftmost
 pair of minimum rank, contracts it, and goes on until no word has a pair left. Ids of segments are kept by
-each worker, in arrays sorted by hash, up to a fixed number. Decoding is an aggregation of the pieces of
-each ordered list of ids.
+each worker, in arrays sorted by hash, up to a fixed number. Decoding makes a row for each token and its
+position, joins the pieces and aggregates them in the order of positions.
 """
 
 from __future__ import annotations
@@ -114,9 +114,11 @@ SELECT word, list(id ORDER BY pos) AS ids, any_value(step) AS step
 FROM state JOIN ended USING (word, step) GROUP BY word ORDER BY word
 """
 
+#: A row for each token and position, its piece from the merge table's spelling, put together in the order of positions.
 _DECODE = """
-SELECT list_aggregate(list_select(pieces, list_transform(ids, lambda x: x + 1)), 'string_agg', '') AS hex
-FROM asked, spelled ORDER BY row
+SELECT row, string_agg(piece, '' ORDER BY pos) AS hex
+FROM (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM asked) JOIN spelling USING (id)
+GROUP BY row ORDER BY row
 """
 
 
@@ -172,7 +174,6 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         self._table("merges", {"pair": vocabulary.pair, "rank": vocabulary.rank, "steady": vocabulary.steady})
         self._table("spelling", {"id": np.arange(len(vocabulary.pieces)), "piece": [p.hex() for p in vocabulary.pieces]})
-        self.db.execute("CREATE TABLE spelled AS SELECT list(piece ORDER BY id) AS pieces FROM spelling")
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -306,7 +307,11 @@ class Codec:
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in part]))).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(part), dtype="<u4"))
                 self.db.register("asked", pa.table({"row": np.arange(len(part)), "ids": pa.ListArray.from_arrays(ends, flat)}))
-                out += [bytes.fromhex(h or "") for h in self.db.sql(_DECODE).to_arrow_table().column("hex").to_pylist()]
+                found = self.db.sql(_DECODE).to_arrow_table()
+                texts = [b""] * len(part)
+                for row, digits in zip(found.column("row").to_pylist(), found.column("hex").to_pylist(), strict=True):
+                    texts[row] = bytes.fromhex(digits)
+                out += texts
                 self.db.unregister("asked")
                 first, size = i + 1, 0
         return out

@@ -111,6 +111,20 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 """
 
 
+#: Every window as a string, those that stand twice or more, the words that they cover, and what is left.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM again),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+many AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN many USING (r)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -127,4 +141,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_url_filters": OP5_SQL}
+    return {"op5_url_filters": OP5_SQL, "op6_substring_dedup": OP6_SQL}

@@ -31,7 +31,7 @@ ASCII_SPACES = " \t\n\x0b\x0c\r"
 CACHED_SEGMENTS = 1_500_000
 #: Bytes of text that are cut and looked up at once; a single longer document is handled whole.
 CHUNK = 1 << 20
-#: Words of more bytes take all places of a pair in one step, where that is the same.
+#: Words of more bytes contract all pairs that are the minimum of their surroundings in one step.
 SHORT_WORD = 64
 #: Bytes of words, and token rows over all steps, of one recursive query; ids that are decoded at once.
 BATCH_BYTES, BATCH_ROWS, DECODE_IDS = 1 << 17, 1 << 22, 1 << 19
@@ -46,8 +46,6 @@ class Vocabulary:
     pieces: list[bytes]
     pair: np.ndarray
     rank: np.ndarray
-    #: No pair of the merged token with a neighbour has a lower rank than the merged token.
-    steady: np.ndarray
     pattern: str
 
     @classmethod
@@ -60,16 +58,15 @@ class Vocabulary:
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str) -> Vocabulary:
         pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        found, unsteady = [], set()
+        found = []
         for token, rank in ranks.items():
             pieces[rank] = token
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     found.append((left << 32 | right, rank))
-                    unsteady.update(part for part in (left, right) if rank < part)
         pair, rank = np.array(found, dtype=np.int64).reshape(-1, 2).T
-        return cls(pieces, pair, rank, ~np.isin(rank, list(unsteady)), pattern)
+        return cls(pieces, pair, rank, pattern)
 
 
 #: One pair of each word at a time. state.pos counts from the word's first byte in the batch, without gaps.
@@ -88,27 +85,26 @@ WITH RECURSIVE state(word, pos, id, step) AS MATERIALIZED (
 SELECT word, list(id ORDER BY pos) AS ids FROM state JOIN ended USING (word, step) GROUP BY word ORDER BY word
 """
 
-#: All places of each word's best pair that do not overlap, from the left; only the first of an unsteady one.
+#: All pairs that are the leftmost minimum of their surroundings, `reach` bytes before and twice that behind, where no
+#: token of the words is longer than `reach`. What is contracted farther away cannot come to touch such a pair before
+#: its turn: the token would have to be longer. So the result is that of one pair after the other.
 _LONG = """
-WITH RECURSIVE state(word, pos, id, step) AS MATERIALIZED (
-    SELECT word, pos, id, 0 FROM start
+WITH RECURSIVE state(word, pos, byte, id, step) AS MATERIALIZED (
+    SELECT word, pos, byte, id, 0 FROM start
     UNION ALL
     (WITH pairs AS (
-        SELECT s.word, s.pos, m.rank, m.steady
+        SELECT s.word, s.pos, s.byte, m.rank, m.rank * 4294967296 + s.pos AS b
         FROM state s JOIN state n ON n.pos = s.pos + 1 JOIN merges m ON m.pair = s.id * 4294967296 + n.id
-        WHERE s.step < $most),
-    best AS (SELECT word, min(rank * 4294967296 + pos) AS b FROM pairs GROUP BY word),
-    hits AS (
-        SELECT word, pos, rank, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS island
-        FROM pairs JOIN best USING (word) WHERE rank = b >> 32 AND (steady OR pos = (b & 4294967295))),
-    taken AS (
-        SELECT pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY word, island ORDER BY pos) AS k FROM hits)
-        WHERE k % 2 = 1),
+        WHERE s.step < {most}),
+    around AS (
+        SELECT *, min(b) OVER (PARTITION BY word ORDER BY byte RANGE BETWEEN {reach} PRECEDING AND 2 * {reach} FOLLOWING) AS low FROM pairs),
+    taken AS (SELECT pos, rank FROM around WHERE b = low),
     marked AS (
-        SELECT s.word, s.pos, coalesce(t.rank, s.id) AS id, s.step, u.pos IS NOT NULL AS gone
-        FROM state s JOIN best USING (word) LEFT JOIN taken t ON t.pos = s.pos LEFT JOIN taken u ON u.pos + 1 = s.pos),
+        SELECT s.word, s.pos, s.byte, coalesce(t.rank, s.id) AS id, s.step, u.pos IS NOT NULL AS gone
+        FROM state s LEFT JOIN taken t ON t.pos = s.pos LEFT JOIN taken u ON u.pos + 1 = s.pos
+        WHERE s.word IN (SELECT word FROM pairs)),
     moved AS (SELECT *, pos - sum(gone::INT) OVER (PARTITION BY word ORDER BY pos) AS at_pos FROM marked)
-    SELECT word, at_pos::BIGINT, id, step + 1 FROM moved WHERE NOT gone)
+    SELECT word, at_pos::BIGINT, byte, id, step + 1 FROM moved WHERE NOT gone)
 ), ended AS (SELECT word, max(step) AS step FROM state GROUP BY word)
 SELECT word, list(id ORDER BY pos) AS ids, any_value(step) AS step
 FROM state JOIN ended USING (word, step) GROUP BY word ORDER BY word
@@ -167,27 +163,41 @@ class Codec:
         self.segments = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         pattern = vocabulary.pattern.replace("[^\\s", f"[^{SPACES}").replace("\\S", f"[^{SPACES}]").replace("\\s", f"[{SPACES}]")
         self.words = regex.compile(pattern)
+        self.lengths = np.array([len(piece) for piece in vocabulary.pieces], dtype=np.int64)
+        #: Which bytes each piece has, as 256 bits.
+        self.holds = np.array([self._bits(piece) for piece in vocabulary.pieces], dtype=np.uint64)
         self.bytes = np.zeros(256, dtype=np.int64)
         for rank, piece in enumerate(vocabulary.pieces):
             if len(piece) == 1:
                 self.bytes[piece[0]] = rank
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-        self._table("merges", {"pair": vocabulary.pair, "rank": vocabulary.rank, "steady": vocabulary.steady})
+        self._table("merges", {"pair": vocabulary.pair, "rank": vocabulary.rank})
         self._table("spelling", {"id": np.arange(len(vocabulary.pieces)), "piece": [p.hex() for p in vocabulary.pieces]})
 
+    @staticmethod
+    def _bits(data: bytes) -> list[int]:
+        whole = sum(1 << b for b in set(data))
+        return [whole >> 64 * i & (1 << 64) - 1 for i in range(4)]
+
+    def _reach(self, words: list[bytes]) -> int:
+        """Bytes of the longest token that is made of bytes of these words."""
+        other = ~np.array(self._bits(b"".join(words)), dtype=np.uint64)
+        return int(self.lengths[((self.holds & other) == 0).all(axis=1)].max(initial=1))
+
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
     def _rows(self, lists: list[np.ndarray]) -> None:
-        """The table start: a row for each token; a gap in pos parts the words."""
+        """The table start: a row for each token; a gap in pos parts the words. byte is where the token begins."""
         sizes = np.array([len(x) for x in lists])
-        word = np.repeat(np.arange(len(lists)), sizes)
-        self._table("start", {"word": word, "pos": np.arange(len(word)) + word, "id": np.concatenate(lists)})
+        word, ids = np.repeat(np.arange(len(lists)), sizes), np.concatenate(lists)
+        byte = np.cumsum(self.lengths[ids]) - self.lengths[ids]
+        self._table("start", {"word": word, "pos": np.arange(len(word)) + word, "byte": byte, "id": ids})
 
-    def _query(self, sql: str, **values) -> tuple[list[np.ndarray], np.ndarray | None]:
-        found = self.db.sql(sql, params=values).to_arrow_table() if values else self.db.sql(sql).to_arrow_table()
+    def _query(self, sql: str) -> tuple[list[np.ndarray], np.ndarray | None]:
+        found = self.db.sql(sql).to_arrow_table()
         column = found.column("ids").combine_chunks()
         flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
         ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]
@@ -199,11 +209,12 @@ class Codec:
 
     def _long(self, words: list[bytes]) -> list[np.ndarray]:
         lists, open_words = [self.bytes[np.frombuffer(w, dtype=np.uint8)] for w in words], list(range(len(words)))
+        reach = self._reach(words)
         while open_words:
             part = [lists[i] for i in open_words]
             self._rows(part)
             most = max(1, BATCH_ROWS // sum(map(len, part)))
-            found, steps = self._query(_LONG, most=most)
+            found, steps = self._query(_LONG.format(most=most, reach=reach))
             for i, ids in zip(open_words, found, strict=True):
                 lists[i] = ids.astype(np.int64)
             open_words = [i for i, s in zip(open_words, steps, strict=True) if s >= most]

@@ -76,6 +76,29 @@ def test_bpe_equals_the_library(vocabulary, reference):
     assert [x.decode() for x in codec.decode(ids)] == texts
 
 
+def test_bpe_long_words_of_any_make(vocabulary, reference, monkeypatch):
+    """Words over 64 bytes of random letters, syllables, few letters and repeated pieces, in one query and in several."""
+    codec, rng = bpe.Codec(vocabulary), random.Random(41)
+    syllables = ["the", "ing", "er", "on", "qu", "str", "un", "x", "tion", "re"]
+    words = []
+    for i in range(60):
+        n = rng.randint(65, 900)
+        letters = ["abcdefghijklmnopqrstuvwxyz", "ab", "aeiou", "etaoin", "äöüßabc"][i % 5]
+        words.append("".join(rng.choice(letters) for _ in range(n)))
+        words.append("".join(rng.choice(syllables) for _ in range(n // 3)))
+        words.append("".join(rng.choice(letters) * rng.randint(1, 40) for _ in range(n // 20)))
+    want = [reference.encode_ordinary(w) for w in words]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in codec.encode(words)] == want
+    monkeypatch.setattr(bpe, "BATCH_ROWS", 3000)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in bpe.Codec(vocabulary).encode(words[:30])] == want[:30]
+
+
+def test_bpe_very_long_word(vocabulary, reference):
+    rng = random.Random(42)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert np.frombuffer(bpe.Codec(vocabulary).encode([word])[0], dtype="<u4").tolist() == reference.encode_ordinary(word)
+
+
 def test_bpe_small_cache(vocabulary, reference, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_SEGMENTS", 5)
     monkeypatch.setattr(bpe, "CHUNK", 64)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import fresh_names, settle, worker_memory
+from rowforge.llm.common import fresh_names, settle, settle_table, worker_memory
 
 BANDS, RADIUS, PIVOTS, BUCKET = 4, 3, 16, 2048
 _REFERENCES = [int(x) for x in np.random.default_rng(64).integers(-(1 << 63), 1 << 63, PIVOTS)]
@@ -199,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Settled, so that Spark may divide a hub's edges in the join: its other side is then a bare shuffle too.
+        low = settle_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
@@ -216,7 +217,7 @@ def _classes(printed: DataFrame) -> DataFrame:
     nodes = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = settle_table(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return rooted.join(least, "root").select("fp", "root", "component_id")
 
 

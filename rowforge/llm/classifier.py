@@ -21,6 +21,8 @@ LAGS = range(2, 17)
 GAP = max(WIDTH, LAGS.stop + 4)
 #: Labelled rows that train the network, in expectation (at most twice as many).
 TRAINING_ROWS = 3000
+#: Characters of a text that may train the network; a longer one is left out, which bounds what the driver gathers.
+TRAINING_CHARS = 50_000
 #: Steps of training at least, where there are few rows.
 STEPS = 300
 PAD = 256
@@ -178,14 +180,16 @@ def held_out(doc_id: str) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAINING_ROWS, seed: int = 9) -> Network:
-    """A network trained on about `rows` labelled rows outside the held-out fold, chosen by hash.
+    """A network trained on about `rows` labelled rows outside the held-out fold with texts up to TRAINING_CHARS, chosen by hash.
 
     Without any such row the network stays as drawn, with a neutral score of 0.5 for every text.
     """
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).select("doc_id", "quality")
     n = marked.count()
     marked = marked.where(unit_hash("doc_id", seed=seed) < F.lit(rows / max(n, 1))).limit(2 * rows)
-    found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(marked), "doc_id")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS)
+    found = texts.join(F.broadcast(marked), "doc_id")
     drawn = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in found.collect()), key=lambda r: (r[0], r[1]))
     network = Network()
     if not drawn:

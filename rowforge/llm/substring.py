@@ -105,12 +105,12 @@ def _segments(hashes: np.ndarray, doc: np.ndarray, window: int) -> Iterator[tupl
 
 
 def _blocks(window: int, anchor: int):
-    """One row for each reference block of each different text of a batch, with the number of its copies there."""
+    """One row for each different block of each different text of a batch: where it stands there, and how often in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("substring")
         hasher = WordHasher()
-        names = ["t1", "t2", "anchor", "b1", "b2", "first", "windows", "n"]
+        names = ["t1", "t2", "anchor", "b1", "b2", "firsts", "windows", "n"]
         for batch in by_bytes(batches, 2, CHUNK):
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             _, at, copies = np.unique(np.stack([t1, t2], axis=1), axis=0, return_index=True, return_counts=True)
@@ -130,8 +130,13 @@ def _blocks(window: int, anchor: int):
                     first = first + offset
                     b1, b2 = digests(data, begin[first], end[first + n + window - 2])
                     d, first = d + low, first - base[d]
-                    columns = [t1[d], t2[d], key.view(np.int64), b1, b2, first.astype(np.int32), n.astype(np.int32), copies[d]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+                    by = np.lexsort((first, b2, b1, key, d))
+                    same = [(x[by][1:] == x[by][:-1]) for x in (d, key, b1, b2)]
+                    edge = np.concatenate(([0], np.flatnonzero(~np.logical_and.reduce(same)) + 1, [len(by)]))
+                    one = by[edge[:-1]]
+                    firsts = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(first[by].astype(np.int32)))
+                    columns = [t1[d[one]], t2[d[one]], key[one].view(np.int64), b1[one], b2[one], firsts, n[one].astype(np.int32), copies[d[one]] * np.diff(edge)]
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
     return run
 
@@ -144,6 +149,17 @@ def _spans(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
     return np.concatenate(([0], np.cumsum(sizes))), *[flat.field(n).to_numpy(zero_copy_only=False) for n in fields]
 
 
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each row's factors begin and the last end, first window, windows) of lists of (firsts, windows)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    lists = flat.field("firsts")
+    many = lists.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(sizes)))]
+    return ends, lists.flatten().to_numpy(zero_copy_only=False), np.repeat(flat.field("windows").to_numpy(zero_copy_only=False), many)
+
+
 def _lookups(window: int):
     """The words of the blocks that must be parsed, or the digests of their windows where the anchor is overfull."""
 
@@ -295,7 +311,7 @@ def _cut(window: int, as_written: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, -2, CHUNK):
             kept, total, removed = [], [], []
-            edge, first, windows = _spans(batch.column(batch.num_columns - 1), "first", "windows")
+            edge, first, windows = _places(batch.column(batch.num_columns - 1))
             for row, text in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
                 body = (text or "").encode()
                 words = body.split()
@@ -324,11 +340,11 @@ def text_key(text: F.Column) -> list[F.Column]:
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(t1, t2, spans): the factors of every text with any, spans being an array of (first, windows).
+    """(t1, t2, spans): the factors of every text with any, spans being an array of (firsts, windows).
 
     `texts` has the columns t1, t2 (text_key()) and body, one row for each document.
     """
-    schema = "t1 long, t2 long, anchor long, b1 long, b2 long, first int, windows int, n long"
+    schema = "t1 long, t2 long, anchor long, b1 long, b2 long, firsts array<int>, windows int, n long"
     blocks = settle_table(texts.select("t1", "t2", "body").mapInArrow(_blocks(window, min(ANCHOR, window)), schema))
     # Tables are settled before they are joined, so that both sides of a join are bare shuffles and Spark can divide
     # the partition of an anchor that stands in very many texts.
@@ -337,7 +353,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     known = settle_table(known.select("anchor", F.expr("min_b1 = max_b1 and min_b2 = max_b2").alias("whole")))
     found = settle_table(blocks.join(known, "anchor"))
 
-    place = F.struct("t1", "t2", "first", "windows")
+    place = F.struct("t1", "t2", F.col("firsts")[0].alias("first"), "windows")
     kinds = found.where("not whole").groupBy("anchor", "b1", "b2").agg(F.sum("n").alias("all"), F.min(place).alias("one"))
     kinds = settle_table(kinds)
     many = settle_table(kinds.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor", F.lit(True).alias("overfull")))
@@ -351,13 +367,15 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
     single = settle_table(rows.where("body is null").dropDuplicates(["k1", "k2", "t1", "t2", "first"]).drop("body"))
     again = settle_table(single.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1").select("k1", "k2"))
-    crossed = single.join(again, ["k1", "k2"]).select("t1", "t2", "first", F.lit(1).alias("windows"))
+    crossed = single.join(again, ["k1", "k2"]).select("t1", "t2", F.array("first").alias("firsts"), F.lit(1).alias("windows"))
+    parsed = parsed.select("t1", "t2", F.array("first").alias("firsts"), "windows")
 
     # Blocks with an equal one are copied whole, in every text that has them.
     equal = settle_table(kinds.where(F.col("all") > 1).select("anchor", "b1", "b2"))
-    copied = found.where("not whole").join(equal, ["anchor", "b1", "b2"]).select("t1", "t2", "first", "windows")
-    every = found.where("whole").select("t1", "t2", "first", "windows").unionByName(copied).unionByName(parsed).unionByName(crossed)
-    return settle_table(every.groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "windows")).alias("spans")))
+    copied = found.where("not whole").join(equal, ["anchor", "b1", "b2"]).select("t1", "t2", "firsts", "windows")
+    every = found.where("whole").select("t1", "t2", "firsts", "windows").unionByName(copied).unionByName(parsed).unionByName(crossed)
+    # A text's factors: as many as it has windows at most, and again for each task that saw a copy of it.
+    return settle_table(every.groupBy("t1", "t2").agg(F.collect_set(F.struct("firsts", "windows")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", as_written: bool = False) -> DataFrame:

@@ -159,20 +159,23 @@ def _scorer(index: Index, most: int):
         for low in range(0, len(asked), step):
             part = asked.iloc[low : low + step]
             q = np.stack(part["vector"].to_numpy()).astype(np.float32)
-            tables, base, wanted = index.tables(q), q @ centres.T, index.visited(q)
+            # Queries come last, so that looking a code up copies a row of all their values.
+            tables, base, wanted = np.ascontiguousarray(index.tables(q).transpose(1, 2, 0)), centres @ q.T, index.visited(q)
             at = np.minimum(np.searchsorted(lists, wanted), len(lists) - 1)
             visits = np.zeros((len(q), len(lists)), dtype=bool)
             rows, columns = np.nonzero(lists[at] == wanted)
             visits[rows, at[rows, columns]] = True
-            near = np.full((len(q), len(codes)), -np.inf, dtype=np.float32)
+            near = np.full((len(codes), len(q)), -np.inf, dtype=np.float32)
             for one, (start, end) in enumerate(zip(first, ends, strict=True)):
                 rows = np.flatnonzero(visits[:, one])
                 if len(rows):
-                    some = np.repeat(base[rows, one][:, None], end - start, axis=1)
-                    own = tables[rows]
+                    every = 2 * len(rows) > len(q)
+                    own, some = (tables, base[one]) if every else (tables[:, :, rows], base[one, rows])
+                    some = np.repeat(some[None].astype(np.float32), end - start, axis=0)
                     for i in range(table.shape[1]):
-                        some += own[:, i][:, table[start:end, i]]
-                    near[rows, start:end] = some
+                        some += own[i].take(table[start:end, i], axis=0)
+                    near[start:end, rows] = some[:, rows] if every else some
+            near = np.ascontiguousarray(near.T)
             k = min(most, len(codes))
             best = np.argpartition(-near, k - 1, axis=1)[:, :k]
             score = np.take_along_axis(near, best, 1)

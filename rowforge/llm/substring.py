@@ -85,6 +85,8 @@ def blocks_of(hasher: WordHasher, hashes: np.ndarray, doc: np.ndarray, window: i
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(place))
     keep = valid[first]
+    if not keep.any():
+        return None
     first, last = first[keep], last[keep]
     return doc[first], first, last - first, gram[place[first]]
 

@@ -191,6 +191,12 @@ def test_substring_overfull_anchors_and_long_factors(spark, monkeypatch):
         assert sorted(r["kept"] for r in substring.remove_repeats(df).collect()) == want
 
 
+def test_substring_of_short_texts_only(spark):
+    """Texts that have a window's words only together have no blocks."""
+    df = spark.createDataFrame([(i, f"short text {i} " * 4) for i in range(40)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.remove_repeats(df).collect()} == {0}
+
+
 def test_substring_same_id_and_crc(spark):
     """Rows without an id whose texts differ are different texts."""
     texts = [f"{i} " + " ".join(f"v{(i * 7 + k) % 900}" for k in range(60)) for i in range(400)]

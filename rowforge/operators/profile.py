@@ -45,7 +45,8 @@ def top_values(df: DataFrame, top_n: int = 10) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """parsed, min, max, mean, median, p05, p95 of the columns of which enough cells are numbers.
 
-    Percentiles interpolate; `approx` uses a sketch instead of exact counts by value.
+    Percentiles interpolate between exact counts by value, and all different values of a column meet in one task for
+    that: for columns of very many use `approx`, a sketch of bounded size.
     """
     counts = value_counts(df.select(*[F.col(f"`{c}`") for c in columns or df.columns])).where("value <> ''")
     counts = counts.withColumn("x", number(F.col("value")))

@@ -7,7 +7,8 @@ difference in any coordinate is discarded; the others are verified bit by bit.
 Distances to pivots cannot serve as a join key (an interval of distances is no equality), so the pairs to
 look at are those that share one of four bands of 16 bits: at most three differing bits leave one band of
 four intact. Buckets of over BUCKET fingerprints are divided by four bands of the remaining bits, and once
-more if need be, by the same argument, so that no bucket is cut short. A bucket yields a spanning forest
+more if need be, by the same argument, so that no bucket is cut short; fingerprints that share a bucket then agree in 37
+bits at least. A bucket yields a spanning forest
 of its links rather than all pairs; components are then joined by alternating star contractions.
 """
 

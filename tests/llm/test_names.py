@@ -4,7 +4,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rowforge.llm import ann, bpe, classifier, html, mixing, rules, sharding, simhash, substring, url_filter
+from rowforge.llm import ann, bpe, classifier, html, mixing, periodic, rules, sharding, simhash, substring, url_filter
 from tests.llm.test_models import RULES, labelled, page
 
 NAMES = (
@@ -44,6 +44,7 @@ OPERATORS = {
     "rules": (lambda df: rules.judge(df, rules.fit(*ranked(df))), {"text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept"}),
     "html": (lambda df: html.main_text(df, html.train([page(__import__("random").Random(1))[0]], layouts=20), html="text"), {"text"}),
     "simhash": (simhash.keep_one, set()),
+    "periodic": (periodic.collapse, {"text", "n_words", "runs", "collapsed"}),
 }
 
 

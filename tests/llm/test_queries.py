@@ -26,6 +26,9 @@ TYPES = {
     "op8_ann": "query_id bigint, rank int, vec_id bigint, score double",
     "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
 
 
@@ -105,9 +108,9 @@ def test_op4(spark, docs, result):
         assert r["predicted"] == int(r["score"] >= 0.3)
 
 
-def test_op5_and_op6_equal_their_statements(result):
+def test_queries_equal_their_statements(result):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         found = con.sql(sql)
@@ -171,6 +174,10 @@ def test_op9(spark, result):
     assert hit / len(rows) >= 0.98
 
 
+def test_op11_columns(docs, result):
+    assert {r["doc_id"] for r in result("op11_periodic_runs")} == set(docs)
+
+
 def test_op10(docs, result):
     ids = list(docs)
     fps = [fingerprint(docs[i]["text"]) for i in ids]

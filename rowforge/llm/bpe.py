@@ -3,8 +3,9 @@
 A text is cut at white space into segments, which the pre-tokenizer's pattern never joins; a segment met
 for the first time is split by the pattern into words. In DuckDB, rows (word, position, token) start with
 one byte each. A recursive query joins neighbouring rows with the merge table, finds each word's leftmost
-pair of minimum rank, contracts it, and goes on until no word has a pair left. Ids of segments are kept by
-each worker, in arrays sorted by hash, up to a fixed number. Decoding makes a row for each token and its
+pair of minimum rank, contracts it, and goes on until no word has a pair left. Segments are told apart by
+their bytes within a batch, and by XXH3 digests of 128 bits in what each worker keeps of their ids, up to a
+fixed number. Decoding makes a row for each token and its
 position, joins the pieces and aggregates them in the order of positions.
 """
 
@@ -19,10 +20,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import WordHasher, by_bytes, fresh_names, worker_memory
+from rowforge.llm.common import by_bytes, fresh_names, worker_memory
 
 #: White space as Unicode's property has it, spelled out because regular expression engines differ.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -119,7 +121,7 @@ GROUP BY row ORDER BY row
 
 
 class Known:
-    """Ids of segments by hash: sorted hashes, a check of each, and where its ids lie in one flat array."""
+    """Ids of segments by the two halves of a digest: the first halves sorted, and where a segment's ids lie in one flat array."""
 
     def __init__(self) -> None:
         self.hash = np.zeros(0, dtype=np.uint64)
@@ -130,14 +132,14 @@ class Known:
         self.used = 0
 
     def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Place of each of some ascending hashes, or -1."""
+        """Place of each of some digests, in ascending order of the first half, or -1."""
         if not len(self.hash):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         return np.where((self.hash[at] == hashes) & (self.check[at] == checks), at, -1)
 
     def add(self, hashes: np.ndarray, checks: np.ndarray, lists: list[np.ndarray]) -> None:
-        """New segments, in ascending order of hash."""
+        """New segments, in ascending order of the first half."""
         many = np.array([len(x) for x in lists], dtype=np.int32)
         total = int(many.sum())
         if self.used + total > len(self.ids):
@@ -156,7 +158,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known, self.hasher = Known(), WordHasher(seed=50)
+        self.known = Known()
         self.odd = re.compile(f"[{''.join(c for c in SPACES if c not in ASCII_SPACES)}]")
         self.space = np.zeros(256, dtype=bool)
         self.space[[ord(c) for c in ASCII_SPACES]] = True
@@ -261,24 +263,23 @@ class Codec:
         data, at, counts = self._cut(texts)
         if not len(at):
             return [b""] * len(texts)
-        end = np.append(at[1:], len(data))
-        hashes = self.hasher.stretches(data, at, end)
-        fresh, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = np.frombuffer(data, dtype=np.uint8)
-        low, high = at[where], end[where]
-        checks = (high - low).astype(np.uint64)
-        for i in range(3):  # length, three bytes from the front, three from the back
-            checks = checks << np.uint64(8) | raw[np.minimum(low + i, high - 1)]
-            checks = checks << np.uint64(8) | raw[np.maximum(high - 1 - i, low)]
+        places = np.append(at, len(data)).astype(np.int64)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+        segments, back = cut.dictionary.to_pylist(), cut.indices.to_numpy()
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, segments)), dtype=np.uint64).reshape(-1, 2)
+        by = np.argsort(digests[:, 0], kind="stable")
+        fresh, checks = digests[by, 0], digests[by, 1]
         place = self.known.find(fresh, checks)
         missing = np.flatnonzero(place < 0)
         if len(missing):
             if len(self.known.hash) + len(missing) > CACHED_SEGMENTS:
                 self.known = Known()
                 missing = np.arange(len(fresh))
-            new = [data[low[i] : high[i]].decode() for i in missing]
-            self.known.add(fresh[missing], checks[missing], self._ids(new))
+            self.known.add(fresh[missing], checks[missing], self._ids([segments[i].decode() for i in by[missing]]))
             place = self.known.find(fresh, checks)
+        of = np.empty(len(by), dtype=np.int64)
+        of[by] = place
+        place = of
         own = place[back]
         many = self.known.many[own].astype(np.int64)
         ends = np.cumsum(many)

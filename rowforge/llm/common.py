@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number of each word of all texts, text that it stands in, different words); equal numbers mean equal bytes."""
+    words = [t.split() for t in texts]
+    flat = pa.array(chain.from_iterable(words), pa.binary()).dictionary_encode()
+    ids = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, np.repeat(np.arange(len(words)), [len(w) for w in words]), len(flat.dictionary)
+
+
 class WordHasher:
     """64-bit hashes of the words of a byte string, and of runs of consecutive words, by prefix sums.
 

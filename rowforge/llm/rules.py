@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import WordHasher, by_bytes, fresh_names, mix64, unit_hash, worker_memory
-from rowforge.llm.substring import CHUNK, chunks, words_of
+from rowforge.llm.common import by_bytes, fresh_names, numbered_words, unit_hash, worker_memory
+from rowforge.llm.substring import CHUNK, chunks
 
 #: Rows of any kind that grow the trees, and labelled rows that set the threshold, in expectation.
 SAMPLE_ROWS, LABELLED_ROWS = 4096, 6000
@@ -31,25 +31,46 @@ SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines", "n_distinct")
 
 
-def statistics(hasher: WordHasher, texts: list[str | None]) -> dict[str, np.ndarray]:
+_KINDS = np.zeros((256, 4), dtype=bool)
+_KINDS[[32, 9, 10, 11, 12, 13], 0] = True
+_KINDS[[ord(c) for c in SYMBOLS], 1] = True
+_KINDS[ord("A") : ord("Z") + 1, 2] = True
+_KINDS[0x80:0xC0, 3] = True  # continuation bytes are no code points of their own
+
+
+def repeated_windows(ids: np.ndarray, doc: np.ndarray, width: int = REPEAT_WINDOW) -> np.ndarray:
+    """Where the windows of `width` words stand whose words come once more in the same document.
+
+    Windows are told apart by the numbers of their words, one word more at a time; a window whose beginning comes once
+    only is left aside from there on.
+    """
+    at = np.arange(max(len(ids) - width + 1, 0))
+    at = at[doc[at] == doc[at + width - 1]]
+    kind = doc[at].astype(np.int64)
+    for step in range(width):
+        if not len(at):
+            break
+        key = kind * (int(ids.max()) + 1) + ids[at + step]
+        _, kind, many = np.unique(key, return_inverse=True, return_counts=True)
+        again = many[kind] > 1
+        at, kind = at[again], kind[again]
+    return at
+
+
+def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
     """STATS of each text; null counts as empty."""
     out = {name: np.zeros(len(texts), dtype=np.int64) for name in STATS}
     raw = [(t or "").encode() for t in texts]
-    kinds = np.zeros((256, 4), dtype=bool)
-    kinds[hasher.space, 0] = True
-    kinds[[ord(c) for c in SYMBOLS], 1] = True
-    kinds[ord("A") : ord("Z") + 1, 2] = True
-    kinds[0x80:0xC0, 3] = True  # continuation bytes are no code points of their own
     for low, high in chunks(raw):
         part = raw[low:high]
-        hashes, doc = words_of(hasher, part)
+        ids, doc, different = numbered_words(part)
         n = high - low
         out["n_words"][low:high] = np.bincount(doc, minlength=n)
         data = np.frombuffer(b"".join(part), dtype=np.uint8)
         ends = np.cumsum([len(t) for t in part])
         starts = ends - [len(t) for t in part]
         for k, name in enumerate(("space", "n_symbols", "n_capitals", "tail")):
-            sums = np.concatenate(([0], np.cumsum(kinds[data, k])))
+            sums = np.concatenate(([0], np.cumsum(_KINDS[data, k])))
             count = sums[ends] - sums[starts]
             if name == "space":
                 out["word_chars"][low:high] += ends - starts - count
@@ -57,26 +78,12 @@ def statistics(hasher: WordHasher, texts: list[str | None]) -> dict[str, np.ndar
                 out["word_chars"][low:high] -= count
             else:
                 out[name][low:high] = count
-        # distinct words: hashes salted by the document, counted back through a sorted copy
-        salted = hashes ^ mix64(doc.astype(np.uint64) + np.uint64(1))
-        by = np.lexsort((salted, doc))
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = salted[by][1:] != salted[by][:-1]
-        out["n_distinct"][low:high] = np.bincount(doc[by][new], minlength=n)
-        width = REPEAT_WINDOW
-        if len(hashes) >= width:
-            at = np.arange(len(hashes) - width + 1)
-            at = at[doc[at] == doc[at + width - 1]]
-            gram = hasher.runs(hasher.sums(hashes), at, at + width) ^ mix64(doc[at].astype(np.uint64) + np.uint64(1))
-            by = np.argsort(gram, kind="stable")
-            same = gram[by][1:] == gram[by][:-1]
-            twice = np.zeros(len(by), dtype=bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            first = at[by[twice]]
-            cover = np.bincount(first, minlength=len(hashes) + 1) - np.bincount(first + width, minlength=len(hashes) + 1)[: len(hashes) + 1]
-            hit = np.cumsum(cover[:-1]) > 0
-            out["n_repeat_words"][low:high] = np.bincount(doc[hit], minlength=n)
+        out["n_distinct"][low:high] = np.bincount(np.unique(doc * max(different, 1) + ids) // max(different, 1), minlength=n)
+        first = repeated_windows(ids, doc)
+        edge = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + REPEAT_WINDOW, -1)
+        out["n_repeat_words"][low:high] = np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=n)
         for i in range(n):
             if b"\n" in part[i]:
                 lines = [x for x in part[i].split(b"\n") if x and x.split()]
@@ -201,9 +208,8 @@ def _statistics_table(rows: DataFrame, own: list[str], shown: tuple[str, ...], m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("rules")
-        hasher = WordHasher()
         for batch in by_bytes(batches, -1, CHUNK):
-            stats = statistics(hasher, batch.column(batch.num_columns - 1).to_pylist())
+            stats = statistics(batch.column(batch.num_columns - 1).to_pylist())
             made = {n: stats[n] for n in shown} | (work(stats) if work else {})
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, made.values())], names=[*own, *made])
 
@@ -212,29 +218,34 @@ def _statistics_table(rows: DataFrame, own: list[str], shown: tuple[str, ...], m
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = 3) -> Judgement:
-    """Forests from about SAMPLE_ROWS rows and thresholds from LABELLED_ROWS labelled ones, chosen by hash.
+    """Forests from SAMPLE_ROWS rows and thresholds from LABELLED_ROWS labelled ones, those of the smallest hashes.
 
-    The executors read the texts; the driver gets the statistics, eight numbers a row.
+    The executors read the texts; the driver gets the statistics, eight numbers a row, of no more rows than that, however
+    often an id or a row is repeated. A repeated id brings each of its rows with each of its labels.
     """
     key, body = F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
 
-    def sample(rows: DataFrame, wanted: int) -> DataFrame:
-        n = rows.count()
-        return rows.where(unit_hash("doc_id", seed=seed) < F.lit(wanted / max(n, 1))).limit(2 * wanted)
+    def near(n: int, wanted: int, *columns: str) -> F.Column:
+        """Twice as many rows as are wanted, so that few miss it; the smallest hashes are taken of them."""
+        return unit_hash(*columns, seed=seed) < F.lit(min(1.0, 2 * wanted / max(n, 1) + 0.01))
 
-    def collected(rows: DataFrame) -> np.ndarray:
-        found = _statistics_table(rows, rows.columns[:-1], STATS).collect()
-        return np.array([[int(v) for v in r] for r in found], dtype=np.int64).reshape(len(found), len(rows.columns) - 1 + len(STATS))
+    def collected(rows: DataFrame, wanted: int, *first: str) -> np.ndarray:
+        found = _statistics_table(rows, rows.columns[:-1], STATS)
+        found = found.orderBy(*first, *[c for c in found.columns if c not in first]).limit(wanted).drop(*first).collect()
+        return np.array([[int(v) for v in r] for r in found], dtype=np.int64).reshape(len(found), -1 if found else len(rows.columns) - 1 - len(first) + len(STATS))
 
-    drawn = collected(sample(docs.select(key, body), SAMPLE_ROWS).select("text"))
+    rows = docs.select(key, body).withColumn("near", unit_hash("doc_id", "text", seed=seed))
+    drawn = collected(rows.where(near(docs.count(), SAMPLE_ROWS, "doc_id", "text")).select("near", "text"), SAMPLE_ROWS, "near")
     drawn = drawn[np.lexsort(drawn.T)] if len(drawn) else drawn  # the same forest whatever the order of arrival
     stats = dict(zip(STATS, drawn.T, strict=True))
     x, passed = ratios(stats), ~base_failed(stats)
     forests = {n: IsolationForest.grow(x[n][passed], seed=seed + i) for i, n in enumerate(FAMILIES)}
 
-    marked = sample(labels.select("doc_id", "quality").where("doc_id is not null and quality is not null"), LABELLED_ROWS)
-    rows = docs.select(key, body).join(F.broadcast(marked), "doc_id").select((F.col("quality") == 1).cast("int").alias("good"), "text")
-    found = collected(rows)
+    marked = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
+    marked = marked.where(near(marked.count(), LABELLED_ROWS, "doc_id")).withColumn("near", unit_hash("doc_id", seed=seed))
+    marked = marked.orderBy("near", "doc_id", "quality").limit(LABELLED_ROWS)
+    rows = docs.select(key, body).join(F.broadcast(marked), "doc_id").select("near", (F.col("quality") == 1).cast("int").alias("good"), "text")
+    found = collected(rows, LABELLED_ROWS, "near")
     good, stats = found[:, 0] == 1, dict(zip(STATS, found[:, 1:].T, strict=True))
     x, open_rows, limits = ratios(stats), ~base_failed(stats), {}
     for n in FAMILIES:

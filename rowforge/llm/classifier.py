@@ -19,10 +19,8 @@ from rowforge.llm.common import unit_hash, worker_memory
 CHUNK, WIDTH, CHANNELS, FILTERS, HIDDEN = 256, 5, 8, 16, 16
 LAGS = range(2, 17)
 GAP = max(WIDTH, LAGS.stop + 4)
-#: Labelled rows that train the network, in expectation (at most twice as many).
-TRAINING_ROWS = 3000
-#: Characters of a text that may train the network; a longer one is left out, which bounds what the driver gathers.
-TRAINING_CHARS = 50_000
+#: Labelled rows that train the network at most, and bytes of all their texts, which bounds what the driver gathers.
+TRAINING_ROWS, TRAINING_BYTES = 3000, 1 << 26
 #: Steps of training at least, where there are few rows.
 STEPS = 300
 PAD = 256
@@ -179,23 +177,43 @@ def held_out(doc_id: str) -> F.Column:
     return crc % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAINING_ROWS, seed: int = 9) -> Network:
-    """A network trained on about `rows` labelled rows outside the held-out fold with texts up to TRAINING_CHARS, chosen by hash.
+def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: int, most_bytes: int, seed: int) -> list[tuple[bytes, float]]:
+    """(text, label) of labelled rows outside the held-out fold, in the order of a hash of id and text.
 
-    Without any such row the network stays as drawn, with a neutral score of 0.5 for every text.
+    They are the first `rows` of that order, or as many as have `most_bytes` together (one at least): texts of any length
+    are drawn alike, and the draw is over when the next one does not fit. Lengths are looked at first, so that neither
+    repeated ids nor long texts bring more to the driver. Null texts count as empty.
     """
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).select("doc_id", "quality")
-    n = marked.count()
-    marked = marked.where(unit_hash("doc_id", seed=seed) < F.lit(rows / max(n, 1))).limit(2 * rows)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS)
-    found = texts.join(F.broadcast(marked), "doc_id")
-    drawn = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in found.collect()), key=lambda r: (r[0], r[1]))
+    n, near = marked.count(), unit_hash("doc_id", seed=seed)
+    marked = marked.where(near < F.lit(min(1.0, 2 * rows / max(n, 1) + 0.01))).orderBy(near, "doc_id", "quality").limit(rows)
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(marked), "doc_id")  # no more than `rows`
+    found = found.withColumns({"near": near, "own": F.xxhash64(F.lit(seed), "text"), "size": F.octet_length("text")})
+    drawn = found.select("near", "own", "doc_id", "quality", "size").orderBy("near", "own", "doc_id", "quality").limit(rows).collect()
+    ends = np.cumsum([r["size"] for r in drawn])
+    fit_in = drawn[: max(1, int(np.searchsorted(ends, most_bytes, side="right")))]
+    chosen = docs.sparkSession.createDataFrame([(r["near"], r["own"], r["doc_id"], r["quality"]) for r in fit_in], "near double, own long, id long, mark int").distinct()
+    same = (F.col("near") == F.col("n")) & (F.col("own") == F.col("o")) & (F.col("doc_id") == F.col("id")) & (F.col("quality") == F.col("mark"))
+    kept = found.join(F.broadcast(chosen.withColumnsRenamed({"near": "n", "own": "o"})), same).groupBy("near", "own", "doc_id", "quality").agg(F.first("text").alias("text"))
+    body = {(r["near"], r["own"], r["doc_id"], r["quality"]): r["text"] for r in kept.collect()}
+    return [(body[r["near"], r["own"], r["doc_id"], r["quality"]].encode(), float(r["quality"])) for r in fit_in]
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES, seed: int = 9
+) -> Network:
+    """A network trained on at most `rows` labelled rows outside the held-out fold, chosen by hash, with `most_bytes` of text at most.
+
+    Repeated ids and rows each count as a row. Without any such row the network stays as drawn, with a neutral score of
+    0.5 for every text.
+    """
+    drawn = training_rows(docs, labels, text, doc_id, rows, most_bytes, seed)
     network = Network()
     if not drawn:
         network.out[:] = 0
         return network
-    return network.train([t.encode() for _, t, _ in drawn], np.array([float(q) for _, _, q in drawn], dtype=np.float32))
+    return network.train([t for t, _ in drawn], np.array([q for _, q in drawn], dtype=np.float32))
 
 
 def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 import time
 from collections import Counter
 
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from rowforge.llm import ann, classifier, html, rules, url_filter
 from rowforge.llm.boosting import BoostedTrees
-from rowforge.llm.common import WordHasher
 
 SCHEMA = "doc_id long, text string, score double, kept boolean"
 
@@ -110,10 +110,61 @@ def test_rule_statistics():
     rng = random.Random(6)
     texts = [None, "", "  \n ", "a b c d e a b c d e", "x\nx\n\nx\r\nx", "é#*$%&|<>\x85y", "a\x0bb\x0cc", "w " * 50]
     texts += ["".join(rng.choice("ab \n#é") for _ in range(rng.randint(0, 200))) for _ in range(200)]
-    stats = rules.statistics(WordHasher(), texts)
+    stats = rules.statistics(texts)
     assert [tuple(int(stats[n][i]) for n in rules.STATS[:5]) for i in range(len(texts))] == [brute(t) for t in texts]
 
 
+def thue_morse(k, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1 << k))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    one, two = thue_morse(10), thue_morse(10, 1)
+    text = " ".join(["p", "q", "r", "s", one, "t", "u", "p", "q", "r", "s", two, "t", "u"])
+    stats = rules.statistics([text, text.replace(two, one)])
+    assert [tuple(int(stats[n][i]) for n in rules.STATS[:5]) for i in range(2)] == [brute(text), brute(text.replace(two, one))]
+    assert stats["n_distinct"].tolist() == [8, 7] and stats["n_repeat_words"].tolist() == [0, 14]
+
+
+def test_one_labelled_id_in_many_rows(spark):
+    """The driver gets as many rows as are asked for, however often an id is repeated."""
+    rows, marks = labelled(200)
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    many = docs.unionByName(spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("copy "), F.col("id")).alias("text")))
+    labels = spark.createDataFrame(marks + [(7, 1, 0)] * 50, "doc_id long, quality int, toxic int")
+    drawn = classifier.training_rows(many, labels, "text", "doc_id", 300, 1 << 20, 9)
+    assert 0 < len(drawn) <= 300 and drawn == classifier.training_rows(many.repartition(7), labels.repartition(3), "text", "doc_id", 300, 1 << 20, 9)
+    assert rules.judge(docs, rules.fit(many, labels)).count() == docs.count()
+
+
+def test_training_rows_of_any_length(spark):
+    texts = {i: "long words " * (20_000 if i % 5 == 0 else 3) for i in range(60)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(61)], "doc_id long, quality int, toxic int")
+    whole = classifier.training_rows(docs, labels, "text", "doc_id", 100, 1 << 30, 9)
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(61)) and any(len(t) > 100_000 for t, _ in whole)
+    part = classifier.training_rows(docs, labels, "text", "doc_id", 100, 500_000, 9)
+    assert part == whole[: len(part)] and sum(len(t) for t, _ in part) <= 500_000 < sum(len(t) for t, _ in whole[: len(part) + 1])
+    assert len(classifier.training_rows(docs, labels, "text", "doc_id", 100, 1, 9)) == 1
+
+
+def test_scores_equal_a_plain_forward_pass():
+    """Position by position over the padded bytes, without strides, slices or groups."""
+    network, rng = classifier.Network(), np.random.default_rng(2)
+    texts = [b"", b"a", b"the cat the cat the cat sat", bytes(rng.integers(32, 127, 700).astype(np.uint8)), "é ü ".encode() * 90]
+    for text, found in zip(texts, network.predict(texts), strict=True):
+        size = -(-(len(text) + 2 * classifier.GAP) // classifier.CHUNK) * classifier.CHUNK
+        row = [classifier.PAD] * classifier.GAP + list(text)
+        row += [classifier.PAD] * (size + classifier.WIDTH - 1 - len(row))
+        channel = lambda i: [*network.bytes[row[i]], float(i < size and row[i] != classifier.PAD and i + 4 <= size and any(i >= k and [c % 256 for c in row[i : i + 4]] == [c % 256 for c in row[i - k : i - k + 4]] for k in classifier.LAGS))]
+        x = np.array([channel(i) for i in range(len(row))])
+        x[size:] = 0
+        out = np.array([[sum(x[i + w] @ network.filters[w * classifier.CHANNELS : (w + 1) * classifier.CHANNELS, f] for w in range(classifier.WIDTH)) + network.bias[f] for f in range(classifier.FILTERS)] for i in range(size)])
+        chunks = [np.maximum(np.maximum(out[i : i + classifier.CHUNK].max(axis=0), 0) @ network.dense + network.dense_bias, 0) for i in range(0, size, classifier.CHUNK)]
+        logit = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ network.out + network.out_bias[0]
+        assert abs(1 / (1 + np.exp(-logit)) - found) < 1e-4
+
+
 def test_rules(spark, docs):
     rows, marks = labelled(600, share=10)
     both = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")

@@ -67,6 +67,15 @@ def reference():
 ODD = ["", " ", "  \n\n x\t\ty  ", "it's we'll I'M 's", "a" * 3000, "\x1c a\x1fb \x85   　z", "<|endoftext|>", "😀👩‍👧 naïve ﷽", "1234567890" * 30, "日本語" * 99, "  a ​b", "ab" * 500, "x\x00y"]
 
 
+def test_segments_that_polynomial_hashes_confuse(spark, vocabulary):
+    """A Thue-Morse word and its complement, in one text and across texts, have their own ids."""
+    one, two = ("xyz" + "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(256)) + "xyz" for k in (0, 1))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(vocabulary.pieces) if p}, special_tokens={})
+    df = spark.createDataFrame([(0, f"{one} {two}"), (1, one), (2, two), (3, f"{two} {one} {two}")], "doc_id long, text string").coalesce(1)
+    for r in bpe.encode(df.select("doc_id", "text", df.text.alias("own")), vocabulary, decoded=True).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["own"]) and bytes(r["decoded"]).decode() == r["own"]
+
+
 def test_bpe_equals_the_library(vocabulary, reference):
     codec, rng = bpe.Codec(vocabulary), random.Random(2)
     texts = ODD + ["".join(rng.choice("ab \n.é'1") for _ in range(rng.randint(0, 80))) for _ in range(300)]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.functions.text import cell, name, strip
+from rowforge.operators.heavy import PIECE_ROWS, spread_join
 from rowforge.operators.result import OpResult
 
 MAX_ROWS = 5_000_000
@@ -32,6 +33,11 @@ def key(columns: list[str]) -> Column:
     return F.when(filled, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
 
 
+def key_text(of: Column) -> Column:
+    """The parts of a key() as one text, by which its rows are counted."""
+    return F.when(of.isNotNull(), F.to_json(of))
+
+
 def duplicate_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows, unique_keys, empty_key_rows, duplicate_groups, duplicate_rows, removable_rows."""
     _require(df, columns)
@@ -114,12 +120,13 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) ->
 
 def join_tables(
     left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "left", suffix: str = "_right",
-    coalesce: bool = False, max_rows: int | None = MAX_ROWS,
+    coalesce: bool = False, max_rows: int | None = MAX_ROWS, piece_rows: int | None = PIECE_ROWS,
 ) -> OpResult:
     """Equi-join of two text tables; unmatched cells are empty, the left key is filled from the right one.
 
     A column that both have gets the suffix on the right, or with `coalesce` fills the left's empty cells.
-    A join with more rows than `max_rows` is refused before it runs; None skips the forecast.
+    A join with more rows than `max_rows` is refused before it runs; None skips the forecast. Rows with an unusable key
+    are never shuffled, and a key that over `piece_rows` rows share is dealt to many tasks (None: neither is done).
     """
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"Unknown join type {how!r}.")
@@ -140,7 +147,11 @@ def join_tables(
     right_keys = [b for _, b in keys]
     a = left.select(*[cell(c).alias(f"l{i}") for i, c in enumerate(left.columns)], key([a for a, _ in keys]).alias("_lk"))
     b = right.select(*[cell(c).alias(f"r{i}") for i, c in enumerate(right.columns)], key(right_keys).alias("_rk"))
-    joined = a.join(b, F.col("_lk") == F.col("_rk"), {"outer": "full_outer"}.get(how, how))
+    kind = {"outer": "full_outer"}.get(how, how)
+    if piece_rows is None:
+        joined = a.join(b, F.col("_lk") == F.col("_rk"), kind)
+    else:
+        joined = spread_join(a, b, "_lk", "_rk", kind, key_text, piece_rows)
     of_left = {c: F.coalesce(F.col(f"l{i}"), F.lit("")) for i, c in enumerate(left.columns)}
     of_right = {c: F.coalesce(F.col(f"r{i}"), F.lit("")) for i, c in enumerate(right.columns)}
     for x, y in keys:

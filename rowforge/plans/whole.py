@@ -41,6 +41,14 @@ for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
     )(_build)
 
 
+@register("jn2_join_outer_heavy", """SELECT coalesce(l_orderkey::VARCHAR, '') AS l_orderkey, coalesce(l_linenumber::VARCHAR, '') AS l_linenumber, coalesce(l_linestatus, o_orderstatus) AS l_linestatus, coalesce(orders, '') AS orders
+FROM lineitem FULL JOIN (SELECT o_orderstatus, count(*)::VARCHAR AS orders FROM orders GROUP BY 1) ON l_linestatus = o_orderstatus""")
+def _(spark, d):
+    lines = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
+    orders = read_table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
+    return keys.join_tables(lines, orders, [("l_linestatus", "o_orderstatus")], "outer", max_rows=None, piece_rows=5_000).df
+
+
 @register("jn1_cardinality_whole", """WITH l AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1),
 b AS (SELECT l.n AS ln, r.n AS rn FROM l FULL JOIN r ON l.k = r.k)
 SELECT sum(ln)::BIGINT AS left_rows, sum(rn)::BIGINT AS right_rows, count(*) FILTER (WHERE ln IS NOT NULL AND rn IS NOT NULL) AS matching_keys, count(*) FILTER (WHERE rn IS NULL) AS left_only_keys,

@@ -17,7 +17,7 @@ PIECE_ROWS = 200_000
 
 @dataclass(frozen=True)
 class Frequent:
-    """The number of rows with a value at all, and the values that very many of them share."""
+    """The number of rows, and the values that very many of them share."""
 
     rows: int
     values: list[str]
@@ -29,13 +29,12 @@ def frequent(df: DataFrame, value: Column, least: int, most: int = MOST) -> Freq
     Two passes over the column without a shuffle of rows: a count, and where it reaches `least` a sketch of TRACKED
     counters in every task. Values near the limit may be missed or taken; what is built on them must be right for any list.
     """
-    held = df.select(value.alias("v")).where("v is not null")
-    n = held.count()
+    n = df.count()
     if n < least:
         return Frequent(n, [])
     rate = min(1.0, SKETCHED / n)
-    drawn = held.sample(rate, seed=1) if rate < 1 else held
-    top = drawn.agg(F.expr(f"approx_top_k(v, {most}, {TRACKED})").alias("top")).first()["top"]
+    drawn = df.sample(rate, seed=1) if rate < 1 else df
+    top = drawn.select(value.alias("v")).where("v is not null").agg(F.expr(f"approx_top_k(v, {most}, {TRACKED})").alias("top")).first()["top"]
     return Frequent(n, sorted(t["item"] for t in top if t["count"] >= rate * max(least, n / most)))
 
 
@@ -71,8 +70,8 @@ def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     for side, key, needed in ((left, left_key, ("left", "full_outer")), (right, right_key, ("right", "full_outer"))):
         if how in needed:
             lone.append(side.where(F.col(key).isNull()))
-    left, right = left.where(F.col(left_key).isNotNull()), right.where(F.col(right_key).isNotNull())
     heavy = heavy_keys(left.withColumnRenamed(left_key, "_key"), right.withColumnRenamed(right_key, "_key"), "_key", text(F.col("_key")), piece_rows)
+    left, right = left.where(F.col(left_key).isNotNull()), right.where(F.col(right_key).isNotNull())
     on = F.col(left_key) == F.col(right_key)
     names = [*left.columns, *right.columns]
     if heavy is None:

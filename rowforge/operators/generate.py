@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions.fields import GENERATED_FOR
 from rowforge.functions.text import cell, name, scrub, split_labels, strip
+from rowforge.operators.greedy import first_independent
 from rowforge.session import settle
 
 # Words that are no terms.
@@ -168,65 +169,79 @@ def accept(
     """All gates in order: quota, length, exact duplicate, leakage, semantic duplicate; `ord` is unique.
 
     An item that comes when its label has what it needs keeps none from being new: it is over_quota, or what the first
-    two gates say of it, and goes no further. Where a label is full depends on the gates and the other way round: from no label being full,
-    each round applies the gates to what the last one left open, and the earliest wrong place comes right in it, so
-    that the places stand after one round more than there are labels at most. `reference` and `history` carry vectors
-    in a column of the same name.
+    two gates say of it, and goes no further. Where a label is full depends on the gates and the other way round. So
+    everything that vectors and texts say is worked out once, as marks of the rows and links among them. Then, from no
+    label being full, rounds over these narrow tables apply the gates to what the last one left open; the earliest
+    wrong place comes right in each, so that the places stand after one round more than there are labels at most.
+    `reference` and `history` carry vectors in a column of the same name.
     """
-    full, before = None, None
+    rows, links = _facts(candidates, vector, corridor, reference, history, leakage, duplicate)
+    quotas = settle(rows.select("label").distinct().join(needed.select("label", "needed"), "label", "left").fillna(0, ["needed"]))
+    full = settle(quotas.where("needed <= 0").select("label", F.lit(-(1 << 62)).alias("upto")))  # a row for each label that is full
+    before = None
     while True:
-        live = candidates
-        if full is not None:
-            live = candidates.join(full, "label", "left").where("upto is null or ord <= upto").drop("upto")
-        gated = settle(_gates(live, vector, corridor, reference, history, leakage, duplicate))
+        passed = _passed(rows.join(full, "label", "left").where("upto is null or ord <= upto"), links)
         place = F.row_number().over(Window.partitionBy("label").orderBy("ord"))
-        passed = gated.where("verdict = 'passed'").select("label", "ord", place.alias("n"))
-        last = passed.join(needed.select("label", "needed"), "label").where("n = needed").select("label", F.col("ord").alias("upto"))
-        none = candidates.select("label").distinct().join(needed, "label", "left").where("coalesce(needed, 0) <= 0")
-        full = settle(last.unionByName(none.select("label", F.lit(-(1 << 62)).alias("upto"))))  # a row for each label that is full
+        last = passed.select("label", "ord", place.alias("n")).join(quotas.where("needed > 0"), "label")
+        last = last.where("n = needed").select("label", F.col("ord").alias("upto"))
+        full = settle(last.unionByName(quotas.where("needed <= 0").select("label", F.lit(-(1 << 62)).alias("upto"))))
         state = full.agg(F.count("*"), F.bit_xor(F.xxhash64("label", "upto"))).first()
         if state == before:
             break
         before = state
-    low, high = corridor
-    content = sample_print(cell("title"), cell("description")).alias("print")
-    fits = F.length(cell("description")).between(low, high)
-    seen = candidates.join(full, "label", "left").where(fits & (F.col("upto").isNull() | (F.col("ord") <= F.col("upto")))).select(content, "ord")
-    if history is not None:
-        seen = seen.unionByName(history.select(content, F.lit(-(1 << 62)).alias("ord")))
-    seen = seen.groupBy("print").agg(F.min("ord").alias("since"))
-    over = candidates.join(full, "label").where("ord > upto").withColumn("fits", fits).withColumn("print", content).join(seen, "print", "left")
-    verdict = F.when(~F.col("fits"), "discarded_length").when(F.col("since") < F.col("ord"), "discarded_duplicate").otherwise("over_quota")
-    return gated.unionByName(over.select("label", "ord", *[scrub(cell(c)).alias(c) for c in ("title", "description", "keywords")], verdict.alias("verdict")))
+    placed = rows.join(full, "label", "left").withColumn("live", F.col("upto").isNull() | (F.col("ord") <= F.col("upto")))
+    since = placed.where("live and fits").groupBy("print").agg(F.min("ord").alias("since"))
+    marked = placed.join(since, "print", "left").join(passed.select("ord", F.lit(True).alias("passed")), "ord", "left")
+    verdict = (
+        F.when(~F.col("fits"), "discarded_length")
+        .when(F.col("known") | (F.col("since") < F.col("ord")), "discarded_duplicate")
+        .when(~F.col("live"), "over_quota")
+        .when(F.col("leak"), "discarded_leakage")
+        .when(F.col("passed"), "passed")
+        .otherwise("discarded_semantic_duplicate")
+    )
+    texts = [scrub(cell(c)).alias(c) for c in ("title", "description", "keywords")]
+    return candidates.select("label", "ord", *texts).join(marked.select("ord", verdict.alias("verdict")), "ord").select("label", "ord", "title", "description", "keywords", "verdict")
 
 
-def _gates(
+def _facts(
     candidates: DataFrame, vector: str, corridor: tuple[int, int], reference: DataFrame | None, history: DataFrame | None,
     leakage: float, duplicate: float,
-) -> DataFrame:
-    """accept() without the quota."""
+) -> tuple[DataFrame, DataFrame]:
+    """What the gates of accept() need to know: (ord, label, print, fits, known, leak, again) of each row, and the links (a, b).
+
+    known says that the history has the content, leak and again that the reference or the history has a vector too near;
+    links join rows of the right length that are near to each other. Each comparison of vectors runs once.
+    """
     from rowforge.operators import vectors
 
-    gated = cheap_gates(candidates, corridor, history)
-    passed = gated.where("verdict = 'passed'").select("ord").join(candidates.select("ord", vector), "ord")
-    marks = gated.select("ord", "verdict").where("verdict <> 'passed'")
-
-    def near(against: DataFrame, limit: float) -> DataFrame:
-        return vectors.best_match(passed, "ord", vector, against, vector).where(F.col("similarity") >= limit).select(F.col("id").alias("ord"))
-
-    if reference is not None:
-        leaks = near(reference, leakage)
-        marks = marks.unionByName(leaks.withColumn("verdict", F.lit("discarded_leakage")))
-        passed = passed.join(leaks, "ord", "left_anti")
-    if history is not None and vector in history.columns:
-        again = near(history, duplicate)
-        marks = marks.unionByName(again.withColumn("verdict", F.lit("discarded_semantic_duplicate")))
-        passed = passed.join(again, "ord", "left_anti")
-    kept = vectors.dedupe_semantic(passed, "ord", vector, duplicate).select("ord")
-    repeated = passed.select("ord").join(kept, "ord", "left_anti")
-    marks = marks.unionByName(repeated.withColumn("verdict", F.lit("discarded_semantic_duplicate")))
-    out = gated.drop("verdict").join(marks, "ord", "left").withColumn("verdict", F.coalesce("verdict", F.lit("passed")))
-    return out.select("label", "ord", "title", "description", "keywords", "verdict")
+    content = sample_print(cell("title"), cell("description")).alias("print")
+    rows = candidates.select("ord", "label", content, F.length(cell("description")).between(*corridor).alias("fits"))
+    coded = candidates.where(F.length(cell("description")).between(*corridor)).select("ord", vector)
+    rows = rows.withColumn("known", F.lit(False)) if history is None else rows.join(history.select(content, F.lit(True).alias("known")).distinct(), "print", "left")
+
+    def near(against: DataFrame | None, limit: float, mark: str) -> DataFrame:
+        if against is None or vector not in against.columns:
+            return rows.withColumn(mark, F.lit(False))
+        found = vectors.best_match(coded, "ord", vector, against, vector).where(F.col("similarity") >= limit)
+        return rows.join(found.select(F.col("id").alias("ord"), F.lit(True).alias(mark)), "ord", "left")
+
+    rows = near(reference, leakage, "leak")
+    rows = near(history, duplicate, "again")
+    rows = settle(rows.fillna(False, ["known", "leak", "again"]).withColumn("again", F.col("again") | F.lit(duplicate <= 0)))
+    if duplicate <= 0:  # everything is a duplicate then
+        return rows, rows.select(F.col("ord").alias("a"), F.col("ord").alias("b")).limit(0)
+    return rows, settle(vectors.similar_pairs(coded, "ord", vector, duplicate).select("a", "b"))
+
+
+def _passed(live: DataFrame, links: DataFrame) -> DataFrame:
+    """(ord, label) of the live rows that pass all gates but the quota."""
+    first = live.where("fits").groupBy("print").agg(F.min("ord").alias("ord"))
+    open_rows = settle(live.where("fits and not known and not leak and not again").join(first, ["print", "ord"], "left_semi").select("ord", "label"))
+    for end in "ab":
+        links = links.join(open_rows.select(F.col("ord").alias(end)), end, "left_semi")
+    kept = first_independent(open_rows.select(F.col("ord").cast("long").alias("id")), links)
+    return settle(open_rows.join(kept.select(F.col("id").alias("ord")), "ord", "left_semi"))
 
 
 def still_needed(planned: DataFrame, samples: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ weight of all its earlier items equals that of the taken ones. One window sum th
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +58,60 @@ def learnable(edges: DataFrame, rows: int, least: int) -> tuple[DataFrame, int]:
         edges, rows = left, after
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Undecided links that one task finishes, about 16 bytes each, and rounds in parallel before ranges of links are finished.
+LOCAL_LINKS, ROUNDS = 1 << 20, 6
+
+
+def later_dropped(a: np.ndarray, b: np.ndarray) -> set[int]:
+    """The nodes that a pass in ascending order drops, of the links a < b among undecided nodes."""
+    dropped: set[int] = set()
+    for later, earlier in sorted(zip(b.tolist(), a.tolist(), strict=True)):
+        if earlier not in dropped:
+            dropped.add(later)
+    return dropped
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    """(id, kept) of all nodes of a bounded number of links, by one pass in one task."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        dropped = later_dropped(group["a"].to_numpy(), group["b"].to_numpy())
+        nodes = np.unique(group[["a", "b"]].to_numpy())
+        return pd.DataFrame({"id": nodes, "kept": [n not in dropped for n in nodes.tolist()]})
+
+    return links.select("a", "b", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, kept boolean")
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS, rounds: int = ROUNDS) -> DataFrame:
     """Nodes that a pass in ascending order keeps, dropping each node with a link to an earlier kept one.
 
-    `nodes` has id; `edges` has a < b. In rounds: a node without an undecided or kept earlier neighbour is
-    kept; one with a kept earlier neighbour is dropped. Every round decides the smallest undecided node at least, so
-    the rounds end; a chain of links in ascending order takes as many as it is long.
+    `nodes` has id; `edges` has a < b. First in rounds: a node without an undecided earlier neighbour is kept, and what
+    it is linked to is dropped; that decides most of a graph at once. A chain of links in ascending order would take as
+    many rounds as it is long. So as soon as no more than `local` links are left between undecided nodes, or after
+    `rounds` rounds, a pass in one task finishes them: all of them, or those of the smallest nodes that have about that
+    many links among themselves, to which no other undecided node can matter. A chain of n links thus takes about
+    n / local passes. The result is the same for any `local` and `rounds`.
     """
-    edges = settle(edges.select("a", "b").distinct())
-    linked = settle(edges.select(F.col("b").alias("id")).distinct())
-    kept = settle(nodes.select("id").join(linked, "id", "left_anti"))
-    undecided = linked
-    while not undecided.isEmpty():
-        dropped = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        undecided = settle(undecided.join(dropped, "id", "left_anti"))
-        waiting = edges.join(undecided.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        fresh = settle(undecided.join(waiting, "id", "left_anti"))
-        kept = settle(kept.unionByName(fresh))
-        undecided = settle(undecided.join(fresh, "id", "left_anti"))
-    return kept
+    links, dropped, done = settle(edges.select("a", "b").distinct()), None, 0
+    while left := links.count():
+        done += 1
+        if left > local and done <= rounds:
+            first = links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+            gone = links.join(first.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        else:
+            part = links
+            if left > local:
+                bound = links.agg(F.percentile_approx("b", local / left, 1_000_000)).first()[0]
+                part = links.where(F.col("b") < F.lit(bound))
+                if part.isEmpty():  # the smallest nodes have more links than a pass takes: they are decided by a round
+                    rounds = done + 1
+                    continue
+            found = settle(_finished(part))
+            beyond = links.join(found.where("kept").select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+            gone = found.where("not kept").select("id").unionByName(beyond).distinct()
+        gone = settle(gone)
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        for end in "ab":
+            links = links.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+        links = settle(links)
+    return nodes.select("id") if dropped is None else nodes.select("id").join(dropped, "id", "left_anti")

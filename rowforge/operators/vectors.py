@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions.text import name
 from rowforge.operators.greedy import first_independent
+from rowforge.session import settle
 
 
 def unit(vector: Column | str) -> Column:
@@ -51,9 +52,12 @@ def _blocks(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
     return df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
 
-def _products(rows: DataFrame, pairs: list[tuple[int, int]], threshold: float) -> DataFrame:
-    """(a, b, similarity) for all a < b at or above `threshold` in the given pairs of blocks, each one matrix product."""
-    table = rows.sparkSession.createDataFrame(pairs, "left int, right int")
+def _products(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) for all a < b at or above `threshold`, each pair of blocks one matrix product.
+
+    `left` has (i, j, id, v, block), a copy of each row for each pair (i, j) of blocks whose first is its own; `right`
+    has (k, l, id2, w, home) of the second ones.
+    """
     schema = "a long, b long, similarity double"
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -71,17 +75,21 @@ def _products(rows: DataFrame, pairs: list[tuple[int, int]], threshold: float) -
             found = pd.DataFrame({"a": low, "b": high, "similarity": found["similarity"]})
         return found[found["a"] < found["b"]]
 
-    left = rows.join(F.broadcast(table.withColumn("block", F.col("left"))), "block")  # blocks * (blocks + 1) / 2 rows
-    right = rows.join(F.broadcast(table.withColumn("block", F.col("right"))), "block")
-    left = left.select(F.col("left").alias("i"), F.col("right").alias("j"), "id", "v", "block")
-    right = right.select(F.col("left").alias("k"), F.col("right").alias("l"), F.col("id").alias("id2"), F.col("v").alias("w"), F.col("block").alias("home"))
+    left = left.select("i", "j", "id", "v", "block")
+    right = right.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("id").alias("id2"), F.col("v").alias("w"), F.col("block").alias("home"))
     return left.groupBy("i", "j").cogroup(right.groupBy("k", "l")).applyInPandas(product, schema)
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, similarity) for all a < b at or above `threshold`: each pair of blocks is one matrix product."""
+    """(a, b, similarity) for all a < b at or above `threshold`: each pair of blocks is one matrix product.
+
+    Every row makes its own copies, one for each block from its own on and one for each up to it; there is no list of pairs.
+    """
     blocks = _parts(df, blocks)
-    return _products(_blocks(df, key, vector, blocks), [(i, j) for i in range(blocks) for j in range(i, blocks)], threshold)
+    rows = _blocks(df, key, vector, blocks)
+    left = rows.withColumns({"i": F.col("block"), "j": F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))})
+    right = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("block"))), "j": F.col("block")})
+    return _products(left, right, threshold)
 
 
 #: Numbers in all vectors of a reference that is sent to every task: 64 MB of doubles.
@@ -155,18 +163,32 @@ def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
 
 
-def near_blocks(centers: np.ndarray, radii: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """(i, j), i <= j, of the blocks that may hold a pair at or above `threshold`.
+#: Blocks whose bounds are compared in one task with as many others.
+BALLS = 2048
+
+
+def near_blocks(balls: DataFrame, threshold: float, group: int = BALLS) -> DataFrame:
+    """(i, j), i <= j, of the blocks that may hold a pair at or above `threshold`, from (block, center, radius).
 
     Angles obey the triangle inequality, so two blocks whose centers lie farther apart than both radii and the
-    threshold's angle hold none.
+    threshold's angle hold none. Blocks are compared on the executors, `group` with `group` others at a time.
     """
-    reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + SLACK
-    out = []
-    for i in range(len(centers)):
-        apart = _angles(centers[i : i + 1], centers[i:])[0] - radii[i] - radii[i:]
-        out.extend((i, i + int(j)) for j in np.flatnonzero(apart <= reach))
-    return out
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
+    rows = balls.withColumn("part", F.floor(F.col("block") / group).cast("int"))
+    parts = rows.agg(F.coalesce(F.max("part"), F.lit(-1))).first()[0] + 1
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"i": np.zeros(0, np.int32), "j": np.zeros(0, np.int32)})
+        apart = _angles(np.stack(left["center"]), np.stack(right["center_"])) - left["radius"].to_numpy()[:, None] - right["radius_"].to_numpy()
+        one, other = np.nonzero(apart <= reach)
+        found = pd.DataFrame({"i": left["block"].to_numpy()[one], "j": right["block_"].to_numpy()[other]})
+        return found[found["i"] <= found["j"]]
+
+    left = rows.withColumn("other", F.explode(F.sequence(F.col("part"), F.lit(max(parts, 1) - 1))))
+    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part")))).toDF(*[f"{c}_" for c in (*rows.columns, "other")])
+    # A task has the pairs of the groups (part, other) on the left and (other_, part_) on the right.
+    return left.groupBy("part", "other").cogroup(right.groupBy("other_", "part_")).applyInPandas(near, "i int, j int")
 
 
 def banded_pairs(
@@ -176,7 +198,9 @@ def banded_pairs(
 
     The signs of random projections, `bands` of `bits` each, order the rows: a code with too many rows is divided by
     the next band, and equal signatures by the key. Stretches of that order, cut at places drawn from a sample, are
-    the blocks, so that like vectors share one. Only pairs of blocks that a bound on their angles excludes are left out.
+    the blocks, so that like vectors share one. Only pairs of blocks that a bound on their angles excludes are left out;
+    which these are is found on the executors, and the rows are joined with the others. The driver holds where blocks
+    begin, a signature for each.
     """
     planes = np.random.default_rng(seed).standard_normal((bands * bits, dims))
 
@@ -203,9 +227,9 @@ def banded_pairs(
         center = center / (np.linalg.norm(center) or 1.0)
         return pd.DataFrame({"block": [block["block"].iloc[0]], "center": [center], "radius": [_angles(v, center[None, :]).max()]})
 
-    rows = rows.mapInPandas(dealt, "id long, v array<double>, block int")
-    balls = rows.groupBy("block").applyInPandas(ball, "block int, center array<double>, radius double").orderBy("block").collect()
-    if not balls:
-        return _products(rows, [], threshold)
-    pairs = near_blocks(np.array([r["center"] for r in balls]), np.array([r["radius"] for r in balls]), threshold)
-    return _products(rows, [(balls[i]["block"], balls[j]["block"]) for i, j in pairs], threshold)
+    rows = settle(rows.mapInPandas(dealt, "id long, v array<double>, block int"))
+    balls = settle(rows.groupBy("block").applyInPandas(ball, "block int, center array<double>, radius double"))
+    pairs = settle(near_blocks(balls, threshold))
+    left = rows.join(pairs.withColumn("block", F.col("i")), "block")
+    right = rows.join(pairs.withColumn("block", F.col("j")), "block")
+    return _products(left, right, threshold)

@@ -42,7 +42,31 @@ def test_first_independent_equals_the_sequential_rule(spark, seed):
             kept.append(i)
     nodes = spark.range(40)
     edges = spark.createDataFrame(sorted(pairs), "a long, b long")
-    assert sorted(r["id"] for r in greedy.first_independent(nodes, edges).collect()) == kept
+    for local, rounds in ((greedy.LOCAL_LINKS, greedy.ROUNDS), (0, 99), (5, 1), (20, 0), (1, 0)):
+        assert sorted(r["id"] for r in greedy.first_independent(nodes, edges, local, rounds).collect()) == kept
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_long_chain_takes_a_few_dozen_jobs(spark):
+    n = 10_000
+    edges, nodes = spark.range(n).selectExpr("id AS a", "id + 1 AS b"), spark.range(n + 1)
+    for name, local in (("whole", greedy.LOCAL_LINKS), ("ranges", 4_000)):
+        kept, jobs = jobs_of(spark, f"chain {name}", lambda local=local: greedy.first_independent(nodes, edges, local, rounds=1).agg(F.count("*"), F.sum("id"), F.max(F.col("id") % 2)).first())
+        assert tuple(kept) == (n // 2 + 1, sum(range(0, n + 1, 2)), 0) and jobs < 60
+
+
+def test_a_hub_with_more_links_than_a_pass_takes(spark):
+    edges = spark.range(300).selectExpr("id AS a", "300L AS b").unionByName(spark.range(301, 400).selectExpr("300L AS a", "id AS b"))
+    kept = greedy.first_independent(spark.range(400), edges, local=10, rounds=0)
+    assert sorted(r["id"] for r in kept.collect()) == [*range(300), *range(301, 400)]
 
 
 def test_learnable(spark):
@@ -178,11 +202,17 @@ def test_banded_pairs_are_whole(spark):
     assert vectors.banded_pairs(df.where("id < 0"), "id", "v", 16, 0.4).count() == 0
 
 
-def test_near_blocks_keeps_what_may_meet():
-    centers = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
-    assert vectors.near_blocks(centers, np.full(3, 0.1), 0.9) == [(0, 0), (1, 1), (2, 2)]
-    assert vectors.near_blocks(centers, np.array([0.6, 0.6, 0.1]), 0.9) == [(0, 0), (0, 1), (1, 1), (2, 2)]
-    assert len(vectors.near_blocks(centers, np.full(3, np.pi / 2), 0.9)) == 6
+@pytest.mark.parametrize("group", [1, 2, 100])
+def test_near_blocks_keeps_what_may_meet(spark, group):
+    centers = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]
+
+    def near(radii, threshold):
+        balls = spark.createDataFrame([(i, c, r) for i, (c, r) in enumerate(zip(centers, radii, strict=True))], "block int, center array<double>, radius double")
+        return sorted(tuple(r) for r in vectors.near_blocks(balls, threshold, group).collect())
+
+    assert near([0.1] * 3, 0.9) == [(0, 0), (1, 1), (2, 2)]
+    assert near([0.6, 0.6, 0.1], 0.9) == [(0, 0), (0, 1), (1, 1), (2, 2)]
+    assert len(near([np.pi / 2] * 3, 0.9)) == 6 and vectors.near_blocks(spark.createDataFrame([], "block int, center array<double>, radius double"), 0.9).count() == 0
 
 
 def test_vocabulary(spark):

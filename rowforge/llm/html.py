@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.boosting import BoostedTrees
-from rowforge.llm.common import unit_hash
+from rowforge.llm.common import first_texts, unit_hash
 
-#: Pages that the trees are grown on, in expectation, and composed layouts.
-SAMPLE_PAGES, LAYOUTS = 150, 500
-#: Characters of a sampled page that are read for training, which bounds what the driver gathers.
-SAMPLE_CHARS = 200_000
+#: Pages that the trees are grown on at most, bytes of all of them, which bounds what the driver gathers, and composed layouts.
+SAMPLE_PAGES, SAMPLE_BYTES, LAYOUTS = 150, 1 << 24, 500
 #: Characters of pages that are extracted together; a longer page comes alone.
 GROUP_CHARS = 1 << 20
 
@@ -37,11 +35,13 @@ GROUP_CHARS = 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
-    "h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = frozenset("head script style noscript template title textarea select option button svg math iframe object canvas".split())
-CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
+#: What is no text of a page, and the controls of forms; all other elements are judged as blocks or are part of a block's text.
+HIDDEN = frozenset("head script style template title textarea select option button".split())
+CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | {"p"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARY = frozenset("ul ol dl table article section div main body".split())
 
@@ -130,7 +130,7 @@ class _Tree(HTMLParser):
             if tag not in VOID and tag in HIDDEN:
                 self._push(tag, None)
                 self.hidden += 1
-            elif tag in BLOCK and self.open[-1][0] == "head":  # a head that was never closed
+            elif tag in BLOCK and tag != "noscript" and self.open[-1][0] == "head":  # a head that was never closed
                 self._pop()
                 self.handle_starttag(tag, attrs)
             return
@@ -149,7 +149,7 @@ class _Tree(HTMLParser):
         if tag == "hr":
             self._end_run()
             return
-        if tag in BLOCK:
+        if tag in BLOCK and not (tag == "noscript" and self.node.tag in TEXT_BLOCKS):
             self._end_run()
             named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
             keep = next((v or "" for k, v in attrs if k == "data-keep"), "")
@@ -200,7 +200,7 @@ def flat(root: Node) -> list[Node]:
 
 _KINDS = (
     frozenset(["article", "main"]), frozenset(["nav", "menu"]), frozenset(["header"]), frozenset(["footer"]), frozenset(["aside"]),
-    frozenset(["form", "fieldset", "dialog", "search", "legend"]), frozenset(["p", "pre", "blockquote"]), HEADINGS, frozenset(["ul", "ol", "li", "dl", "dt", "dd"]),
+    frozenset(["form", "fieldset", "dialog", "search", "legend", "noscript"]), frozenset(["p", "pre", "blockquote"]), HEADINGS, frozenset(["ul", "ol", "li", "dl", "dt", "dd"]),
 )
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
@@ -376,6 +376,7 @@ def _layout(rng: np.random.Generator, lines: list[str]) -> str:
         part("nav nav ul div", "nav menu navbar breadcrumb", links(int(rng.integers(2, 10)))),
         part("div div section aside", "ad ads advert sponsored banner promo", f"<p>{short(14)}</p>" if rng.random() < 0.5 else short(14)),
         part("div section dialog", "cookie notice consent alert gdpr", f"<p>{short(18)}</p>"),
+        part("noscript", "notice", short(9)),
         part("form form div", "search login signup form", f"<p>{short(6)}</p><label>{word()}</label><input>"),
     ]
     after = [
@@ -391,7 +392,7 @@ def _layout(rng: np.random.Generator, lines: list[str]) -> str:
     if bare:  # no element holds the article together
         body = re.sub(r"<(h1|h2|p|ul|blockquote|table)(?=[ >])", r'<\1 data-keep="1"', body)
     elif rng.random() < 0.25:
-        body = body + pick(*before[2:4], *after[:3]) + paragraphs(int(rng.integers(0, 3)))
+        body = body + pick(*before[2:5], *after[:3]) + paragraphs(int(rng.integers(0, 3)))
     tag = pick("article", "article", "main", "div", "div", "section")
     attribute = pick("", " " + named("content article post entry story main body"), " " + named("col left x1 container page"))
     core = body if bare else f'<{tag}{attribute} data-keep="1">{body}</{tag}>'
@@ -410,7 +411,7 @@ def train(pages: list[str | None], layouts: int = LAYOUTS, seed: int = 21, folds
     """
     rng = np.random.default_rng(seed)
     trees = [flat(tree(p)) for p in pages]
-    lines = [text[:600] for nodes in trees for node in nodes if node.tag == "p" for _, text in node.runs][:5000]
+    lines = [text for nodes in trees for node in nodes if node.tag == "p" for _, text in node.runs]
     lines = lines or ["These are some words of a paragraph, and here are a few more of them.", "Short line."]
     trees += [flat(tree(_layout(rng, lines))) for _ in range(layouts)]
     marked = [(nodes, marks) for nodes in trees if (marks := truth(nodes)) is not None]
@@ -426,22 +427,21 @@ def train(pages: list[str | None], layouts: int = LAYOUTS, seed: int = 21, folds
     return Model(model, learned_tokens([nodes for nodes, _ in marked], [marks for _, marks in marked]))
 
 
-def fit(pages: DataFrame, html: str = "html", key: str = "page_id", rows: int = SAMPLE_PAGES, seed: int = 23) -> Model:
-    """A model from about `rows` pages chosen by hash (at most twice as many).
+def fit(pages: DataFrame, html: str = "html", key: str = "page_id", rows: int = SAMPLE_PAGES, most_bytes: int = SAMPLE_BYTES, seed: int = 23) -> Model:
+    """A model from whole pages, at most `rows` with `most_bytes` together, those of the smallest hashes of key and page.
 
-    Of a sampled page over SAMPLE_CHARS characters the model learns from the beginning only; extraction reads all.
+    Repeated pages and keys each count as a page; null pages count as empty ones.
     """
-    n = pages.count()
-    drawn = pages.where(unit_hash(f"`{key}`", seed=seed) < F.lit(rows / max(n, 1)))
-    drawn = drawn.select(F.col(f"`{key}`").alias("k"), F.substring(F.col(f"`{html}`"), 1, SAMPLE_CHARS).alias("h"))
-    found = sorted(((r["k"] is None, r["k"] or 0, r["h"] or "") for r in drawn.limit(2 * rows).collect()))
-    return train([h for _, _, h in found])
+    near = unit_hash("k", "h", seed=seed)
+    read = pages.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("h"))
+    named = read.withColumns({"near": near, "own": F.xxhash64(F.lit(seed), "h")}).where(F.col("near") < F.lit(min(1.0, 2 * rows / max(pages.count(), 1) + 0.01)))
+    return train([r["h"] for r in first_texts(named, ["near", "own"], "h", rows, most_bytes)])
 
 
 def main_text(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
     """Add text: the whole article of every page.
 
-    Null, empty and unmarked input gives what the trees keep of it, '' for null and empty pages; text
+    A page is read whole by one task, in memory that grows with the page. Null, empty and unmarked input gives what the trees keep of it, '' for null and empty pages; text
     outside of any markup is kept where the page has no elements at all. Repeated rows get equal texts; an
     input column named text is replaced; an empty table gives an empty result.
     """

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.common import unit_hash, worker_memory
+from rowforge.llm.common import first_texts, unit_hash, worker_memory
 
 CHUNK, WIDTH, CHANNELS, FILTERS, HIDDEN = 256, 5, 8, 16, 16
 LAGS = range(2, 17)
@@ -180,24 +180,16 @@ def held_out(doc_id: str) -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: int, most_bytes: int, seed: int) -> list[tuple[bytes, float]]:
     """(text, label) of labelled rows outside the held-out fold, in the order of a hash of id and text.
 
-    They are the first `rows` of that order, or as many as have `most_bytes` together (one at least): texts of any length
-    are drawn alike, and the draw is over when the next one does not fit. Lengths are looked at first, so that neither
-    repeated ids nor long texts bring more to the driver. Null texts count as empty.
+    They are the first `rows` of that order, or as many as have `most_bytes` together (one at least); texts of any length
+    are drawn alike, and repeated ids bring no more. Null texts count as empty.
     """
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).select("doc_id", "quality")
     n, near = marked.count(), unit_hash("doc_id", seed=seed)
     marked = marked.where(near < F.lit(min(1.0, 2 * rows / max(n, 1) + 0.01))).orderBy(near, "doc_id", "quality").limit(rows)
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(marked), "doc_id")  # no more than `rows`
-    found = found.withColumns({"near": near, "own": F.xxhash64(F.lit(seed), "text"), "size": F.octet_length("text")})
-    drawn = found.select("near", "own", "doc_id", "quality", "size").orderBy("near", "own", "doc_id", "quality").limit(rows).collect()
-    ends = np.cumsum([r["size"] for r in drawn])
-    fit_in = drawn[: max(1, int(np.searchsorted(ends, most_bytes, side="right")))]
-    chosen = docs.sparkSession.createDataFrame([(r["near"], r["own"], r["doc_id"], r["quality"]) for r in fit_in], "near double, own long, id long, mark int").distinct()
-    same = (F.col("near") == F.col("n")) & (F.col("own") == F.col("o")) & (F.col("doc_id") == F.col("id")) & (F.col("quality") == F.col("mark"))
-    kept = found.join(F.broadcast(chosen.withColumnsRenamed({"near": "n", "own": "o"})), same).groupBy("near", "own", "doc_id", "quality").agg(F.first("text").alias("text"))
-    body = {(r["near"], r["own"], r["doc_id"], r["quality"]): r["text"] for r in kept.collect()}
-    return [(body[r["near"], r["own"], r["doc_id"], r["quality"]].encode(), float(r["quality"])) for r in fit_in]
+    found = texts.join(F.broadcast(marked), "doc_id").withColumns({"near": near, "own": F.xxhash64(F.lit(seed), "text")})  # marked has `rows` rows at most
+    drawn = first_texts(found, ["near", "own", "doc_id", "quality"], "text", rows, most_bytes)
+    return [(r["text"].encode(), float(r["quality"])) for r in drawn]
 
 
 def fit(

@@ -11,7 +11,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rowforge.session import settle, shared_folder
@@ -78,6 +78,24 @@ def worker_memory(owner: str) -> dict:
     return _KEPT
 
 
+def first_texts(rows: DataFrame, keys: list[str], text: str, most_rows: int, most_bytes: int) -> list[Row]:
+    """The rows of (*keys, text) that come first by the keys, `most_rows` at most, as many as have `most_bytes` together (one at least).
+
+    Keys are not null and tell texts apart, by a hash of them. Lengths are looked at first, so that neither repeated rows
+    nor long texts bring more than that to the driver, and texts of any length are drawn alike: the draw is over when the
+    next one does not fit.
+    """
+    sizes = rows.select(*keys, F.octet_length(text).alias("size")).orderBy(*keys).limit(most_rows).collect()
+    drawn = sizes[: max(1, int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), most_bytes, side="right")))]
+    if not drawn:
+        return []
+    named = rows.select(*keys).schema
+    chosen = rows.sparkSession.createDataFrame([tuple(r)[:-1] for r in drawn], named).distinct()  # no more than most_rows
+    bodies = rows.join(F.broadcast(chosen), keys).groupBy(*keys).agg(F.first(text).alias(text)).collect()
+    body = {tuple(r)[:-1]: r for r in bodies}
+    return [body[tuple(r)[:-1]] for r in drawn]
+
+
 def unit_hash(*columns: Column | str, seed: int) -> Column:
     """A repeatable uniform draw in [0, 1) from the columns' values."""
     bits = F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 52) - 1))

@@ -401,3 +401,32 @@ def test_html_tables(spark, model):
     assert len(out) == 7 and by[1] == good[1] and by[2] == by[3] == "" and len(by[6]) > 250_000
     assert html.main_text(df.limit(0), model).count() == 0
     assert html.fit(df.limit(0)) is not None
+
+
+def test_elements_are_judged_and_not_dropped_by_name(model):
+    """Expected texts are written by hand."""
+    long = "A sentence of the article that goes on for a while, with a clause or two. " * 4
+    given = (
+        "<html><head><title>T</title><noscript><style>x</style>hidden</noscript><script>s()</script></head><body>"
+        '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul></nav>'
+        f"<article><h1>The <svg><text>title</text><style>.a</style></svg> here</h1><p>Energy is <math><mi>E</mi>=<mi>m</mi></math> said he. {long}</p>"
+        f"<p>See <object data='x'>the object</object> and <canvas>the canvas</canvas> and <noscript>plain</noscript> words. {long}</p>"
+        f"<p>Write <textarea>gone</textarea><select><option>gone</option></select><button>gone</button>here. {long}</p><template><p>gone</p></template></article>"
+        "<form><p>Sign up</p><label>Mail</label><input><button>Go</button></form><footer>&copy; 2020 Somebody</footer></body></html>"
+    )
+    want = ["The title here", f"Energy is E=m said he. {long}", f"See the object and the canvas and plain words. {long}", f"Write here. {long}"]
+    assert html.extract([given], model) == ["\n".join(x.strip() for x in want)]
+
+
+def test_training_pages_are_whole_and_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html, "train", lambda pages, **k: seen.append(pages))
+    rows = [(i, f"<article><p>{i} {'word ' * (50_000 if i % 4 == 0 else 5)}</p></article>") for i in range(40)] + [(7, "<p>again</p>"), (None, "<p>none</p>"), (8, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    html.fit(df)
+    html.fit(df.repartition(5), rows=9)
+    html.fit(df, most_bytes=600_000)
+    html.fit(df.limit(0))
+    whole, few, small, none = seen
+    assert Counter(whole) == Counter(h or "" for _, h in rows) and few == whole[:9] and none == []
+    assert small == whole[: len(small)] and sum(map(len, small)) <= 600_000 < sum(map(len, whole[: len(small) + 1]))

@@ -56,3 +56,18 @@ def _(spark, d):
     left = intake.without_leaks(stream.where("_corrupt_record IS NULL").select("event_id", "user_id"), reference, "user_id")
     intake.finish(left.select("event_id"), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out")
+
+
+@register("str3_quota_state", """WITH e AS (SELECT event_type AS label, user_id, length('user ' || user_id) <= 7 AS fits FROM events),
+c AS (SELECT label, count(*) FILTER (WHERE NOT fits) AS long, count(*) FILTER (WHERE fits) AS f, count(DISTINCT user_id) FILTER (WHERE fits) AS u FROM e GROUP BY label)
+SELECT label, verdict, items FROM (SELECT label, unnest(['discarded_length', 'discarded_duplicate', 'passed', 'over_quota']) AS verdict,
+    unnest([long, f - u, least(u, 60), greatest(u - 60, 0)]) AS items FROM c) WHERE items > 0""")
+def _(spark, d):
+    stream, path = _events(spark, d)
+    rows = stream.where("_corrupt_record IS NULL").select(
+        F.col("event_type").alias("label"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"),
+        F.concat(F.lit("user "), "user_id").alias("description"), F.lit("").alias("keywords"),
+    )
+    needed = read_table(spark, d, "events").select(F.col("event_type").alias("label")).distinct().withColumn("needed", F.lit(60).cast("long"))
+    intake.run_gates(rows, f"{path}/out", f"{path}/state", (1, 7), needed)
+    return spark.read.parquet(f"{path}/out").groupBy("label", "verdict").agg(F.count("*").alias("items"))

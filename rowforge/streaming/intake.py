@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from rowforge.functions.text import cell, pii_counts, scrub
 from rowforge.operators.generate import cheap_gates, quota_gate
+from rowforge.streaming.gates import first_seen, gated
 
 _BAD = "_corrupt_record"
 
@@ -32,9 +33,12 @@ def stateless_gates(stream: DataFrame, text: str, corridor: tuple[int, int]) ->
 
 
 def dedupe(stream: DataFrame, columns: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """The first of each content; with an event time the state is bounded, and repeats after `delay` pass again."""
+    """The first of each content; with an event time the state is bounded, and repeats after `delay` pass again.
+
+    Without one the contents are kept on disk, and no repeat ever passes.
+    """
     if event_time is None:
-        return stream.dropDuplicates(columns)
+        return first_seen(stream, columns)
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(columns)
 
 
@@ -46,6 +50,8 @@ def without_leaks(stream: DataFrame, reference: DataFrame, column: str) -> DataF
 def run_batch_gates(stream: DataFrame, path: str, checkpoint: str, corridor: tuple[int, int], needed: DataFrame):
     """Every batch through the batch gates against all that was accepted before; a repeated batch changes nothing.
 
+    This is the way for gates that need the whole history as a table; each batch reads it. run_gates() does not.
+
     A batch writes to path/batch=N, replacing what an interrupted attempt left there; what earlier batches
     wrote is the history. Returns the started query.
     """
@@ -68,6 +74,14 @@ def run_batch_gates(stream: DataFrame, path: str, checkpoint: str, corridor: tup
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_gates(stream: DataFrame, path: str, checkpoint: str, corridor: tuple[int, int], needed: DataFrame) -> None:
+    """What is there now through the stateful gates into a Parquet folder; a restart goes on where it ended.
+
+    A batch costs what its own rows cost: earlier output is not read.
+    """
+    finish(gated(stream, corridor, needed), path, checkpoint)
+
+
 def finish(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append everything that is there now to a Parquet folder; a restart goes on where it ended."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

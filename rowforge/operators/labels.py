@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowforge.functions.fields import NAME_CHARS, TextField, label_name, one_line
 from rowforge.functions.text import cell, combined_text, dedupe_key, is_container, name, pii_counts, scrub, split_labels
 from rowforge.operators.greedy import learnable, quota_items
+from rowforge.operators.ranks import percentiles
 from rowforge.operators.result import OpResult
 from rowforge.session import settle
 
@@ -199,7 +200,8 @@ def contrast_labels(each: DataFrame, names: DataFrame | None = None, cap: int =
 
     `with_rest` adds `more`, the number of names beyond the list.
 
-    `each` has row and label, distinct. Rows with many labels make many pairs: a row's labels are bounded.
+    `each` has row and label, distinct. Rows with many labels make many pairs: a row's labels are bounded. Of the labels
+    that share rows with one no more than `cap` names are held together.
     """
     support = each.groupBy("label").agg(F.count("*").alias("support"))
     a, b = each.withColumnRenamed("label", "other"), each
@@ -208,19 +210,21 @@ def contrast_labels(each: DataFrame, names: DataFrame | None = None, cap: int =
         shown = support.select("label", "support", label_name(F.col("label")).alias("shown"))
     else:
         shown = support.join(names, "label", "left").select("label", "support", label_name(F.col("label"), F.col("name")).alias("shown"))
-    # Behind those that share rows come labels by support: as many names as a list may have to look through.
-    most = shared.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    leading = shown.groupBy("shown").agg(F.max("support").alias("s"), F.min("label").alias("l")).orderBy(F.desc("s"), "l").limit(cap + 1 + most)
-    leading = shown.join(leading.select("shown"), "shown", "left_semi").select(F.col("label").alias("other"))
-    every = support.select("label").crossJoin(F.broadcast(leading)).where("label <> other")
-    every = every.unionByName(shared.select("label", "other")).distinct()
-    every = every.join(shared, ["label", "other"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    every = every.join(shown.withColumnsRenamed({"label": "other", "shown": "other_name"}), "other").join(shown.select("label", "shown"), "label")
+    named = shared.join(shown.withColumnsRenamed({"label": "other", "shown": "other_name"}), "other").join(shown.select("label", "shown"), "label")
     order = [F.desc("shared"), F.desc("support"), F.asc("other")]
     once = F.row_number().over(Window.partitionBy("label", "other_name").orderBy(*order))
-    every = every.where((F.col("other_name") != F.col("shown")) & (F.col("other_name") != "")).withColumn("_n", once).where("_n = 1")
+    named = named.where((F.col("other_name") != F.col("shown")) & (F.col("other_name") != "")).withColumn("_n", once).where("_n = 1")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    listed = every.withColumn("rank", rank).where(F.col("rank") <= cap).select("label", "rank", F.col("other_name").alias("other"))
+    first = named.withColumn("rank", rank).where(F.col("rank") <= cap).groupBy("label")
+    first = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other_name"))), lambda x: x["other_name"]).alias("names"))
+    # Behind those that share rows come all others by support. A list of fewer than cap names leaves out at most these
+    # and its own from that order, so that its first 2 * cap names are enough for every label.
+    leading = shown.where("shown <> ''").groupBy("shown").agg(F.max("support").alias("s"), F.min_by("label", F.struct(-F.col("support"), F.col("label"))).alias("l"))
+    leading = [r["shown"] for r in leading.orderBy(F.desc("s"), "l").limit(2 * cap).collect()]
+    lists = shown.join(first, "label", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    others = F.filter(F.array(*[F.lit(n) for n in leading]).cast("array<string>"), lambda n: (n != F.col("shown")) & ~F.array_contains("names", n))
+    whole = F.concat("names", F.slice(others, F.lit(1), cap - F.size("names")))
+    listed = lists.select("label", F.posexplode(whole).alias("rank", "other")).withColumn("rank", F.col("rank") + 1)
     if not with_rest:
         return listed
     named = shown.where("shown <> ''").agg(F.count_distinct("shown").alias("names"))
@@ -242,15 +246,17 @@ def field_shapes(df: DataFrame, field: TextField, label: Column | None = None) -
     Labels with under MIN_FILLED filled cells take the whole table's shape; without `label` one row.
     """
     text = field.normal()
-    read = df.select((F.lit("") if label is None else label).alias("label"), F.length(text).alias("n"), F.size(field.values()).alias("k"))
+    read = settle(df.select((F.lit("") if label is None else label).alias("label"), F.length(text).alias("n"), F.size(field.values()).alias("k")))
+
+    def halves_of(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+        counted = rows.where("n > 0").groupBy(*by, F.col(column).alias("x")).agg(F.count("*").alias("n"))
+        found = percentiles(counted, by, {"low": 0.25, "high": 0.75})
+        return found.select(*by, F.array("low", "high").alias("c" if column == "n" else "v"))
 
     def shape(rows: DataFrame, *by: str) -> DataFrame:
-        filled = F.col("n") > 0
-        halves = rows.groupBy(*by).agg(
-            F.count_if(filled).alias("filled"),
-            F.percentile(F.when(filled, F.col("n")), F.array(F.lit(0.25), F.lit(0.75))).alias("c"),
-            F.percentile(F.when(filled, F.col("k")), F.array(F.lit(0.25), F.lit(0.75))).alias("v"),
-        )
+        halves = rows.groupBy(*by).agg(F.count_if(F.col("n") > 0).alias("filled"))
+        for column in ("n", "k"):
+            halves = halves.join(halves_of(rows, list(by), column), list(by), "left")
         low = _rounded(F.col("c")[0], 10)
         high = F.greatest(low, _rounded(F.col("c")[1], 10))
         cut = F.lit(MAX_STATED).cast("long")
@@ -262,7 +268,9 @@ def field_shapes(df: DataFrame, field: TextField, label: Column | None = None) -
         return halves.select(*by, "filled", chars_low.alias("chars_low"), chars_high.alias("chars_high"), F.when(listed, few).alias("values_low"), F.when(listed, most).alias("values_high"))
 
     columns = ["chars_low", "chars_high", "values_low", "values_high"]
-    whole = shape(read)
+    whole = shape(read.withColumn("all", F.lit(0)), "all")
+    if whole.isEmpty():  # the shape of a table without rows
+        whole = df.sparkSession.createDataFrame([(0, None, None, None, None)], f"filled int, {', '.join(f'{c} long' for c in columns)}")
     whole = whole.select(*[F.when(F.col("filled") >= MIN_FILLED, F.col(c)).alias(f"all_{c}") for c in columns])
     if label is None:
         return whole.select(F.lit("").alias("label"), *[F.col(f"all_{c}").alias(c) for c in columns])

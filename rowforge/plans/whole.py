@@ -143,8 +143,8 @@ def _(spark, d):
 _GUIDES = ("'Nenne ' || p_size || ' Schlagwörter.'", "'Für Klasse ' || p_size || ' geeignete Begriffe.'", "'Höchstens ' || p_size || '-' || (p_size + 90) || ' Zeichen'", "'Fasse ' || p_name || ' in einem Satz zusammen.'", "'Ab ' || p_size || ' Jahren: drei treffende deutsche Schlagwörter'", "'Eine Liste von Begriffen zu ' || p_name")
 
 
-@register("val7_states_length", f"""SELECT p_partkey, regexp_matches(regexp_replace(CASE p_partkey % 6 {" ".join(f"WHEN {i} THEN {g}" for i, g in enumerate(_GUIDES))} END,
-'(?i){fl.NAMED_NUMBER.replace(chr(92) + "w", "[" + chr(92) + "p{L}0-9_]")}', ' ', 'g'), '(?i){fl.STATED.replace(chr(92) + "w", "[" + chr(92) + "p{L}0-9_]")}') AS stated FROM part""")
+@register("val7_states_length", f"""SELECT p_partkey, regexp_matches(g, '([0-9]|drei|einem) (treffende deutsche )?(Schlagw|Zeichen|Satz)') AS stated
+FROM (SELECT p_partkey, CASE p_partkey % 6 {" ".join(f"WHEN {i} THEN {g}" for i, g in enumerate(_GUIDES))} END AS g FROM part)""")
 def _(spark, d):
     number = F.col("p_size").cast("string")
     guides = (

@@ -63,6 +63,14 @@ def _(spark, d):
     return review.page(documents(spark, d), "doc_id", "e", ["doc_id", "lang", "source"], 10, 20).df.select("doc_id", "lang")
 
 
+@register("flt13_deep_page", "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'i') ORDER BY o_orderkey LIMIT 500 OFFSET 300")
+def _(spark, d):
+    orders = read_table(spark, d, "orders")
+    index = review.page_index(orders, "o_orderkey", "I", ["o_orderkey", "o_orderpriority"], ranges=16)
+    pages = [review.page(orders, "o_orderkey", "I", ["o_orderkey", "o_orderpriority"], offset, 250, index).df for offset in (300, 550)]
+    return pages[0].unionByName(pages[1])
+
+
 @register("agg8_display_names_documents", """SELECT source AS label, lang AS name FROM (SELECT source, lang, count(*) AS k, min(doc_id) AS f FROM documents WHERE lang <> '' AND source <> '' GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY k DESC, f) = 1""")
 def _(spark, d):
@@ -94,6 +102,13 @@ def _(spark, d):
     return src.read_json(spark, path)
 
 
+@register("snk1_json_array", "SELECT doc_id::VARCHAR AS doc_id, text, lang FROM documents")
+def _(spark, d):
+    path = _fresh(spark, "array")
+    src.write_json_array(documents(spark, d).select("doc_id", "text", "lang"), path, "doc_id")
+    return src.read_json_array(spark, path, ["doc_id", "text", "lang"])
+
+
 @register("src6_tolerant_lines", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, 1::BIGINT AS skipped FROM orders")
 def _(spark, d):
     path = _fresh(spark, "lines")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -107,7 +108,7 @@ def _array_lines(batches):
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv", separator: str = ";", spreadsheet_safe: bool = False, gzip: bool = False) -> None:
-    """CSV, JSON lines, or a JSON array in each part file; UTF-8, \\n line ends."""
+    """CSV, JSON lines, or a JSON array in each part file; UTF-8, \\n line ends. write_json_array() makes one array of all."""
     if spreadsheet_safe:
         df = defuse(df)
     if kind == "csv":
@@ -123,6 +124,44 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", separator: str = ";
         raise ValueError(f"Unknown format {kind!r}.")
 
 
+def write_json_array(df: DataFrame, path: str, order: str | None = None) -> None:
+    """Part files that are one JSON array when they are put together in the order of their names, a record a line.
+
+    Tasks write their records with a comma ahead. The last step gives the first part that has any its opening bracket, by
+    copying that one part, adds a part with the closing one, and moves the folder to its place; before that there is
+    nothing at `path`, which must not exist. With `order` the records are in that order, else in the table's.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    fs = place(path).getFileSystem(conf)
+    if fs.exists(place(path)):
+        raise ValueError(f"{path} exists already.")
+    draft = f"{path.rstrip('/')}._draft-{uuid.uuid4().hex}"
+    rows = df.orderBy(name(order)) if order else df
+    record = F.to_json(F.struct(*[name(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    rows.select(F.concat(F.lit(","), record).alias("value")).write.text(draft)
+    parts = sorted((f.getPath().getName() for f in fs.listStatus(place(draft)) if f.getPath().getName().startswith("part-") and f.getLen() > 0))
+    if parts:
+        source, target = fs.open(place(draft, parts[0])), fs.create(place(draft, "_head"))
+        source.skip(1)
+        target.write(ord("["))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, target, 1 << 16, True)
+        fs.delete(place(draft, parts[0]), False)
+        fs.rename(place(draft, "_head"), place(draft, parts[0]))
+    last = fs.create(place(draft, "part-end.txt"))
+    last.write(bytearray(b"]\n" if parts else b"[]\n"))
+    last.close()
+    fs.rename(place(draft), place(path))
+
+
+def read_json_array(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The records of write_json_array() as a text table of the given columns; missing cells are empty."""
+    lines = spark.read.text(path).where(~F.col("value").isin("]", "[]"))
+    shape = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return lines.select(F.from_json(F.substring("value", 2, 1 << 30), shape).alias("r")).select(*[F.coalesce(F.col("r").getField(c), F.lit("")).alias(c) for c in columns])
+
+
 def defuse(df: DataFrame) -> DataFrame:
     """Cells and headers that a spreadsheet would read as a formula get an apostrophe."""
     risky = ["=", "+", "-", "@", "\t", "\r"]

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import fields as fl
 from rowforge.functions import text as tx
-from rowforge.operators import balance, combine, generate, keys, labels, registry, review, vectors, vocab
+from rowforge.operators import balance, combine, generate, keys, labels, outline, registry, review, vectors, vocab
 from rowforge.plans.catalog import register
 from rowforge.plans.generation import _SHOWN, FIELDS, _entries, _shown, _targets
-from rowforge.plans.labels import CLEAN, celled, documents
+from rowforge.plans.labels import CLEAN, TREE, celled, concepts, documents
 from rowforge.plans.streams import _events
 from rowforge.plans.tables import _by_rules
 from rowforge.session import read_table, shared_folder
@@ -198,6 +198,12 @@ def _(spark, d):
     return size.select(F.explode(F.array(*fits)).alias("c")).groupBy("c.profile").agg(F.count_if("c.fits").alias("fitting"))
 
 
+@register("tre1_outline", f"""WITH {TREE}, p AS (SELECT uri, depth, position, row_number() OVER (ORDER BY position) - 1 AS place FROM walk)
+SELECT p.uri, p.depth, (SELECT count(*) FROM p q WHERE q.position = p.position OR starts_with(q.position, p.position || '/')) AS size, p.place FROM p""")
+def _(spark, d):
+    return outline.outline(concepts(spark, d))
+
+
 @register("str4_leakage_gate_whole", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 3000)")
 def _(spark, d):
     stream, path = _events(spark, d)

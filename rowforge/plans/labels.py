@@ -53,6 +53,15 @@ def _(spark, d):
     return df.select("event_id", F.array_join(parts, "|").alias("parts"), tx.is_container(F.get(parts, F.size(parts) - 1)).alias("container"))
 
 
+_REFERENCES = "replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@register("txt1_references", f"SELECT page_id, {clean_sql(_REFERENCES)} AS clean FROM pages WHERE NOT regexp_matches(html, '&am(p[^;]|[^p]|$)|&amp$')")
+def _(spark, d):
+    pages = read_table(spark, d, "pages").where(~F.col("html").rlike("&am(p[^;]|[^p]|$)|&amp$"))
+    return pages.select("page_id", tx.clean_text(F.col("html")).alias("clean"))
+
+
 @register("txt4_markup", f"SELECT page_id, url, {clean_sql('replace(html, chr(38), chr(32))')} AS html FROM pages")
 def _(spark, d):
     pages = read_table(spark, d, "pages").withColumn("html", F.translate("html", "&", " "))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rowforge.llm.common import settle_table, unit_hash
 
-#: Vectors that centroids and codebooks are fitted on, at most twice as many; every vector is indexed.
+#: Vectors that centroids and codebooks are fitted on at most; every vector is indexed.
 SAMPLE = 16_384
 #: Fine parts of two numbers make few candidates enough, which is what goes through the last shuffles.
 MAX_LISTS, PART, CODES, ROUNDS = 2048, 2, 256, 8
@@ -217,7 +217,8 @@ def search(
     nodes = settle_table(nodes.select(*key, F.col("ids")[0].alias("node"), "ids", "vector", F.coalesce("asks", F.lit(False)).alias("asks")))
     total = nodes.count()
 
-    drawn = nodes.where(unit_hash("k1", seed=17) < F.lit(SAMPLE / total)).select("vector").limit(2 * SAMPLE).collect()
+    near = unit_hash("k1", seed=17)  # those of the smallest hashes, the same in every run
+    drawn = nodes.where(near < F.lit(min(1.0, 2 * SAMPLE / max(total, 1) + 0.01))).orderBy(near, *key).limit(SAMPLE).select("vector").collect()
     sample = np.array([r["vector"] for r in drawn or nodes.select("vector").limit(1).collect()], dtype=np.float32)
     wanted = 2 ** round(np.log2(max(1.0, total**0.5)))
     coarse = min(MAX_LISTS, wanted, len(sample))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ CORRIDORS = {"kurz": (120, 300), "standard": (300, 600), "lang": (800, 2000), "v
 OPEN_CORRIDOR = (100, 600)
 TOKEN = r"[0-9A-Za-zÄÖÜäöüß][0-9A-Za-zÄÖÜäöüß-]{1,}"
 
+#: A token of three characters or more that is no stop word.
+CONTENT_WORD = (
+    r"(?<![0-9A-Za-zÄÖÜäöüß-])-*+(?!(?iu:" + "|".join(STOP_WORDS) + r")(?![0-9A-Za-zÄÖÜäöüß-]))[0-9A-Za-zÄÖÜäöüß][0-9A-Za-zÄÖÜäöüß-]{2,}"
+)
+
 
 def resolve_corridor(profile: dict | None) -> tuple[str, tuple[int, int]]:
     """(name, (least, most characters)): a named corridor, or else "custom" with the bounds that are given.
@@ -43,16 +50,15 @@ def resolve_corridor(profile: dict | None) -> tuple[str, tuple[int, int]]:
 
 def term_bank(df: DataFrame, row: str, label: str, keywords: list[str], texts: list[str], separator: str = ",", top_n: int = 60, max_rows: int = 500, share: float = 0.4) -> DataFrame:
     """(label, rank, term): a label's keywords and content words by count, without those of too many labels."""
-    parts = [F.filter(F.transform(F.split(cell(c), r"[;,|/]"), strip), lambda x: x != "") for c in keywords]
-    for c in texts:
-        words = F.transform(F.regexp_extract_all(cell(c), F.lit(TOKEN), F.lit(0)), F.lower)
-        parts.append(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)))
-    read = df.select(name(row).alias("row"), split_labels(name(label), separator).alias("labels"), F.concat(*parts).alias("terms"))
-    read = read.where(F.size("terms") > 0)
-    each = read.select("row", F.explode("labels").alias("label"))
+    listed = [F.filter(F.transform(F.split(cell(c), r"[;,|/]"), strip), lambda x: x != "") for c in keywords]
+    words = [F.filter(F.transform(F.regexp_extract_all(cell(c), F.lit(TOKEN), F.lit(0)), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)) for c in texts]
+    holds = reduce(lambda a, b: a | b, [*[F.size(x) > 0 for x in listed], *[cell(c).rlike(CONTENT_WORD) for c in texts]])
+    # The rows of a label are chosen before any text is split: looking for one content word ends at the first.
+    each = df.where(holds).select(name(row).alias("row"), F.explode(split_labels(name(label), separator)).alias("label"))
     n = F.row_number().over(Window.partitionBy("label").orderBy("row"))
     mined = each.withColumn("_n", n).where(F.col("_n") <= max_rows).drop("_n")
-    counts = mined.join(read.select("row", F.explode("terms").alias("term")), "row").groupBy("label", "term").agg(F.count("*").alias("n"))
+    terms = df.select(name(row).alias("row"), F.concat(*listed, *words).alias("terms"))
+    counts = mined.join(terms, "row").select("label", F.explode("terms").alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
     labels = counts.agg(F.count_distinct("label").alias("labels"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(labels))  # one row
     limit = F.greatest(F.lit(5), F.floor(F.lit(share) * F.col("labels")))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,17 @@ def test_term_bank(spark):
     assert "the" not in {t for _, t in bank}
 
 
+def test_content_words_are_found_as_they_are_split(spark):
+    """The pattern that looks for one content word agrees with splitting the whole text."""
+    rng = random.Random(9)
+    pieces = [*generate.STOP_WORDS[:40], "Über", "ab", "x", "xyz", "der-die", "-und", "und-", "--die", "a-b", "é", "ést", "12", "123", "Für", "THE", "_the", "ſie", "K"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", ", ", "-", "", "\n", "_", "é"]) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.filter(F.transform(F.regexp_extract_all("t", F.lit(generate.TOKEN), F.lit(0)), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(generate.STOP_WORDS))
+    rows = df.select("t", (F.size(words) > 0).alias("split"), F.col("t").rlike(generate.CONTENT_WORD).alias("found")).collect()
+    assert [r["t"] for r in rows if r["split"] != r["found"]] == [] and {r["split"] for r in rows} == {True, False}
+
+
 def test_sources(spark, tmp_path):
     odd = spark.createDataFrame([('a "q"; b', " x "), ("line\nbreak", ""), (None, "NA")], "a string, b string")
     src.write_table(odd, str(tmp_path / "csv"), "csv")

@@ -27,6 +27,8 @@ CORRIDORS = {"kurz": (120, 300), "standard": (300, 600), "lang": (800, 2000), "v
 OPEN_CORRIDOR = (100, 600)
 TOKEN = r"[0-9A-Za-zÄÖÜäöüß][0-9A-Za-zÄÖÜäöüß-]{1,}"
 
+#: Chosen rows of a term bank that are sent to every task, some 20 MB at most.
+SENT_ROWS = 500_000
 #: A token of three characters or more that is no stop word.
 CONTENT_WORD = (
     r"(?<![0-9A-Za-zÄÖÜäöüß-])-*+(?!(?iu:" + "|".join(STOP_WORDS) + r")(?![0-9A-Za-zÄÖÜäöüß-]))[0-9A-Za-zÄÖÜäöüß][0-9A-Za-zÄÖÜäöüß-]{2,}"
@@ -56,7 +58,10 @@ def term_bank(df: DataFrame, row: str, label: str, keywords: list[str], texts: l
     # The rows of a label are chosen before any text is split: looking for one content word ends at the first.
     each = df.where(holds).select(name(row).alias("row"), F.explode(split_labels(name(label), separator)).alias("label"))
     n = F.row_number().over(Window.partitionBy("label").orderBy("row"))
-    mined = each.withColumn("_n", n).where(F.col("_n") <= max_rows).drop("_n")
+    mined = settle(each.withColumn("_n", n).where(F.col("_n") <= max_rows).drop("_n"))
+    if mined.count() <= SENT_ROWS:  # then only the chosen texts are split, where they are
+        mined = F.broadcast(mined)
+        df = df.join(F.broadcast(mined.select(F.col("row").alias("_chosen")).distinct()), name(row) == F.col("_chosen"), "left_semi")
     terms = df.select(name(row).alias("row"), F.concat(*listed, *words).alias("terms"))
     counts = mined.join(terms, "row").select("label", F.explode("terms").alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
     labels = counts.agg(F.count_distinct("label").alias("labels"))

@@ -88,7 +88,9 @@ def test_all_gates(spark):
     }
 
 
-def test_term_bank(spark):
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_term_bank(spark, monkeypatch, sent):
+    monkeypatch.setattr(generate, "SENT_ROWS", sent)
     df = spark.createDataFrame([(0, "Optik; Licht", "the Licht bricht", "p"), (1, "Licht", "Linsen und Licht", "p"), (2, "Zelle", "cells", "b")], "rid int, k string, t string, l string")
     bank = [(r["label"], r["term"]) for r in generate.term_bank(df, "rid", "l", ["k"], ["t"]).orderBy("label", "rank").collect()]
     assert bank[:2] == [("b", "Zelle"), ("b", "cells")] and bank[2][0] == "p" and bank[2][1].lower() == "licht"

@@ -296,6 +296,27 @@ def test_ann_with_several_shards_chunks_and_levels(spark, monkeypatch):
     assert np.mean(recall) >= 0.9
 
 
+def test_ann_on_near_copies_wide_lengths_and_huge_numbers(spark):
+    """Near copies share their codes, a few long vectors are nearest to all, and squares leave single precision."""
+    rng = np.random.default_rng(21)
+    wide, n, d = rng.standard_normal((3000, 16)), 3000, 16
+    near = 3 * wide
+    near[: n // 2] = 5 * rng.standard_normal(d) + 0.001 * wide[: n // 2]
+    lengths = wide * 10.0 ** rng.uniform(-30, 30, n)[:, None]
+    for kind, x in {"near copies": near, "lengths": lengths, "huge": wide * 1e25}.items():
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<float>")
+        found = {}
+        for r in ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        exact, recall = x.astype(np.float64), []
+        for q in range(0, n, 20):
+            score = exact @ exact[q]
+            score[q] = -np.inf
+            recall.append(len(set(np.argsort(-score)[:20].tolist()) & found.get(q, set())) / 20)
+        assert np.mean(recall) >= 0.95, (kind, np.mean(recall))
+
+
 def test_two_levels_visit_the_best_sums():
     rng = np.random.default_rng(18)
     index = ann.Index(rng.standard_normal((7, 5)), rng.standard_normal((6, 5)), np.zeros((1, 1, 5)), probes=9)

@@ -185,6 +185,30 @@ def test_rules_tables(docs, labels):
     assert set(rules.fit(docs.limit(0), labels.limit(0)).limits.values()) == {1.1}
 
 
+def test_thresholds_and_leaves_come_from_all_rows(spark):
+    """More rows than any draw had; a leaf's depth and every threshold are those of all rows counted in one place."""
+    rng = np.random.default_rng(31)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(400)]
+    rows, marks = [], []
+    for i in range(9000):
+        text = " ".join(rng.choice(words, 14))
+        odd = rng.random() < 0.1
+        rows.append((i, text.replace("a", "#") if odd else text))
+        marks.append((i, int(not odd if rng.random() < 0.97 else odd), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judgement = rules.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    stats = rules.statistics([t for _, t in rows])
+    x, left, good = rules.ratios(stats), ~rules.base_failed(stats), np.array([q == 1 for _, q, _ in marks])
+    fine = left.copy()
+    for n in rules.FAMILIES:
+        forest = judgement.forests[n]
+        counts = [np.bincount(e, minlength=len(t[0])) for e, t in zip(forest.leaves(x[n][fine]), forest.trees, strict=True)]
+        assert all(np.allclose(a[3], b[3]) for a, b in zip(forest.weighed(counts).trees, forest.trees, strict=True))
+        scores = (np.floor(forest.score(x[n]) * rules.STEPS) + 0.5) / rules.STEPS
+        assert judgement.limits[n] == rules.threshold(scores[left], good[left])
+        left &= scores < judgement.limits[n]
+
+
 def test_forest_equals_plain_path_lengths():
     rng = np.random.default_rng(11)
     x = np.concatenate([rng.standard_normal((300, 3)), rng.standard_normal((10, 3)) + 6])

@@ -94,45 +94,57 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks
 
 #: Numbers in all vectors of a reference that is sent to every task: 64 MB of doubles.
 SENT = 1 << 23
+#: Numbers in the vectors of a block of rows or references that a task compares: 16 MB of doubles.
+GRID = 1 << 21
+
+
+def _best(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The largest product of each row of x with any of y, by pieces whose products take 32 MB; 0 at least."""
+    best = np.zeros(len(x))
+    for low in range(0, len(x), 1024):
+        for other in range(0, len(y), 4096):
+            near = x[low : low + 1024] @ y[other : other + 4096].T
+            best[low : low + 1024] = np.maximum(best[low : low + 1024], near.max(axis=1))
+    return best
+
+
+def _matrix(vectors: DataFrame) -> np.ndarray:
+    """The vectors of the one column of a table of bounded size, on the driver."""
+    column = vectors.toArrow().column(0).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def best_match(df: DataFrame, key: str, vector: str, reference: DataFrame, ref_vector: str, blocks: int | None = None) -> DataFrame:
     """(id, similarity): the largest cosine of each row to any reference vector; 0 without references.
 
     A reference of at most SENT numbers goes to every task and the rows stay where they are; a larger one is compared
-    by blocks.
+    by blocks of at most about GRID numbers of either side, so that few copies of a row are shuffled.
     """
     unit_reference = reference.select(unit(name(ref_vector)).alias("v")).where("v is not null")
-    numbers = unit_reference.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    if numbers <= SENT and blocks is None:
-        against = [r["v"] for r in unit_reference.collect()]
-        shared = df.sparkSession.sparkContext.broadcast(np.array(against, dtype=np.float64))
+    size = unit_reference.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers"), F.count("*").alias("n")).first()
+    if size["numbers"] <= SENT and blocks is None:
+        shared = df.sparkSession.sparkContext.broadcast(_matrix(unit_reference))
 
         def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                best = np.zeros(len(part))
-                for low in range(0, len(part), 1024):
-                    if len(shared.value):
-                        near = np.stack(part["v"].iloc[low : low + 1024].to_numpy()) @ shared.value.T
-                        best[low : low + 1024] = np.maximum(near.max(axis=1), 0.0)
+                against = shared.value
+                best = _best(np.stack(part["v"].to_numpy()), against) if len(part) and len(against) else np.zeros(len(part))
                 yield pd.DataFrame({"id": part["id"], "similarity": best})
 
         asked = df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).where("id is not null and v is not null")
         return asked.mapInPandas(nearest, "id long, similarity double")
-    parts, blocks = _parts(reference, blocks), _parts(df, blocks)
+    each = max(1, GRID * size["n"] // max(size["numbers"], 1))
+    parts, blocks = blocks or -(-size["n"] // each) or 1, blocks or -(-df.count() // each) or 1
     rows = _blocks(df, key, vector, blocks)
-    numbered = reference.select(unit(name(ref_vector)).alias("v")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+    numbered = unit_reference.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
     spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     against = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        best = np.zeros(len(left))
-        if len(right):
-            x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            best = np.concatenate([(x[i : i + 1024] @ y.T).max(axis=1) for i in range(0, len(x), 1024)])
-        return pd.DataFrame({"id": left["id"].to_numpy(), "similarity": np.maximum(best, 0.0)})
+        best = _best(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())) if len(right) else np.zeros(len(left))
+        return pd.DataFrame({"id": left["id"].to_numpy(), "similarity": best})
 
     found = spread.groupBy("block", "part").cogroup(against.groupBy("block", "part")).applyInPandas(product, "id long, similarity double")
     return found.groupBy("id").agg(F.max("similarity").alias("similarity"))

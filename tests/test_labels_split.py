@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -227,3 +228,28 @@ def test_vocabulary(spark):
     lines = spark.createDataFrame([(0, "Früh Jahr"), (1, "frueh!"), (2, "Früh-Jahr"), (3, "https://v.org/1 Name"), (4, "")], "ord int, line string")
     slugs = [r["uri"] for r in vocab.slugs(lines, "https://e.org").orderBy("ord").collect()]
     assert slugs == ["https://e.org/fruh-jahr", "https://e.org/frueh", "https://e.org/fruh-jahr-2", "https://v.org/1"]
+
+
+def _random_vectors(spark, n, seed):
+    x = np.random.default_rng(seed).standard_normal((n, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "id long, v array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return rows, x
+
+
+def test_products_with_a_reference_take_bounded_memory():
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((1500, 4)), rng.standard_normal((30_000, 4))
+    tracemalloc.start()
+    best = vectors._best(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and np.allclose(best[:50], np.maximum((x[:50] @ y.T).max(axis=1), 0))
+
+
+def test_a_large_reference_is_compared_by_few_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SENT", 100)
+    monkeypatch.setattr(vectors, "GRID", 8 * 100)
+    rows, x = _random_vectors(spark, 450, 5)
+    found = {r["id"]: r["similarity"] for r in vectors.best_match(rows, "id", "v", rows.where("id % 3 = 0"), "v").collect()}
+    assert np.allclose([found[i] for i in range(450)], np.maximum((x @ x[::3].T).max(axis=1), 0))

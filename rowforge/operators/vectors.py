@@ -156,12 +156,39 @@ def leakage_gate(df: DataFrame, key: str, vector: str, reference: DataFrame, ref
     return df.join(near, name(key).cast("long") == F.col("_near_id"), "left_anti")
 
 
-def dedupe_semantic(df: DataFrame, key: str, vector: str, threshold: float = 0.95) -> DataFrame:
-    """In key order, the rows without a cosine of `threshold` or more to an earlier kept row."""
+def dedupe_semantic(df: DataFrame, key: str, vector: str, threshold: float = 0.95, batch: int | None = None) -> DataFrame:
+    """In key order, the rows without a cosine of `threshold` or more to an earlier kept row.
+
+    Rows are decided in stretches of the key, of vectors with about SENT / 2 numbers together or of `batch` rows. Only
+    within a stretch are all pairs made; the rows that it keeps go to every task and drop those like them of all later
+    stretches where these stand, so that links between dropped rows are never made and memory and shuffles of a stretch
+    are bounded however many rows there are. Rows of a null vector have no links.
+    """
     if threshold <= 0:
         return df.limit(0)
-    edges = similar_pairs(df, key, vector, threshold).select("a", "b")
-    kept = first_independent(df.select(name(key).cast("long").alias("id")), edges)
+    context = df.sparkSession.sparkContext
+    rows = df.select(name(key).cast("long").alias("id"), unit(name(vector)).alias("v")).where("id is not null")
+    kept = rows.where("v is null").select("id")
+    left = rows.where("v is not null")
+    size = left.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
+    batch = batch or max(BLOCK, SENT // 2 * size["n"] // max(size["numbers"], 1))
+    n = size["n"]
+    while n:
+        last = n <= batch
+        bound = None if last else left.agg(F.percentile_approx("id", batch / n, 10_000)).first()[0]
+        part = left if last else left.where(F.col("id") <= F.lit(bound))
+        found = settle(first_independent(part.select("id"), similar_pairs(part, "id", "v", threshold).select("a", "b")))
+        kept = kept.unionByName(found)
+        if last:
+            break
+        shared = context.broadcast(_matrix(part.join(found, "id", "left_semi").select("v")))  # a stretch at most
+
+        def unlike(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for some in parts:
+                yield some[_best(np.stack(some["v"].to_numpy()), shared.value) < threshold] if len(some) else some
+
+        left = settle(left.where(F.col("id") > F.lit(bound)).mapInPandas(unlike, "id long, v array<double>"))
+        n = left.count()
     return df.join(kept.withColumnRenamed("id", "_kept_id"), name(key).cast("long") == F.col("_kept_id"), "left_semi")
 
 

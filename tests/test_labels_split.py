@@ -253,3 +253,26 @@ def test_a_large_reference_is_compared_by_few_large_blocks(spark, monkeypatch):
     rows, x = _random_vectors(spark, 450, 5)
     found = {r["id"]: r["similarity"] for r in vectors.best_match(rows, "id", "v", rows.where("id % 3 = 0"), "v").collect()}
     assert np.allclose([found[i] for i in range(450)], np.maximum((x @ x[::3].T).max(axis=1), 0))
+
+
+def test_semantic_duplicates_by_stretches(spark, monkeypatch):
+    """Whatever the stretch, the result is that of the pass; links of rows that an earlier stretch drops are never made."""
+    rows, x = _random_vectors(spark, 600, 6)
+    near, kept = x @ x.T >= 0.6, []
+    for i in range(600):
+        if not near[i, kept].any():
+            kept.append(i)
+    made, pairs = [], vectors.similar_pairs
+
+    def counted(*args):
+        found = pairs(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(vectors, "similar_pairs", counted)
+    both = rows.unionByName(spark.createDataFrame([(600, None)], "id long, v array<double>"))
+    for batch in (40, 250, 5000):
+        made.clear()
+        assert sorted(r["id"] for r in vectors.dedupe_semantic(both, "id", "v", 0.6, batch=batch).collect()) == [*kept, 600]
+        if batch == 40:
+            assert len(made) > 1 and sum(made) < np.triu(near, 1).sum() / 5

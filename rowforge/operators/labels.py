@@ -67,6 +67,17 @@ def cap_per_label(df: DataFrame, row: str, label: str, cap: int, separator: str
     return df.join(taken.withColumnRenamed("item", "_taken"), name(row) == F.col("_taken"), "left_semi")
 
 
+def first_of_key(df: DataFrame, row: str, key: Column) -> DataFrame:
+    """(row, first): the smallest row of the same key for every row that has a key.
+
+    Keys are worked out once and kept with their rows only; both sides of the join are tables, which Spark can divide at
+    a key that very many rows share.
+    """
+    keyed = settle(df.select(name(row), key.alias("_key")))
+    first = settle(keyed.groupBy("_key").agg(F.min(name(row)).alias("first")))
+    return keyed.join(first, "_key").select(name(row), "first")
+
+
 def dedupe_exact(df: DataFrame, row: str, text: list[str], references: bool = True) -> DataFrame:
     """The first row of each clean text, the empty one included."""
     body = combined_text(text, references)

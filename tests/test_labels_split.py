@@ -276,3 +276,17 @@ def test_semantic_duplicates_by_stretches(spark, monkeypatch):
         assert sorted(r["id"] for r in vectors.dedupe_semantic(both, "id", "v", 0.6, batch=batch).collect()) == [*kept, 600]
         if batch == 40:
             assert len(made) > 1 and sum(made) < np.triu(near, 1).sum() / 5
+
+
+def test_keys_are_worked_out_once(spark):
+    """Each row's key is made once, whatever is joined to it afterwards."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(text):
+        made.add(1)
+        return text.lower()
+
+    df = spark.createDataFrame([(i, "aAbBc"[i % 5]) for i in range(50)], "doc_id long, text string")
+    found = {r["doc_id"]: r["first"] for r in labels.first_of_key(df, "doc_id", key("text")).collect()}
+    assert found == {i: [0, 0, 2, 2, 4][i % 5] for i in range(50)} and made.value == 50

@@ -96,19 +96,37 @@ def union_records(tables: list[DataFrame]) -> DataFrame:
     return both.fillna("")
 
 
-def _array_lines(batches):
-    """The records of one part file as the lines of a JSON array."""
-    opened = False
-    for batch in batches:
-        if len(batch):
-            lead = pd.Series(["," if opened else "["] + [","] * (len(batch) - 1), index=batch.index)
-            opened = True
-            yield pd.DataFrame({"value": lead + batch["value"]})
-    yield pd.DataFrame({"value": ["]" if opened else "[]"]})
+#: Characters of records in a piece of a JSON array, and pieces of a file.
+PIECE, PIECES = 1 << 20, 32
+
+
+def _array_pieces(size: int, pieces: int):
+    """The records of a partition as JSON arrays of `pieces` pieces each; a piece is a stretch of lines in one value."""
+
+    def run(batches):
+        made, held, length = 0, [], 0
+
+        def piece(last: bool) -> pd.DataFrame:
+            lead = "[" if made % pieces == 0 else ","
+            return pd.DataFrame({"value": [lead + "\n,".join(held) + ("\n]" if last or made % pieces == pieces - 1 else "")]})
+
+        for batch in batches:
+            for record in batch["value"]:
+                if length >= size:
+                    yield piece(False)
+                    made, held, length = made + 1, [], 0
+                held.append(record)
+                length += len(record)
+        yield piece(True) if held else pd.DataFrame({"value": ["[]"]})
+
+    return run
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv", separator: str = ";", spreadsheet_safe: bool = False, gzip: bool = False) -> None:
-    """CSV, JSON lines, or a JSON array in each part file; UTF-8, \\n line ends. write_json_array() makes one array of all."""
+    """CSV, JSON lines, or a JSON array in each part file; UTF-8, \\n line ends. write_json_array() makes one array of all.
+
+    A JSON array can only be read by one task, so a part file has about PIECE * PIECES characters at most.
+    """
     if spreadsheet_safe:
         df = defuse(df)
     if kind == "csv":
@@ -119,7 +137,7 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", separator: str = ";
         (df.write.option("compression", "gzip") if gzip else df.write).json(path)
     elif kind == "json":
         record = F.to_json(F.struct(*[name(c) for c in df.columns]), {"ignoreNullFields": "false"})
-        df.select(record.alias("value")).mapInPandas(_array_lines, "value string").write.text(path)
+        df.select(record.alias("value")).mapInPandas(_array_pieces(PIECE, PIECES), "value string").write.option("maxRecordsPerFile", PIECES).text(path)
     else:
         raise ValueError(f"Unknown format {kind!r}.")
 

@@ -200,3 +200,18 @@ def test_stream_restart(spark, tmp_path):
     after = run()
     assert {(3, "discarded_duplicate"), (4, "passed"), (5, "over_quota")} <= after and len(after) == 6
     assert run() == after
+
+
+def test_json_arrays_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A partition of any length makes several whole arrays, since one task must read an array."""
+    monkeypatch.setattr(src, "PIECE", 50)
+    monkeypatch.setattr(src, "PIECES", 3)
+    texts = [f'line {i}\n"[x], ' + "y" * (i % 90) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    for n in (0, 1, 3, 4, 200):
+        path = tmp_path / f"bounded-{n}"
+        src.write_table(df.where(f"id < {n}"), str(path), "json")
+        files = [json.loads(p.read_text()) for p in sorted(path.glob("part-*"))]
+        assert [r for f in files for r in f] == [{"id": i, "t": texts[i]} for i in range(n)]
+        assert max(len(f) for f in files) <= 9 and (n < 200 or len(files) > 20)
+    assert sorted(r["t"] for r in src.read_json(spark, str(path)).collect()) == sorted(texts)

@@ -61,3 +61,11 @@ def test_a_deep_path_takes_few_rounds(spark, monkeypatch):
 
 def test_empty(spark):
     assert outline.outline(spark.createDataFrame([], "uri string, broader string, ord long")).count() == 0
+
+
+def test_leaves_take_no_rounds(spark, monkeypatch):
+    """A flat vocabulary of many concepts is ranked in the rounds that its few inner concepts need."""
+    rounds = []
+    monkeypatch.setattr(outline, "settle", lambda df, plain=outline.settle: rounds.append(1) or plain(df))
+    rows = [("a", None, 0), ("b", None, 1), ("m", "a", 500)] + [(f"k{i:04d}", "abm"[i % 3], i % 700) for i in range(3000)]
+    assert shown(spark.createDataFrame(rows, "uri string, broader string, ord long")) == walked(rows) and len(rounds) <= 9
